@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from placerank.functions.base import lookup
+from placerank.functions.base import let, lookup
 from placerank.functions.lexicons import AWARD_MENTION, OTHER_PLACE, PERSON_AFTER
 
 _CUT = "\u0001"
@@ -24,6 +24,10 @@ def award_from_text(text: Column) -> Column:
     The text is cut at every mention, so each one can be judged with the words before and after it:
     awards of other places, of people, and mentions cut off at the end are passed over."""
     pieces = F.split(F.regexp_replace(text, "(?iU)" + AWARD_MENTION, f"{_CUT}$0{_CUT}"), _CUT)
+    return let(pieces, _first_own_award)
+
+
+def _first_own_award(pieces: Column) -> Column:
     mentions = F.when(F.size(pieces) > 1, F.sequence(F.lit(2), F.size(pieces) - 1, F.lit(2)))
 
     def in_context(i: Column) -> Column:
@@ -45,11 +49,16 @@ def award_from_text(text: Column) -> Column:
             | m["after"].rlike("(?iU)" + PERSON_AFTER)
         )
 
-    hit = F.lower(F.get(F.filter(F.transform(mentions, in_context), own), F.lit(0))["hit"])
-    stars = lookup(STAR_WORDS, F.regexp_extract(hit, r"^(one|two|three|[123])[- ]", 1))
-    return F.when(hit.startswith("bib"), "Bib Gourmand").when(
-        stars.isNotNull(), star_label(stars)
-    ).when(hit.isNotNull(), "Star")
+    def label(hit: Column) -> Column:
+        stars = lookup(STAR_WORDS, F.regexp_extract(hit, r"^(one|two|three|[123])[- ]", 1))
+        return (
+            F.when(hit.startswith("bib"), "Bib Gourmand")
+            .when(stars.isNotNull(), star_label(stars))
+            .when(hit.isNotNull(), "Star")
+        )
+
+    first = F.get(F.filter(F.transform(mentions, in_context), own), F.lit(0))["hit"]
+    return let(F.lower(first), label)
 
 
 def distinction(text: Column) -> Column:

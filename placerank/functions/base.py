@@ -23,6 +23,11 @@ def blank_to_null(text: Column) -> Column:
     return F.when(F.trim(text) != "", text)
 
 
+def let(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``: repeated mentions would repeat the work."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def truthy(value: Column, kind: str = "string") -> Column:
     """0, 0.0 and the empty string count as missing, as they do in the merge rules."""
     return F.when(value != (F.lit("") if kind == "string" else F.lit(0)), value)

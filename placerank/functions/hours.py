@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from placerank.functions.base import lookup, strings
+from placerank.functions.base import let, lookup, strings
 
 # Day order and spellings.
 DAYS = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
@@ -38,36 +38,60 @@ def _half(clock: Column) -> Column:
 
 def _clock24(clock: Column, half: Column, pm_until: int) -> Column:
     """HH:MM; without am/pm an hour up to ``pm_until`` means the afternoon."""
-    text = F.trim(clock)
-    hour = F.regexp_extract(text, CLOCK_PARTS, 1).try_cast("int")
-    minute = F.coalesce(F.regexp_extract(text, CLOCK_PARTS, 2).try_cast("int"), F.lit(0))
-    shifted = (
-        F.when((half == "pm") & (hour < 12), hour + 12)
-        .when((half == "am") & (hour == 12), 0)
-        .when((half == "") & (hour <= pm_until) & (hour != 0), hour + 12)
-        .otherwise(hour)
-    )
-    return F.when(
-        (hour <= 24) & (minute <= 59), F.format_string("%02d:%02d", shifted % 24, minute)
+    hour = F.regexp_extract(F.trim(clock), CLOCK_PARTS, 1).try_cast("int")
+    minute = F.coalesce(
+        F.regexp_extract(F.trim(clock), CLOCK_PARTS, 2).try_cast("int"), F.lit(0)
     )
 
+    def render(p: Column) -> Column:
+        h = p["h"]
+        shifted = (
+            F.when((half == "pm") & (h < 12), h + 12)
+            .when((half == "am") & (h == 12), 0)
+            .when((half == "") & (h <= pm_until) & (h != 0), h + 12)
+            .otherwise(h)
+        )
+        return F.when(
+            (h <= 24) & (p["m"] <= 59), F.format_string("%02d:%02d", shifted % 24, p["m"])
+        )
+
+    return let(F.struct(hour.alias("h"), minute.alias("m")), render)
+
 
 def _time_range(text: Column, pm_until: int) -> Column:
     """STRUCT(open, close) of one "11.30am - 2pm" text; null when it is not a time range."""
-    first, last = F.regexp_extract(text, TIME_RANGE, 1), F.regexp_extract(text, TIME_RANGE, 2)
-    half_first, half_last = _half(first), _half(last)
-    borrow = (half_first == "") & (half_last != "")
-    close = F.when(borrow, _clock24(last, half_last, 0)).otherwise(_clock24(last, half_last, pm_until))
-    borrowed = _clock24(first, half_last, 0)
-    start = (
-        F.when(borrow & (borrowed >= close), _clock24(first, F.lit(""), 0))
-        .when(borrow, borrowed)
-        .otherwise(_clock24(first, half_first, pm_until))
-    )
-    return F.when(
-        start.isNotNull() & close.isNotNull(), F.struct(start.alias("open"), close.alias("close"))
+    ends = F.struct(
+        F.regexp_extract(text, TIME_RANGE, 1).alias("a"), F.regexp_extract(text, TIME_RANGE, 2).alias("b")
     )
 
+    def with_halves(e: Column) -> Column:
+        return let(
+            F.struct(
+                e["a"].alias("a"), e["b"].alias("b"), _half(e["a"]).alias("ha"), _half(e["b"]).alias("hb")
+            ),
+            clocks,
+        )
+
+    def clocks(e: Column) -> Column:
+        borrow = (e["ha"] == "") & (e["hb"] != "")
+        close = F.when(borrow, _clock24(e["b"], e["hb"], 0)).otherwise(_clock24(e["b"], e["hb"], pm_until))
+        start = F.when(borrow, _clock24(e["a"], e["hb"], 0)).otherwise(_clock24(e["a"], e["ha"], pm_until))
+        return let(
+            F.struct(start.alias("open"), close.alias("close")),
+            lambda r: F.when(
+                r["open"].isNotNull() & r["close"].isNotNull(),
+                F.struct(
+                    # "11 - 2pm" opens in the morning
+                    F.when(borrow & (r["open"] >= r["close"]), _clock24(e["a"], F.lit(""), 0))
+                    .otherwise(r["open"])
+                    .alias("open"),
+                    r["close"].alias("close"),
+                ),
+            ),
+        )
+
+    return let(ends, with_halves)
+
 
 def time_ranges(text: Column, pm_until: int) -> Column:
     found = F.regexp_extract_all(text, F.lit(TIME_RANGE), F.lit(0))
@@ -78,8 +102,19 @@ def _days_named(segment: Column) -> Column:
     """Days a segment speaks about; null when it names none (the previous ones stay in force)."""
     first = F.lower(F.regexp_extract(segment, DAY_SPAN, 1))
     last = F.lower(F.regexp_extract(segment, DAY_SPAN, 2))
+    return let(
+        F.struct(
+            first.alias("word"),
+            lookup(DAY_NUMBER, first).alias("a"),
+            lookup(DAY_NUMBER, last).alias("b"),
+        ),
+        _expand_days,
+    )
+
+
+def _expand_days(span_of: Column) -> Column:
+    first, a, b = span_of["word"], span_of["a"], span_of["b"]
     week = strings(DAYS)
-    a, b = lookup(DAY_NUMBER, first), lookup(DAY_NUMBER, last)
     span = F.when(a <= b, F.slice(week, a + 1, b - a + 1)).otherwise(
         F.concat(F.slice(week, a + 1, F.lit(7) - a), F.slice(week, F.lit(1), b + 1))
     )
@@ -96,7 +131,10 @@ def _days_named(segment: Column) -> Column:
 
 def _collect_days(entries: Column, days: list[str]) -> Column:
     """Entries in text order -> map; an entry without times closes the day and forgets earlier ones."""
+    return let(entries, lambda e: _day_map(e, days))
+
 
+def _day_map(entries: Column, days: list[str]) -> Column:
     def of_day(day: str) -> Column:
         mine = F.filter(entries, lambda e: e["day"] == day)
         folded = F.aggregate(
@@ -114,7 +152,7 @@ def _collect_days(entries: Column, days: list[str]) -> Column:
 
 def hours_from_text(text: Column) -> Column:
     """Free text such as "Mon-Fri 11.30am-2.30pm, 5-10pm; Sat-Sun 11am-10pm; Closed on PH"."""
-    segments = F.filter(F.transform(F.split(text, SEGMENTS), F.trim), lambda s: s != "")
+    segments = F.filter(F.transform(F.split(text, SEGMENTS), lambda s: F.trim(s)), lambda s: s != "")
     parsed = F.transform(
         segments,
         lambda s: F.struct(
@@ -176,25 +214,28 @@ def hours_from_lines(lines: Column) -> Column:
         )
         return F.struct(F.get(strings(DAYS), number).alias("day"), ranges.alias("ranges"))
 
-    parsed = F.transform(lines, parse)
-
-    def of_day(day: str) -> Column:
+    def last_of(parsed: Column, day: str) -> Column:
         return F.try_element_at(F.filter(parsed, lambda p: p["day"] == day), F.lit(-1))["ranges"]
 
-    whole = F.map_from_arrays(strings(DAYS), F.array(*[of_day(d) for d in DAYS]))
+    whole = let(
+        F.transform(lines, parse),
+        lambda parsed: F.map_from_arrays(strings(DAYS), F.array(*[last_of(parsed, d) for d in DAYS])),
+    )
     return F.map_filter(whole, lambda _, v: v.isNotNull())
 
 
 def opening_hours(lines: Column, text: Column) -> Column:
     """Weekday lines win over free text; nothing recognised in free text is null."""
-    from_text = hours_from_text(text)
-    return F.when(F.size(lines) > 0, hours_from_lines(lines)).when(
-        F.cardinality(from_text) > 0, from_text
-    )
+    found = let(hours_from_text(text), lambda h: F.when(F.cardinality(h) > 0, h))
+    return F.when(F.size(lines) > 0, hours_from_lines(lines)).otherwise(found)
 
 
 def hours_flags(hours: Column) -> Column:
     """STRUCT(open_weekends, late_night, ph_closed), each null when unknown."""
+    return let(hours, _flags_of)
+
+
+def _flags_of(hours: Column) -> Column:
     week = F.map_filter(hours, lambda k, _: k != "ph")
     ranges = F.flatten(F.map_values(week))
     weekend = F.map_filter(hours, lambda k, v: k.isin("sat", "sun") & (F.size(v) > 0))

@@ -9,7 +9,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from placerank.functions.base import strings
+from placerank.functions.base import let, strings
 from placerank.functions.lexicons import ARTICLES, LEGAL_WORDS, NOISE_WORDS
 
 CJK_RUN = r"([一-鿿]+)"
@@ -29,6 +29,8 @@ def _fold_table() -> tuple[str, str, list[tuple[str, str]]]:
         if unicodedata.combining(ch):
             marks.append(ch)
             continue
+        if not unicodedata.decomposition(ch):
+            continue
         flat = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
         if flat == ch or not any(c.isascii() and c.isalnum() or "一" <= c <= "鿿" for c in flat):
             continue
@@ -58,19 +60,26 @@ def name_key(name: Column, keep_noise: bool = False) -> Column:
 
     Chinese characters go to the end as their own tokens.  A name made of generic words only keeps
     them (without articles)."""
-    folded = F.lower(ascii_fold(name))
+    return let(F.lower(ascii_fold(name)), lambda folded: _key_of(folded, keep_noise))
+
+
+def _key_of(folded: Column, keep_noise: bool) -> Column:
     chinese = F.array_join(F.regexp_extract_all(folded, F.lit(CJK_RUN), F.lit(1)), " ")
     latin = F.regexp_replace(folded, r"[^a-z0-9]+", " ")
     every = F.filter(F.split(latin, " "), lambda w: w != "")
-    words = _drop(every, LEGAL_WORDS)
-    kept = words if keep_noise else _drop(words, NOISE_WORDS)
-    plain = _drop(words, ARTICLES)
-    chosen = (
-        F.when(F.size(kept) > 0, kept)
-        .when(F.size(plain) > 0, plain)
-        .when(F.size(words) > 0, words)
-        .otherwise(every)
-    )
+
+    def choose(words: Column) -> Column:
+        if keep_noise:
+            return F.when(F.size(words) > 0, words)
+        plain = _drop(words, ARTICLES)
+        return let(
+            _drop(words, NOISE_WORDS),
+            lambda kept: F.when(F.size(kept) > 0, kept)
+            .when(F.size(plain) > 0, plain)
+            .when(F.size(words) > 0, words),
+        )
+
+    chosen = F.coalesce(let(_drop(every, LEGAL_WORDS), choose), every)
     return F.trim(F.concat_ws(" ", F.array_join(chosen, " "), chinese))
 
 

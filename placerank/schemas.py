@@ -26,27 +26,31 @@ PAGE = "source_key string, url string, title string, published_at string, conten
 
 RUN_EVENT = "run_id string, at timestamp, level string, component string, message string"
 
-EVIDENCE = (
-    "struct<source_key:string,url:string,title:string,published_at:string,"
-    "category_keys:array<string>,queries:array<string>,snippet:string,rating:double,"
-    "review_count:int,confidence:double,independent:boolean,captured_at:string,run_id:string>"
-)
-
 HOURS = "map<string,array<struct<open:string,close:string>>>"
 
+# One canonical place.  Children that can grow without bound (evidence, reviews, names) are tables
+# of their own; only columns bounded by configuration (labels, tags, flags, sources) are nested.
 VENUE = f"""
-    venue_id string, name string, name_zh string, brand string, outlet string,
-    aliases array<string>, address string, postal_code string, district string, region string,
-    lat double, lng double, phone string, website string, booking_url string,
-    google_place_id string, cuisine array<string>, price_level int, price_text string,
-    hours {HOURS}, open_weekends boolean, late_night boolean, ph_closed boolean,
-    business_status string, michelin string, hygiene_grade string, flags map<string,boolean>,
-    ambience_tags array<string>, ratings map<string,struct<rating:double,review_count:int>>,
-    evidence array<{EVIDENCE}>,
-    review_snippets array<struct<source:string,rating:double,published_at:string,snippet:string>>,
-    social_words int, earliest_evidence string, first_seen_run string, last_seen_run string
+    venue_id string, name string, name_zh string, brand string, outlet string, address string,
+    postal_code string, district string, region string, lat double, lng double, phone string,
+    website string, booking_url string, google_place_id string, cuisine array<string>,
+    price_level int, price_text string, hours {HOURS}, open_weekends boolean, late_night boolean,
+    ph_closed boolean, business_status string, michelin string, hygiene_grade string,
+    flags map<string,boolean>, ambience_tags array<string>,
+    ratings map<string,struct<rating:double,review_count:int>>, social_words long,
+    earliest_evidence string, first_seen_run string, last_seen_run string
 """
 
+EVIDENCE = (
+    "venue_id string, source_key string, url string, title string, published_at string, "
+    "category_keys array<string>, queries array<string>, snippet string, rating double, "
+    "review_count int, confidence double, independent boolean, captured_at string, run_id string"
+)
+
+REVIEW_SNIPPET = (
+    "venue_id string, source string, rating double, published_at string, snippet string"
+)
+
 SCORE = (
     "run_id string, category_key string, venue_id string, name string, score double, rank int, "
     "components map<string,double>, adjustments map<string,double>, excluded_reason string, "

@@ -234,7 +234,7 @@ def _resolve_creators(nodes: DataFrame, params: ScoringParams, fuzzy: bool) -> D
     roots = follow_pointers(exact)
     state = exact.join(roots, "node").withColumn("score", F.lit(None).cast("double"))
     if not fuzzy:
-        return state
+        return state.drop("parent")
     members = materialise(state)
     venue = members.groupBy("root").agg(
         F.min_by("postal", F.when(F.col("postal").isNotNull(), F.col("ord"))).alias("postal"),
@@ -349,7 +349,7 @@ def _attach_only(
             F.col("entity").alias("root"), "method", "score",
         )
         new = materialise(new)
-        done = new if done is None else done.union(new)
+        done = new if done is None else done.unionByName(new)
         sources = new  # the rest has already been compared with everything older
         pending = materialise(pending.join(hits, "node", "left_anti"))
         if pending.isEmpty():
@@ -380,7 +380,7 @@ def resolve(
     if not waiting.isEmpty():
         attached = _attach_only(waiting.drop("venue_id"), settled, params, fuzzy)
         if attached is not None:
-            members = settled.union(attached)
+            members = settled.unionByName(attached)
 
     starts = settled.where(F.col("node") == F.col("root")).select("root", "ord", "venue_id", "name")
     fresh = row_numbers(starts.where("venue_id is null").drop("venue_id"), [], [F.col("ord").asc(), F.col("root").asc()], "n")

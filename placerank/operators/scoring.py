@@ -6,16 +6,16 @@ Venue features are computed once per venue; categories (a configuration table) j
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placerank.functions.awards import award_level, is_buffet, star_count
-from placerank.functions.base import iso_date, lookup
+from placerank.functions.base import iso_date, let, lookup
 from placerank.functions.lexicons import HOTEL, NOT_A_PLACE
 from placerank.operators.ordered import first_rows, row_numbers
 from placerank.params import COMPONENTS, ScoringParams
+from placerank.session import materialise
 
 MAIN_SOURCE = "google_places"
 # Parking flag -> component
@@ -136,16 +136,26 @@ def venue_components(
 # --- weights -------------------------------------------------------------------------------------
 def weighted_sum(components: Mapping[str, Column], weights: Mapping[str, Column]) -> Column:
     """STRUCT(score, components): weights of components without data go to the others."""
-    live = {
-        k: F.when(v.isNotNull() & (weights[k] > 0), weights[k]) for k, v in components.items() if k in weights
-    }
-    total = reduce(lambda a, b: a + b, [F.coalesce(w, F.lit(0.0)) for w in live.values()], F.lit(0.0))
-    parts = {k: F.when(total > 0, components[k] * (w / total)) for k, w in live.items()}
-    score = reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0.0)) for x in parts.values()], F.lit(0.0))
-    names, values = F.array(*[F.lit(k) for k in parts]), F.array(*parts.values())
-    return F.struct(
-        score.alias("score"),
-        F.map_filter(F.map_from_arrays(names, values), lambda _, v: v.isNotNull()).alias("components"),
+    keys = [k for k in components if k in weights]
+    values = F.array(*[components[k].cast("double") for k in keys])
+    live = F.zip_with(
+        values, F.array(*[weights[k] for k in keys]), lambda v, w: F.when(v.isNotNull() & (w > 0), w)
+    )
+    add = lambda a, x: a + F.coalesce(x, F.lit(0.0))
+
+    def share(live: Column) -> Column:
+        return let(
+            F.aggregate(live, F.lit(0.0), add),
+            lambda total: F.zip_with(values, live, lambda v, w: F.when(total > 0, v * (w / total))),
+        )
+
+    names = F.array(*[F.lit(k) for k in keys])
+    return let(
+        let(live, share),
+        lambda parts: F.struct(
+            F.aggregate(parts, F.lit(0.0), add).alias("score"),
+            F.map_filter(F.map_from_arrays(names, parts), lambda _, v: v.isNotNull()).alias("components"),
+        ),
     )
 
 
@@ -261,6 +271,7 @@ def rank_scores(scores: DataFrame) -> DataFrame:
     """Add ``rank``: 1..n by score and name over visible rows of a category, 0 for the others.
 
     ``scores``: category_key, venue_id, name, score, excluded_reason, hidden, ..."""
+    scores = materialise(scores)  # read three times below
     visible = F.col("excluded_reason").isNull() & ~F.col("hidden")
     order = [F.round("score", 9).desc(), F.col("name").asc(), F.col("venue_id").asc()]
     ranked = row_numbers(scores.where(visible), ["category_key"], order, "rank")

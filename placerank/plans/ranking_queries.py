@@ -22,6 +22,7 @@ from placerank.plans.standins import (
     sightings,
     venues,
 )
+from placerank.session import materialise
 
 S, V, E = duck(SIGHTINGS), duck(VENUES), duck_evidence()
 RECENCY = f"""CASE WHEN published_at IS NULL THEN CAST(0.5 AS DOUBLE)
@@ -88,9 +89,9 @@ FROM ({DUCK_POOL}) JOIN ({DUCK_REC}) USING (venue_id)"""
 
 
 # --- the whole score ---------------------------------------------------------------------------------
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def features(spark: SparkSession, sf_dir: str, ev: DataFrame | None = None) -> DataFrame:
     """Stand-in venue features: everything ``score_categories`` reads, one row per venue."""
-    ev = evidence(spark, sf_dir)
+    ev = evidence(spark, sf_dir) if ev is None else ev
     rates = ratings(spark, sf_dir)
     maps = rates.groupBy("venue_id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("source_key", F.struct("rating", "review_count").alias("r"))))).alias("ratings")
@@ -115,10 +116,10 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str, hide_visited: bool = False) -> DataFrame:
-    ev = evidence(spark, sf_dir)
+    ev = materialise(evidence(spark, sf_dir))
     table = category_table(spark, CATEGORIES)
     return scoring.score_categories(
-        features(spark, sf_dir), scoring.category_pool(ev, table), table, weight_table(spark, CATEGORIES), TODAY,
+        materialise(features(spark, sf_dir, ev)), scoring.category_pool(ev, table), table, weight_table(spark, CATEGORIES), TODAY,
         PARAMS, personal(spark, sf_dir), hide_visited,
     )
 

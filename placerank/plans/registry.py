@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placerank.plans import ranking_queries
+from placerank.plans import content_queries, ranking_queries, run_queries
 
 FLAGSHIP = "rank_by_category"
-REGISTRY = {**ranking_queries.QUERIES}
+REGISTRY = {**ranking_queries.QUERIES, **run_queries.QUERIES, **content_queries.QUERIES}

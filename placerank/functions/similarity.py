@@ -66,16 +66,28 @@ def partial_ratio(a: str, b: str) -> float:
 
 
 def _best_window(short: str, long: str) -> float:
-    n, best = len(short), 0.0
+    """Slide over ``long``, keeping the letter counts both share: no LCS is longer than that, so
+    most windows are passed over without computing one."""
     if short in long:
         return 100.0
-    letters = set(short)
-    for start in range(1 - n, len(long)):
-        window = long[max(0, start) : start + n]
-        # a best window begins (at the right edge) or ends (at the left edge) on a shared letter
-        edge = window[0] if start + n > len(long) else window[-1]
-        if edge in letters:
-            best = max(best, ratio(short, window))
+    n, best = len(short), 0.0
+    need: dict[str, int] = {}
+    for ch in short:
+        need[ch] = need.get(ch, 0) + 1
+    have, common = dict.fromkeys(need, 0), 0
+    for end in range(1, len(long) + n):
+        if end <= len(long) and long[end - 1] in need:
+            ch = long[end - 1]
+            have[ch] += 1
+            common += have[ch] <= need[ch]
+        start = end - n
+        if start > 0 and long[start - 1] in need:
+            ch = long[start - 1]
+            common -= have[ch] <= need[ch]
+            have[ch] -= 1
+        size = min(end, len(long)) - max(0, start)
+        if size and 200.0 * common / (n + size) > best:
+            best = max(best, ratio(short, long[max(0, start) : max(0, start) + size]))
     return best
 
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from placerank.session import materialise
+
 # An indel ratio of 88 allows an edit distance of 0.12 * (|a| + |b|).  On the shorter string the
 # worst mix of edits (a deletion and an insertion apart from each other) breaks 5 trigrams per 2
 # edits: 0.6 trigrams per character.
@@ -70,31 +72,59 @@ def _document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("kind", "feature").agg(F.count(F.lit(1)).alias("df"))
 
 
+def _meeting_keys(side: Column, zone: Column, feature: Column) -> Column:
+    """Keys on which postings meet: the same zone, or one side without any.
+
+    A left row with a zone meets its zone and the zoneless right rows; one without meets every right
+    row.  So most rows compare inside their zone only."""
+    tag = lambda t: F.concat(F.lit(t), feature)
+    inside = F.concat(F.lit("="), zone, F.lit("|"), feature)
+    left = F.when(zone.isNotNull(), F.array(inside, tag("right|"))).otherwise(F.array(tag("left|")))
+    right = F.when(zone.isNotNull(), F.array(inside, tag("left|"))).otherwise(
+        F.array(tag("right|"), tag("left|"))
+    )
+    return F.when(side == "l", left).otherwise(right)
+
+
 def similar_texts(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct (left_text, right_text) that may reach a token-set ratio of 88.
 
-    ``left`` and ``right`` have one column ``text``; blanks separate words.  Word features find
-    strings whose shared words dominate, trigram features find spelling variants of similar size."""
+    ``left`` and ``right``: text (blanks separate words) and optionally zone; only pairs of one zone,
+    or with a zone missing, are wanted.  Word features find strings whose shared words dominate,
+    trigram features find spelling variants of similar size."""
     t = F.col("text")
-    both = left.distinct().withColumn("side", F.lit("l")).union(
-        right.distinct().withColumn("side", F.lit("r"))
-    )
-    postings = _postings(both, word=words(t), gram=word_trigrams(t))
+    sides = []
+    for name, df in (("l", left), ("r", right)):
+        zone = F.col("zone") if "zone" in df.columns else F.lit(None).cast("string")
+        sides.append(df.select("text", zone.alias("zone")).distinct().withColumn("side", F.lit(name)))
+    both = sides[0].union(sides[1])
+    zones = both.select("side", "text", "zone")
+    postings = _postings(both.select("side", "text").distinct(), word=words(t), gram=word_trigrams(t))
     share = F.when(F.col("kind") == "word", F.col("_before") <= _WORD_TAIL * F.length("text")).otherwise(
         F.col("_pos") <= F.floor(_BROKEN_PER_CHAR * F.length("text")) + 1
     )
     offered = _rarest(postings, _document_frequency(postings), share)
-    full = postings.select(F.col("side").alias("side2"), "kind", F.col("text").alias("text2"), "feature")
-    n, m = F.length("text"), F.length("text2")
+
+    def keyed(rows: DataFrame, suffix: str) -> DataFrame:
+        keys = _meeting_keys(F.col("side"), F.col("zone"), F.col("feature"))
+        return rows.join(zones, ["side", "text"]).select(
+            F.col("side").alias("side" + suffix), "kind", F.col("text").alias("text" + suffix), F.explode(keys).alias("key")
+        ).distinct()
+
+    n, m = F.length("text1"), F.length("text2")
     similar_size = (n <= m) & (F.lit(0.88) * m <= F.lit(1.12) * n)
-    pairs = offered.join(full, ["kind", "feature"]).where(
-        (F.col("side") != F.col("side2")) & ((F.col("kind") == "word") | similar_size)
+    pairs = keyed(offered, "1").join(keyed(postings, "2"), ["kind", "key"]).where(
+        (F.col("side1") != F.col("side2")) & ((F.col("kind") == "word") | similar_size)
+    )
+    from_left = F.col("side1") == "l"
+    # materialised, or a caller's filter on the score would move below the distinct and run on
+    # every repeated meeting of the same pair
+    return materialise(
+        pairs.select(
+            F.when(from_left, F.col("text1")).otherwise(F.col("text2")).alias("left_text"),
+            F.when(from_left, F.col("text2")).otherwise(F.col("text1")).alias("right_text"),
+        ).distinct()
     )
-    from_left = F.col("side") == "l"
-    return pairs.select(
-        F.when(from_left, F.col("text")).otherwise(F.col("text2")).alias("left_text"),
-        F.when(from_left, F.col("text2")).otherwise(F.col("text")).alias("right_text"),
-    ).distinct()
 
 
 def texts_near(needles: DataFrame, haystacks: DataFrame, exact: bool = False) -> DataFrame:
@@ -106,9 +136,15 @@ def texts_near(needles: DataFrame, haystacks: DataFrame, exact: bool = False) ->
     keep = F.lit(1) if exact else F.floor(_BROKEN_IN_WINDOW * F.length("text")) + 1
     offered = _rarest(pins, _document_frequency(hay), F.col("_pos") <= keep)
     full = hay.select("kind", F.col("text").alias("haystack"), "feature")
-    return (
-        offered.withColumnRenamed("text", "needle")
-        .join(full, ["kind", "feature"])
-        .select("needle", "haystack")
-        .distinct()
-    )
+    met = offered.withColumnRenamed("text", "needle").join(full, ["kind", "feature"])
+    pairs = materialise(met.select("needle", "haystack").distinct())  # see similar_texts
+    return pairs.where(_enough_shared(F.col("needle"), F.col("haystack"), exact))
+
+
+def _enough_shared(needle: Column, haystack: Column, exact: bool) -> Column:
+    """The needle keeps all its trigrams but those the allowed edits may break."""
+    if exact:
+        return F.contains(haystack, needle)
+    grams = F.size(trigrams(needle))
+    both = F.size(F.array_intersect(trigrams(needle), trigrams(haystack)))
+    return F.contains(haystack, needle) | (both >= grams - F.floor(_BROKEN_IN_WINDOW * F.length(needle)))

@@ -182,8 +182,8 @@ def fuzzy_matches(
     q = queries.select("query_id", F.col("name_key").alias("left_text"), F.col("postal").alias("qp"), "ord", "catalogue")
     e = index.select("entity", F.col("name_key").alias("right_text"), F.col("postal").alias("ep"), "since", "entity_ord")
     pairs = similar_texts(
-        q.where("left_text <> ''").select(F.col("left_text").alias("text")),
-        e.where("right_text <> ''").select(F.col("right_text").alias("text")),
+        q.where("left_text <> ''").select(F.col("left_text").alias("text"), F.col("qp").alias("zone")),
+        e.where("right_text <> ''").select(F.col("right_text").alias("text"), F.col("ep").alias("zone")),
     )
     scored = materialise(
         pairs.withColumn("score", token_set_ratio_udf("left_text", "right_text")).where(

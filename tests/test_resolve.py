@@ -106,9 +106,9 @@ def test_attach_only_rows_help_each_other(spark):
 def test_catalogue_rows_need_a_close_name(spark):
     rows = [
         sighting("sethlui", "Golden Dragon Palace Hall", postal_code="160056"),
-        sighting("sfa", "Golden Dragon Palaces Halls", postal_code="160056", confidence=0.0, extra={"enrich_only": True}),
+        sighting("sfa", "Golden Dragon Palazzo Hall", postal_code="160056", confidence=0.0, extra={"enrich_only": True}),
         sighting("sethlui", "Silver Phoenix Garden Hall", postal_code="160057"),
-        sighting("reddit", "Silver Phoenix Gardens Halls", confidence=0.45),
+        sighting("reddit", "Silver Phoenix Gardin Hall", confidence=0.45),
     ]
     done = resolve.resolve(sightings(spark, rows))
     got = {r.seq: r.method for r in done.assignments.collect()}

@@ -198,21 +198,32 @@ def share_of_maximum(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 # --- filters -------------------------------------------------------------------------------------
+def with_traits(venues: DataFrame) -> DataFrame:
+    """Add what the filters need to know of a venue's name and awards, once per venue."""
+    award, name = F.col("michelin"), F.col("name")
+    exempt = (star_count(F.coalesce(award, F.lit(""))) > 0) | F.coalesce(award == "Bib Gourmand", F.lit(False))
+    return venues.withColumns(
+        {
+            "not_a_place": name.rlike("(?iU)" + NOT_A_PLACE),
+            "hotel": name.rlike("(?iU)" + HOTEL),
+            "price_exempt": exempt | F.coalesce(is_buffet(name, F.col("cuisine"), F.col("summary")), F.lit(False)),
+            "award_kind": F.when(award_level(award) == 0.5, "bib").when(award_level(award).isNotNull(), "star"),
+        }
+    )
+
+
 def hard_filter_reason(today: str, p: ScoringParams, own_query: Column) -> Column:
     """First reason that keeps a venue out of a category, null when it may be ranked.
 
-    Works on venue columns joined with ``params.category_table`` columns; ``own_query`` says that a
+    Works on :func:`with_traits` columns joined with ``params.category_table``; ``own_query`` says that a
     query of this very category found the venue.  Unknown never counts against a venue, except where
     the category asks for proof."""
-    level, award = F.col("price_level"), F.col("michelin")
+    level = F.col("price_level")
     known = level.isNotNull() & (level != 0)
     flags = F.col("flags")
-    kind = F.when(award_level(award) == 0.5, "bib").when(award_level(award).isNotNull(), "star")
+    kind = F.col("award_kind")
     per_pax = lookup({k: float(v) for k, v in p.per_pax.items()}, level)
     bill = per_pax * F.col("party_size")
-    exempt = (star_count(F.coalesce(award, F.lit(""))) > 0) | (award == "Bib Gourmand") | is_buffet(
-        F.col("name"), F.col("cuisine"), F.col("summary")
-    )
     tiers, text = F.col("price_levels"), F.lit
     days = F.when(F.col("opened_within_months") == 1, F.lit(p.new_within_days)).otherwise(
         F.floor(F.col("opened_within_months") * F.lit(p.days_per_month)).cast("int")
@@ -220,18 +231,18 @@ def hard_filter_reason(today: str, p: ScoringParams, own_query: Column) -> Colum
     earliest = iso_date(F.col("earliest_evidence"))
     money = lambda x: F.format_string("S$%.0f", x)
     rules = [
-        (F.col("name").rlike("(?iU)" + NOT_A_PLACE), text("not a place to eat")),
+        (F.col("not_a_place"), text("not a place to eat")),
         (F.col("exclude_closed") & (F.col("business_status") == "CLOSED_PERMANENTLY"), text("closed permanently")),
         (F.col("need_weekends") & (F.col("open_weekends") == F.lit(False)), text("not open on weekends")),
         (F.col("need_private_room") & ~F.coalesce(flag(flags, "private_room"), F.lit(False)), text("no private room evidence")),
         (F.col("need_halal") & ~F.coalesce(flag(flags, "halal"), F.lit(False)), text("not halal")),
         (known & (level > F.col("max_price_level")), F.format_string("price level %d above %d", level, F.col("max_price_level"))),
-        (F.col("price_required") & ~known & ~F.coalesce(exempt, F.lit(False)), text("no price level")),
+        (F.col("price_required") & ~known & ~F.col("price_exempt"), text("no price level")),
         (
             F.col("awards").isNotNull() & ~F.coalesce(F.array_contains("awards", kind), F.lit(False)),
             F.when(F.array_contains("awards", "star"), "no Michelin star").otherwise("not Bib Gourmand"),
         ),
-        ((F.array_max(tiers) <= 2) & F.col("name").rlike("(?iU)" + HOTEL), text("hotel, not a cheap or affordable place")),
+        ((F.array_max(tiers) <= 2) & F.col("hotel"), text("hotel, not a cheap or affordable place")),
         (tiers.isNotNull() & level.isNull() & ~own_query, text("no price level")),
         (level.isNotNull() & ~F.array_contains(tiers, level), F.format_string("price level %d not in this tier", level)),
         (
@@ -258,7 +269,7 @@ def hard_filter_reason(today: str, p: ScoringParams, own_query: Column) -> Colum
 def category_pool(evidence: DataFrame, categories: DataFrame) -> DataFrame:
     """(category_key, venue_id, own_query): venues found by a category's queries or by those of the
     categories it also draws from."""
-    found = evidence.select("venue_id", F.explode("category_keys").alias("found_by")).distinct()
+    found = evidence.select("venue_id", F.explode("category_keys").alias("found_by"))
     pools = categories.select("category_key", F.explode("pool").alias("found_by"))
     return (
         found.join(F.broadcast(pools), "found_by")  # configuration: a handful of rows
@@ -296,21 +307,30 @@ def score_categories(
     dims = weights.groupBy("category_key").pivot("component", list(COMPONENTS)).agg(F.first("weight"))
     dims = dims.select("category_key", *[F.coalesce(F.col(c), F.lit(0.0)).alias(f"w_{c}") for c in COMPONENTS])
     config = categories.drop("queries", "keywords", "pool").join(dims, "category_key")
-    rows = pool.join(F.broadcast(config), "category_key").join(venues, "venue_id")  # configuration
+    comps = venue_components(F.col("aspects"), F.lit(None).cast("int"), F.col("quiet_hits"), F.col("loud_hits"), p)
+    fixed = {k: v for k, v in comps.items() if k != "keyword_match"}
+    kept = [
+        "venue_id", "name", "price_level", "business_status", "open_weekends", "flags", "michelin", "hygiene_grade",
+        "earliest_evidence", "keyword_hits", "independent_count", "buzz", "rating_trend", "not_a_place", "hotel",
+        "price_exempt", "award_kind",
+    ]
+    once = with_traits(venues).select(*kept, *[v.alias(f"c_{k}") for k, v in fixed.items()])
     if personal is not None:
-        rows = rows.join(personal.select("venue_id", F.col("status").alias("my_status"), "my_rating"), "venue_id", "left")
+        mine = personal.select("venue_id", F.col("status").alias("my_status"), "my_rating")
+        once = once.join(mine, "venue_id", "left")
     else:
-        rows = rows.withColumns({"my_status": F.lit(None).cast("string"), "my_rating": F.lit(None).cast("double")})
+        once = once.withColumns({"my_status": F.lit(None).cast("string"), "my_rating": F.lit(None).cast("double")})
+    rows = pool.join(F.broadcast(config), "category_key").join(once, "venue_id")  # configuration
     reason = F.when(F.col("my_status") == "excluded", "excluded by you").otherwise(
         hard_filter_reason(today, p, F.col("own_query"))
     )
-    hits = F.try_element_at("keyword_hits", F.col("category_key"))
-    comps = venue_components(F.col("aspects"), hits, F.col("quiet_hits"), F.col("loud_hits"), p)
-    rows = rows.withColumn("excluded_reason", reason).select(
-        "category_key", "venue_id", "name", "excluded_reason", "my_status", "my_rating", "business_status",
-        "hygiene_grade", F.col("michelin").alias("award"), "independent_count", "buzz", "rating_trend",
-        *[F.col(f"w_{c}") for c in COMPONENTS], *[v.alias(f"c_{k}") for k, v in comps.items()],
+    rows = rows.select(
+        "category_key", "venue_id", "name", reason.alias("excluded_reason"), "my_status", "my_rating",
+        "business_status", "hygiene_grade", F.col("michelin").alias("award"), "independent_count", "buzz",
+        "rating_trend", *[F.col(f"w_{c}") for c in COMPONENTS], *[F.col(f"c_{k}") for k in fixed],
+        keyword_match(F.try_element_at("keyword_hits", F.col("category_key"))).alias("c_keyword_match"),
     )
+    rows = materialise(rows)  # the maxima need every row before any is scored
     ok = F.col("excluded_reason").isNull()
     tops = rows.where(ok).groupBy("category_key").agg(F.max("c_recommendations").alias("_max"))
     rows = rows.join(tops, "category_key", "left")

@@ -32,11 +32,11 @@ BAYES = "greatest(0, least(1, ((CAST(100 AS DOUBLE) * CAST(4.2 AS DOUBLE) + revi
 
 
 # --- components ------------------------------------------------------------------------------------
-def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ratings(spark: SparkSession, sf_dir: str, seen: DataFrame | None = None) -> DataFrame:
     """Latest rating per (venue, source); the newest sighting, then the dearest, then the largest."""
     order = F.struct(F.coalesce("published_at", F.lit("")).alias("p"), "price", "quantity", "review_count")
     return (
-        sightings(spark, sf_dir)
+        (sightings(spark, sf_dir) if seen is None else seen)
         .groupBy("venue_id", "source_key")
         .agg(F.max_by(F.struct("rating", "review_count"), order).alias("r"))
         .select("venue_id", "source_key", "r.rating", "r.review_count")
@@ -89,15 +89,18 @@ FROM ({DUCK_POOL}) JOIN ({DUCK_REC}) USING (venue_id)"""
 
 
 # --- the whole score ---------------------------------------------------------------------------------
-def features(spark: SparkSession, sf_dir: str, ev: DataFrame | None = None) -> DataFrame:
+def features(
+    spark: SparkSession, sf_dir: str, ev: DataFrame | None = None, seen: DataFrame | None = None
+) -> DataFrame:
     """Stand-in venue features: everything ``score_categories`` reads, one row per venue."""
-    ev = evidence(spark, sf_dir) if ev is None else ev
-    rates = ratings(spark, sf_dir)
+    seen = sightings(spark, sf_dir) if seen is None else seen
+    ev = evidence(spark, sf_dir, seen) if ev is None else ev
+    rates = ratings(spark, sf_dir, seen)
     maps = rates.groupBy("venue_id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("source_key", F.struct("rating", "review_count").alias("r"))))).alias("ratings")
     )
     hits = (
-        sightings(spark, sf_dir).where("query = 'P'").groupBy("venue_id", "category_key").agg(F.count(F.lit(1)).alias("n"))
+        seen.where("query = 'P'").groupBy("venue_id", "category_key").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("venue_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category_key", "n")))).alias("keyword_hits"))
     )
     summary = merge.evidence_summary(ev).select("venue_id", "source_keys", "independent_sources")
@@ -116,10 +119,12 @@ def features(spark: SparkSession, sf_dir: str, ev: DataFrame | None = None) -> D
 
 
 def scores(spark: SparkSession, sf_dir: str, hide_visited: bool = False) -> DataFrame:
-    ev = materialise(evidence(spark, sf_dir))
+    # stored sightings and evidence, as a real run has them: each is read several times below
+    seen = materialise(sightings(spark, sf_dir).drop("name", "run_id", "order_no", "line_no"))
+    ev = materialise(evidence(spark, sf_dir, seen))
     table = category_table(spark, CATEGORIES)
     return scoring.score_categories(
-        materialise(features(spark, sf_dir, ev)), scoring.category_pool(ev, table), table, weight_table(spark, CATEGORIES), TODAY,
+        materialise(features(spark, sf_dir, ev, seen)), scoring.category_pool(ev, table), table, weight_table(spark, CATEGORIES), TODAY,
         PARAMS, personal(spark, sf_dir), hide_visited,
     )
 
@@ -152,7 +157,7 @@ DUCK_POOLED = f"""SELECT *, {DUCK_REASON} AS excluded_reason FROM (
 def hard_filter_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = category_pool(spark, sf_dir)
     table = category_table(spark, CATEGORIES).drop("queries", "keywords", "pool")
-    rows = pool.join(F.broadcast(table), "category_key").join(venues(spark, sf_dir), "venue_id")  # configuration
+    rows = pool.join(F.broadcast(table), "category_key").join(scoring.with_traits(venues(spark, sf_dir)), "venue_id")  # configuration
     rows = rows.join(personal(spark, sf_dir), "venue_id", "left")
     reason = F.when(F.col("status") == "excluded", "excluded by you").otherwise(
         scoring.hard_filter_reason(TODAY, PARAMS, F.col("own_query"))

@@ -117,9 +117,9 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, MENTIONS)
 
 
-def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def evidence(spark: SparkSession, sf_dir: str, seen: DataFrame | None = None) -> DataFrame:
     """Sightings merged to one row per (venue, source, url), as the merge does it."""
-    s = sightings(spark, sf_dir)
+    s = sightings(spark, sf_dir) if seen is None else seen
     order = F.struct(
         (-F.col("confidence")).alias("c"), F.coalesce("published_at", F.lit("9999")).alias("p")
     )

@@ -331,16 +331,18 @@ def _attach_only(
         )
         hits = match_exact(pending, index).withColumn("score", F.lit(None).cast("double"))
         if fuzzy:
-            rest = pending.join(hits, "node", "left_anti")
-            near = fuzzy_matches(
-                rest.select(F.col("node").alias("query_id"), "name_key", "postal", "ord", "catalogue"),
-                index.groupBy("entity", "name_key", "postal", "entity_ord").agg(F.min("since").alias("since")),
-                params.fuzzy_threshold,
-                params.catalogue_threshold,
-            )
-            hits = hits.union(
-                near.select(F.col("query_id").alias("node"), "entity", F.lit("fuzzy_name"), "score")
-            )
+            hits = materialise(hits)
+            rest = materialise(pending.join(hits, "node", "left_anti"))
+            if not rest.isEmpty():
+                near = fuzzy_matches(
+                    rest.select(F.col("node").alias("query_id"), "name_key", "postal", "ord", "catalogue"),
+                    index.groupBy("entity", "name_key", "postal", "entity_ord").agg(F.min("since").alias("since")),
+                    params.fuzzy_threshold,
+                    params.catalogue_threshold,
+                )
+                hits = hits.union(
+                    near.select(F.col("query_id").alias("node"), "entity", F.lit("fuzzy_name"), "score")
+                )
         hits = materialise(hits)
         if hits.isEmpty():
             return done

@@ -31,7 +31,7 @@ GROUP_KEYWORDS = {
 
 @dataclass(frozen=True)
 class ScoringParams:
-    """Numbers of the scoring formula; defaults are the code defaults of the original tool."""
+    """Numbers of the scoring formula; the defaults are part of the semantics."""
 
     top_n: int = 15
     fuzzy_threshold: float = 88.0

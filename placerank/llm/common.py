@@ -43,6 +43,15 @@ def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inn
     return df.join(named, cond, how).drop(*[f"_k_{k}" for k in keys])
 
 
+def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About `rows` rows at most, for fitting a model: all of a small table, else those whose hash of `key` falls under
+    rows / count.  The same rows in every run; never more than twice `rows`."""
+    n, span = df.count(), 1 << 40
+    if n <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(span)) < int(span * rows / n)).limit(2 * rows)
+
+
 def spread_sums(
     df: DataFrame, by: str, value: str, order: Sequence[str], stats: DataFrame, out: str = "before"
 ) -> DataFrame:

@@ -5,17 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from placerank.llm.common import read
+from placerank.llm.language import predict_languages
 from placerank.llm.mixing import mix_report
+from placerank.llm.quality import quality_verdicts
 from placerank.llm.sharding import shard
+from placerank.llm.token_files import token_table
+
+
+def tokenizer_file() -> str:
+    """The public tokenizer's file; its place is a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_table(read(spark, sf_dir, "documents"), tokenizer_file())
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(read(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(read(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_token_files, op7_mixing, op9_language_id, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}

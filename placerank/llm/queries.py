@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from placerank.llm.common import read
 from placerank.llm.language import predict_languages
 from placerank.llm.mixing import mix_report
+from placerank.llm.near_dedup import near_duplicates
 from placerank.llm.page_text import extract_pages
 from placerank.llm.quality import quality_verdicts
 from placerank.llm.sharding import shard
@@ -24,6 +25,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(read(spark, sf_dir, "pages"))
 
@@ -44,5 +49,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_page_text, op6_token_files, op7_mixing, op9_language_id, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_near_dedup, op5_page_text, op6_token_files, op7_mixing, op9_language_id, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}

@@ -13,8 +13,14 @@ SLICE_BYTES = 4_000_000
 
 
 def text_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
-    """The text column as strings, nulls as empty texts."""
-    return pc.fill_null(batch.column(batch.schema.get_field_index(column)).cast(pa.large_string()), "")
+    """The text column as strings, nulls as empty texts.
+
+    Offsets are rebased to 0: the ASCII kernels misread arrays that begin inside their data buffer."""
+    texts = pc.fill_null(batch.column(batch.schema.get_field_index(column)).cast(pa.large_string()), "")
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = data.slice(int(ends[0]), int(ends[-1] - ends[0])) if data is not None else pa.py_buffer(b"")
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(np.ascontiguousarray(ends - ends[0])), data)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ and page statistics let a reader skip to the documents it wants, and metadata is
 from __future__ import annotations
 
 import itertools
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,7 +24,11 @@ from placerank.session import ensure_checkpoint_dir
 
 END = 2
 #: Distinct words a worker remembers the ids of; then it starts afresh.
-KNOWN = 300_000
+KNOWN = 150_000
+#: A word that ends in ASCII marks after a letter or number: the tokenizer's pieces part there, so both are looked up alone.
+MARKED = r"^(.*[\p{L}\p{N}])([!-/:-@\[-`{-~]+)$"
+#: Text bytes encoded at once.
+SLICE = 2_000_000
 #: Writer settings: data-page version 2 gives delta encoding of integers where no dictionary is used; a dictionary is
 #: kept for the ids until it outgrows its page; row groups of 16 MB and pages of 64 kB keep selective reads small.
 WRITER = {
@@ -34,47 +39,71 @@ WRITER = {
 
 
 class WordIds:
-    """Ids of ASCII-space separated words by a tokenizer that drops white space: each distinct word is encoded once.
+    """Ids of ASCII-space separated words by a tokenizer that drops white space: a worker encodes a word, without the
+    marks at its end, once while it remembers it.
 
-    White space never joins two words here: the tokenizer's pieces contain none, and no normalisation crosses a blank."""
+    White space never joins two words here: the tokenizer's pieces contain none, and no normalisation crosses a blank.
+    As the tokenizer lower-cases, A-Z are lowered first unless a text may hold the name of a special token."""
 
     def __init__(self, file: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; each thread would hold memory of its own
         self.tokenizer = Tokenizer.from_file(file)
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids, self.starts, self.counts = [], [], []
+        self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _learn(self, new: list[str]) -> None:
-        for got, word in zip(self.tokenizer.encode_batch_fast(new, add_special_tokens=False), new, strict=True):
-            self.known[word] = len(self.starts)
-            self.starts.append(len(self.ids))
-            self.counts.append(len(got.ids))
-            self.ids.extend(got.ids)
+        """Append the ids of new words; a few thousand encodings exist at once."""
+        ids, counts = [self.ids], []
+        for at in range(0, len(new), 2_000):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(new[at : at + 2_000], add_special_tokens=False)]
+            counts += map(len, got)
+            ids.append(np.fromiter(itertools.chain.from_iterable(got), np.int32))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.ids = np.concatenate(ids)
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.array(counts, np.int64))])
+
+    def _pool(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, concatenated, and where each begins: those of its head, then of its marks."""
+        head, marks = pc.replace_substring_regex(distinct, MARKED, r"\1"), pc.replace_substring_regex(distinct, MARKED, r"\2")
+        marks = pc.if_else(pc.equal(head, distinct), "", marks)
+        if len(self.known) > KNOWN:
+            self._forget()
+        coded = [x.dictionary_encode() for x in (head, marks)]
+        pieces = [x.dictionary.to_pylist() for x in coded]
+        if new := [w for w in dict.fromkeys(itertools.chain(*pieces)) if w not in self.known]:
+            self._learn(new)
+        at = np.empty(2 * len(distinct), np.int64)
+        for k in (0, 1):
+            at[k::2] = np.fromiter(map(self.known.__getitem__, pieces[k]), np.int64, len(pieces[k]))[np.asarray(coded[k].indices)] if len(distinct) else 0
+        start, count = self.starts[at], np.diff(self.starts)[at]
+        done = np.concatenate([[0], np.cumsum(count)])
+        return self.ids[np.repeat(start - done[:-1], count) + np.arange(done[-1])], done[::2]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in row order with END after each row, and ids per row."""
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.ascii_lower(texts)
         flat, row = split_pieces(pc.ascii_split_whitespace(texts))
         coded = flat.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.known) > KNOWN:
-            self.known, self.ids, self.starts, self.counts = {}, [], [], []
-        self._learn([w for w in distinct if w not in self.known])
-        at = np.fromiter((self.known[w] for w in distinct), np.int64, len(distinct))
-        count = np.asarray(self.counts, np.int64)[at]
-        local = np.concatenate([[0], np.cumsum(count)])
-        start = np.asarray(self.starts, np.int64)[at]
-        pool = np.asarray(self.ids, np.int32)[np.repeat(start - local[:-1], count) + np.arange(local[-1])]
-        pool = np.append(pool, np.int32(END))
-        code = np.asarray(coded.indices).astype(np.int64)
-        # an END entry after the last word of every row
-        ends = np.cumsum(np.bincount(row, minlength=len(texts)))
-        start = np.insert(local[:-1][code] if len(code) else np.zeros(0, np.int64), ends, local[-1])
-        count = np.insert(count[code] if len(code) else np.zeros(0, np.int64), ends, 1)
-        owner = np.insert(row, ends, np.arange(len(texts)))
-        done = np.concatenate([[0], np.cumsum(count)])
-        ids = pool[np.repeat(start - done[:-1], count) + np.arange(done[-1])]
-        return ids, np.bincount(owner, weights=count, minlength=len(texts)).astype(np.int64)
+        pool, starts = self._pool(coded.dictionary)
+        at = np.asarray(coded.indices)
+        start, count = starts[at], np.diff(starts)[at]
+        n = np.bincount(row, weights=count, minlength=len(texts)).astype(np.int64) + 1
+        ends = np.cumsum(n) - 1
+        out = np.empty(int(n.sum()), np.int32)
+        word = np.ones(len(out), bool)
+        word[ends] = False
+        done = np.cumsum(count)
+        source = np.repeat(start - (done - count), count)
+        source += np.arange(len(source))
+        out[word] = pool[source]
+        out[ends] = END
+        return out, n
 
 
 def encode_texts(docs: DataFrame, file: str, keep: str = "doc_id") -> DataFrame:
@@ -83,7 +112,7 @@ def encode_texts(docs: DataFrame, file: str, keep: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(file)
         for whole in batches:
-            for part in slices(whole, limit=1_000_000):
+            for part in slices(whole, limit=SLICE):
                 texts = text_of(part)
                 ids, n = words.encode(texts)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids))

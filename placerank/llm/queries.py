@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from placerank.llm.common import read
+from placerank.llm.decontaminate import contaminated
 from placerank.llm.language import predict_languages
 from placerank.llm.mixing import mix_report
 from placerank.llm.near_dedup import near_duplicates
 from placerank.llm.page_text import extract_pages
 from placerank.llm.quality import quality_verdicts
+from placerank.llm.secrets import scan
 from placerank.llm.sharding import shard
 from placerank.llm.token_files import token_table
 
@@ -25,6 +27,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -41,6 +47,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(read(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(read(spark, sf_dir, "documents"))
 
@@ -49,5 +59,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_near_dedup, op5_page_text, op6_token_files, op7_mixing, op9_language_id, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_decontamination, op4_near_dedup, op5_page_text, op6_token_files, op7_mixing, op8_secret_scan, op9_language_id, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}

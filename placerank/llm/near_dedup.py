@@ -195,9 +195,9 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size:
     return rows_.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     """The columns of `docs`, one document of each component; of repeated rows with one doc_id one stays."""
-    verdict = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    verdict = near_duplicates(docs, size=size).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].cast("long").alias("_doc"))
     rows = rows.join(verdict, F.col("_doc").eqNullSafe(F.col("_kept")), "left_semi")
     return rows.dropDuplicates(["_doc"]).select("_row.*")

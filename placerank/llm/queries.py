@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from placerank.llm.chat import chat_report
 from placerank.llm.common import read
 from placerank.llm.decontaminate import contaminated
 from placerank.llm.language import predict_languages
@@ -23,6 +24,10 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_report(read(spark, sf_dir, "conversations"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -59,5 +64,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_decontamination, op4_near_dedup, op5_page_text, op6_token_files, op7_mixing, op8_secret_scan, op9_language_id, op10_sharding)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_formatting, op2_quality_rules, op3_decontamination, op4_near_dedup, op5_page_text, op6_token_files, op7_mixing,
+        op8_secret_scan, op9_language_id, op10_sharding,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}

@@ -43,8 +43,9 @@ def source_targets(
     per = per.withColumn("_level", left / weight)
     fits = F.col("_level") * F.col("_w") <= F.col("_cap")
     ratio = (F.col("_cap") / F.col("_w")).alias("ratio")
-    first = F.min(F.when(fits, F.struct(ratio, F.col("_level").alias("level")))).over(everything)
-    target = F.when(first.isNull() | (ratio < first["ratio"]), F.col("_cap")).otherwise(F.least(F.col("_cap"), first["level"] * F.col("_w")))
+    # of sources with one ratio the first has the highest level
+    first = F.min(F.when(fits, F.struct(ratio, (-F.col("_level")).alias("down")))).over(everything)
+    target = F.when(first.isNull() | (ratio < first["ratio"]), F.col("_cap")).otherwise(F.least(F.col("_cap"), -first["down"] * F.col("_w")))
     return per.select("source", "n_rows", "source_size", target.alias("target"), slope.alias("slope"))
 
 
@@ -52,7 +53,7 @@ def demanded_at(offset: Column, target: Column, slope: Column) -> Column:
     """Time at which the integrated schedule has demanded `offset` of `target` words: the root of
     slope/2 * t^2 + (1 - slope/2) * t = offset/target, in a form that holds for slope 0 as well."""
     u, b = offset / target, 1 - slope / 2
-    return 2 * u / (b + F.sqrt(F.greatest(b * b + 2 * slope * u, F.lit(0.0))))
+    return F.coalesce(F.try_divide(2 * u, b + F.sqrt(F.greatest(b * b + 2 * slope * u, F.lit(0.0)))), F.lit(0.0))
 
 
 def mix(

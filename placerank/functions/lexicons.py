@@ -6,17 +6,21 @@ Nothing here is logic.  The order of the entries matters wherever first match wi
 from __future__ import annotations
 
 # --- dates -------------------------------------------------------------------------------------
-MONTHS = (
-    "january february march april may june july august september october november december "
-    "jan feb mar apr jun jul aug sep sept oct nov dec"
-).split()
+MONTHS = [
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october",
+    "november", "december", "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "sept", "oct", "nov",
+    "dec",
+]
 
 # --- names -------------------------------------------------------------------------------------
-LEGAL_WORDS = "pte ltd llp llc inc sg singapore sgp".split()
-NOISE_WORDS = (
-    "restaurant restaurants cafe coffee bar bistro kitchen eatery eating house place the pte ltd "
-    "llp sg singapore sgp outlet branch seafood food stall and"
-).split()
+LEGAL_WORDS = [
+    "pte", "ltd", "llp", "llc", "inc", "sg", "singapore", "sgp",
+]
+NOISE_WORDS = [
+    "restaurant", "restaurants", "cafe", "coffee", "bar", "bistro", "kitchen", "eatery", "eating", "house",
+    "place", "the", "pte", "ltd", "llp", "sg", "singapore", "sgp", "outlet", "branch", "seafood", "food",
+    "stall", "and",
+]
 ARTICLES = ["the", "a", "an"]
 SKIP_HEADINGS = (
     "conclusion", "final thoughts", "summary", "faq", "faqs", "related articles", "read more",
@@ -194,19 +198,22 @@ NEWNESS_SLUG = (
     r"(?:^|[-/])(?:new|opening|openings|opened|latest|january|february|march|april|may|june|"
     r"july|august|september|october|november|december|20\d\d)(?=[-/]|$)"
 )
-GENERIC_QUERY_WORDS = (
-    "best top singapore sg for a an the in of and with to near new places spots guide date night "
-    "couples couple family families kids weekend instagrammable tiktok viral group latest newly "
-    "opened openings this month"
-).split()
-FOOD_QUERY_WORDS = "restaurant food cafe place spot dining eat eatery".split()
+GENERIC_QUERY_WORDS = [
+    "best", "top", "singapore", "sg", "for", "a", "an", "the", "in", "of", "and", "with", "to", "near", "new",
+    "places", "spots", "guide", "date", "night", "couples", "couple", "family", "families", "kids", "weekend",
+    "instagrammable", "tiktok", "viral", "group", "latest", "newly", "opened", "openings", "this", "month",
+]
+FOOD_QUERY_WORDS = [
+    "restaurant", "food", "cafe", "place", "spot", "dining", "eat", "eatery",
+]
 LISTICLE_WORDS = ["best", "top", "guide", "places", "cafes", "restaurants"]
 
 # --- threads ------------------------------------------------------------------------------------
-GENERIC_STARTS = (
-    "I The This That It Singapore Reddit Edit Also Yes No Not Best Good Great Nice Try Go Google "
-    "Michelin Instagram TikTok MRT CBD Orchard Chinatown East West North South"
-).split()
+GENERIC_STARTS = [
+    "I", "The", "This", "That", "It", "Singapore", "Reddit", "Edit", "Also", "Yes", "No", "Not", "Best",
+    "Good", "Great", "Nice", "Try", "Go", "Google", "Michelin", "Instagram", "TikTok", "MRT", "CBD",
+    "Orchard", "Chinatown", "East", "West", "North", "South",
+]
 AREA_NAMES = [
     "commonwealth", "bukit timah", "tiong bahru", "katong", "joo chiat", "tanjong pagar",
     "holland village", "holland v", "jurong", "jurong east", "jurong west", "tampines", "bedok",

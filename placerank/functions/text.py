@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from placerank.functions.base import first_group, java_quote, strings
 from placerank.functions.lexicons import MONTHS, SKIP_HEADINGS
 
+# Patterns that decide which texts count as a postal code, phone, address, hours or heading
 POSTAL = r"(?iU)(?<!\d)(?:Singapore\s*|S\(?)?(\d{6})\)?(?!\d)"
 PHONE = r"(?U)(?<!\d)(?:\+65[\s-]?)?([689]\d{3})[\s-]?(\d{4})(?!\d)"
 ADDRESS = (

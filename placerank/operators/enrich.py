@@ -11,8 +11,6 @@ from placerank.functions.geo import EARTH_RADIUS_M, haversine_m
 from placerank.session import materialise
 
 METRES_PER_DEGREE = 2 * math.pi * EARTH_RADIUS_M / 360.0
-# A station table up to this size is carried inside the plan; larger ones are joined by grid cells.
-SMALL_TABLE = 512
 
 
 def geocode(venues: DataFrame, gazetteer: DataFrame) -> DataFrame:
@@ -44,30 +42,8 @@ def geocode(venues: DataFrame, gazetteer: DataFrame) -> DataFrame:
 def nearest_station(places: DataFrame, stations: DataFrame, id_col: str = "venue_id") -> DataFrame:
     """(id, station, metres, lines) of the closest station; the first by name on equal distance.
 
-    ``stations``: name, lat, lng, lines.  A small table (its size is checked) rides along as one
-    constant array, so places are only scanned; a larger one goes through :func:`nearest_by_grid`."""
-    head = stations.select("name", "lat", "lng", "lines").limit(SMALL_TABLE + 1).collect()
-    if len(head) > SMALL_TABLE:
-        return nearest_by_grid(places, stations, id_col)
-    here = places.where("lat is not null and lng is not null")
-    options = F.array(
-        *[
-            F.struct(
-                F.lit(r["lat"]).alias("lat"), F.lit(r["lng"]).alias("lng"), F.lit(r["name"]).alias("name"),
-                F.array(*[F.lit(x) for x in r["lines"] or []]).cast("array<string>").alias("lines"),
-            )
-            for r in sorted(head, key=lambda r: r["name"])
-        ]
-    )
-    measured = F.transform(
-        options,
-        lambda s: F.struct(
-            haversine_m(F.col("lat"), F.col("lng"), s["lat"], s["lng"]).alias("metres"),
-            s["name"].alias("name"), s["lines"].alias("lines"),
-        ),
-    )
-    best = here.select(id_col, F.array_min(measured).alias("b"))
-    return best.select(id_col, F.col("b.name").alias("station"), F.col("b.metres").alias("metres"), F.col("b.lines").alias("lines"))
+    ``stations``: name, lat, lng, lines.  The same grid join for every size of the station table."""
+    return nearest_by_grid(places, stations, id_col)
 
 
 def _cells(degrees: float) -> tuple[Column, Column]:
@@ -81,17 +57,22 @@ def nearest_by_grid(
 
     Stations are written into their cell and its eight neighbours; a place meets those of its own
     cell.  A hit closer than one cell width is final (anything nearer would share a neighbouring
-    cell); the rest try again with cells four times as wide.  Stations at the same spot count once."""
+    cell); the rest try again with cells four times as wide.  Stations at the same spot count once,
+    those without coordinates never; near the date line a station also stands on the other side of it."""
     here = places.where("lat is not null and lng is not null").select(id_col, "lat", "lng")
     spots = materialise(
-        stations.groupBy("lat", "lng").agg(F.min_by(F.struct("name", "lines"), "name").alias("s"))
+        stations.where("lat is not null and lng is not null")
+        .groupBy("lat", "lng")
+        .agg(F.min_by(F.struct("name", "lines"), "name").alias("s"))
     )
     pending, done, width = materialise(here), None, first_cell
     while True:
         whole_earth = width > 360
         y, x = _cells(width)
         ring = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-        spread = spots.select(
+        east, west = F.col("lng") > 180 - 2 * width, F.col("lng") < 2 * width - 180
+        copies = spots.union(spots.where(east).withColumn("lng", F.col("lng") - 360)).union(spots.where(west).withColumn("lng", F.col("lng") + 360))
+        spread = (spots if whole_earth else copies).select(
             F.col("lat").alias("slat"), F.col("lng").alias("slng"), "s", y.alias("y"), x.alias("x"), F.explode(ring).alias("d")
         ).select("slat", "slng", "s", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"))
         metres = haversine_m(F.col("lat"), F.col("lng"), F.col("slat"), F.col("slng"))

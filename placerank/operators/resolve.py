@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from placerank.functions.base import truthy
 from placerank.functions.names import name_key
@@ -171,6 +172,20 @@ def follow_pointers(pointers: DataFrame) -> DataFrame:
         state = moved.select("node", "root")
 
 
+def _claims(index: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and ``f`` (entity_ord, since, entity): what a lookup at any time needs to find the earliest entity of a key.
+
+    An entity counts from its ``since`` on, so an older entity that took the key late does not hide a younger one that
+    had it before.  Only entities known before all older ones of the key can ever win: beside the oldest itself, those
+    with a smaller ``since`` than it, thinned by a running minimum."""
+    one = index.groupBy(*keys, "entity_ord", "entity").agg(F.min("since").alias("since"))
+    oldest = one.groupBy(*keys).agg(F.min(F.struct("entity_ord", "since", "entity")).alias("f"))
+    rivals = one.join(oldest, keys).where(F.col("since") < F.col("f.since")).select(*keys, "entity_ord", "since", "entity")
+    before = Window.partitionBy(*keys).orderBy("entity_ord", "since").rowsBetween(Window.unboundedPreceding, -1)
+    rivals = rivals.withColumn("_best", F.min("since").over(before)).where(F.col("_best").isNull() | (F.col("since") < F.col("_best")))
+    return oldest.union(rivals.select(*keys, F.struct("entity_ord", "since", "entity").alias("f")))
+
+
 def fuzzy_matches(
     queries: DataFrame, index: DataFrame, threshold: float, catalogue_threshold: float
 ) -> DataFrame:
@@ -190,20 +205,19 @@ def fuzzy_matches(
             F.col("score") >= threshold
         )
     )
-    # names -> entities: reduce to the earliest entity per (name, postal) before meeting the queries
-    first = e.groupBy("right_text", "ep").agg(
-        F.min(F.struct("entity_ord", "since", "entity")).alias("f")
-    )
-    anywhere = e.groupBy("right_text").agg(F.min(F.struct("entity_ord", "since", "entity")).alias("f"))
+    # names -> entities: reduce to those that can win for a (name, postal) before meeting the queries
+    placed = _claims(e.where("ep is not null"), ["right_text", "ep"])
+    homeless = _claims(e.where("ep is null"), ["right_text"])
+    anywhere = _claims(e, ["right_text"])
     named = q.join(scored, "left_text")
     options = [
         # same postal code
         named.where("qp is not null").join(
-            first.withColumnRenamed("ep", "qp").where("qp is not null"), ["right_text", "qp"]
+            placed.withColumnRenamed("ep", "qp"), ["right_text", "qp"]
         ),
         # the venue has none
         named.where("qp is not null").join(
-            first.where("ep is null").drop("ep"), ["right_text"]
+            homeless, ["right_text"]
         ),
         # the sighting has none
         named.where("qp is null").join(anywhere, ["right_text"]),
@@ -284,16 +298,11 @@ def match_exact(rows: DataFrame, index: DataFrame) -> DataFrame:
         ),
         start=1,
     ):
-        first = (
-            index.where(F.forall(F.array(*keys), lambda k: k.isNotNull()))
-            .groupBy(*keys)
-            .agg(F.min(F.struct("entity_ord", "since", "entity")).alias("f"))
-        )
+        first = _claims(index.where(F.forall(F.array(*keys), lambda k: k.isNotNull())), keys)
         tiers.append(rows.join(first, keys).select("node", "ord", "f", F.lit(tier).alias("tier"), F.lit(label).alias("method")))
     named = index.where("name_key is not null")
-    smallest = F.min(F.struct("entity_ord", "since", "entity")).alias("f")
-    anywhere = named.groupBy("name_key").agg(smallest)
-    homeless = named.where("postal is null").groupBy("name_key").agg(smallest)
+    anywhere = _claims(named, ["name_key"])
+    homeless = _claims(named.where("postal is null"), ["name_key"])
     for side, first in ((F.col("postal").isNull(), anywhere), (F.col("postal").isNotNull(), homeless)):
         tiers.append(
             rows.where(side).join(first, "name_key")
@@ -302,7 +311,7 @@ def match_exact(rows: DataFrame, index: DataFrame) -> DataFrame:
     every = tiers[0]
     for t in tiers[1:]:
         every = every.union(t)
-    best = F.min_by(F.struct("f.entity", "method"), "tier").alias("b")
+    best = F.min_by(F.struct("f.entity", "method"), F.struct("tier", "f.entity_ord")).alias("b")
     return (
         every.where(F.col("f.since") < F.col("ord"))
         .groupBy("node")
@@ -371,7 +380,8 @@ def resolve(
     ``assignments`` carries all sighting columns plus venue_id, method, match_score, ``ord`` and
     the venue's kept name."""
     params = params or ScoringParams()
-    keyed = materialise(match_keys(with_ingest_order(sightings)))
+    # rows are numbered after the checkpoint, so that of identical sightings always the same one leads its node
+    keyed = materialise(match_keys(with_ingest_order(sightings))).withColumn("_row", F.monotonically_increasing_id())
     nodes = _nodes(keyed).withColumn("venue_id", F.lit(None).cast("string"))
     creators = nodes.where("creator")
     if known is not None:
@@ -406,8 +416,9 @@ def resolve(
         .when(F.col("booking").isNotNull(), "booking_link")
         .otherwise("name_exact")
     )
-    leads = F.col("ord") == F.col("node_ord")
-    assigned = keyed.join(by_node, "node", "left").select(
+    leader = keyed.groupBy("node").agg(F.min(F.struct("ord", "_row")).alias("_lead")).select("node", F.col("_lead._row").alias("_lead"))
+    leads = (F.col("ord") == F.col("node_ord")) & (F.col("_row") == F.col("_lead"))
+    assigned = keyed.join(by_node, "node", "left").join(leader, "node", "left").select(
         *sightings.columns, "ord", "name_key", "venue_id",
         F.when(F.col("venue_id").isNull(), "none")
         .when(F.col("is_start") & F.col("is_new") & leads, "created")

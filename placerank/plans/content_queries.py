@@ -117,7 +117,7 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- pages -----------------------------------------------------------------------------------------
 PLAIN = """trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(X,
   '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
-  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'))"""
+  '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&quot;', '"'), '&amp;', '&'), '&amp', '&'), '\\s+', ' ', 'g'))"""
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,8 +256,7 @@ def list_group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from placerank.plans.serve import group_counts
 
     groups = spark.createDataFrame([("looking", "view"), ("looking", "click"), ("buying", "purchase"), ("all", "view"), ("all", "purchase")], "group_key string, category_key string")
-    ranked = _run_scores(spark, sf_dir, "run2").where(F.col("rank") <= 60)
-    return group_counts(ranked, groups)
+    return group_counts(_run_scores(spark, sf_dir, "run2"), groups)
 
 
 def registry_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -399,7 +398,7 @@ QUERIES = {
     "cards_to_send": (cards_to_send, DUCK_CARDS),
     "best_ranks": (best_ranks, DUCK_INDEX),
     "list_group_counts": (list_group_counts, f"""SELECT group_key, count(DISTINCT venue_id) AS places FROM {R2} JOIN (VALUES ('looking','view'),('looking','click'),('buying','purchase'),('all','view'),('all','purchase')) g(group_key, category_key) USING (category_key)
-        WHERE rank <= 60 GROUP BY 1"""),
+        GROUP BY 1"""),
     "registry_backfill": (registry_backfill, f"""WITH c AS (SELECT * FROM {DUCK_STATES} WHERE run_id = 'run2' AND CAST(substr(venue_id, 2) AS BIGINT) % 3 > 0), o AS (SELECT * FROM {DUCK_STATES} WHERE run_id = 'run1')
         SELECT venue_id, run_id, rating FROM c UNION ALL SELECT venue_id, run_id, rating FROM o WHERE venue_id NOT IN (SELECT venue_id FROM c) AND venue_id IN (SELECT venue_id FROM {R2})"""),
     "previous_run": (previous_run, f"SELECT max(run_id) AS run_id FROM ({M}) WHERE run_id < 'run2'"),

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placerank.params import Category, ScoringParams
-from placerank.session import spread
 
 TODAY = "2001-12-01"
 MENTIONS_TODAY = "2024-02-01"
@@ -19,7 +18,6 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents pages conversations"
 ).split()
 
-LARGE = ("lineitem", "events", "documents", "pages", "conversations")
 
 SIGHTINGS = """
 SELECT 'v' || lpad(CAST(l.l_partkey AS STRING), 8, '0') AS venue_id,
@@ -105,7 +103,6 @@ def duck(sql: str, **views: str) -> str:
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The SQL over the parquet tables of ``sf_dir``; only the tables it names are opened."""
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql}
-    used = {t: spread(df) if t in LARGE else df for t, df in used.items()}
     return spark.sql(sql, **used)
 
 

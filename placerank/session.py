@@ -17,6 +17,7 @@ def build_session(app: str = "placerank", master: str | None = None, **conf: str
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -46,14 +47,3 @@ def materialise(df: DataFrame) -> DataFrame:
     when an executor is lost in between."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Shuffle a table once when it arrives in fewer splits than there are cores to work on it.
-
-    A file with one row group is one split whatever its size; large tables have splits to spare and
-    pass unchanged.  Round robin: no key decides where a row goes and unread columns stay unread."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)

@@ -6,10 +6,12 @@ Only tree splitting runs in Python (one pass per Arrow batch); every field is a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from placerank.functions.awards import distinction
 from placerank.functions.base import first_group, java_quote, let, strings, truthy
@@ -215,17 +217,16 @@ def listings(jsonld: DataFrame, cards: DataFrame) -> DataFrame:
 
 
 # --- metadata ----------------------------------------------------------------------------------------
-# Named character references that occur in running text
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+@F.pandas_udf(StringType())
+def decode_references(text: pd.Series) -> pd.Series:
+    """All HTML5 character references, named and numeric; texts without one are passed on."""
+    return text.map(lambda t: unescape(t) if t and "&" in t else t)
 
 
 def plain_text(html: Column) -> Column:
-    """Visible text of an HTML fragment: tags become blanks, blanks collapse."""
+    """Visible text of an HTML fragment: tags become blanks, references characters, blanks collapse."""
     text = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
-    text = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
-    for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return collapse_spaces(text)
+    return collapse_spaces(decode_references(F.regexp_replace(text, r"(?s)<[^>]*>", " ")))
 
 
 def meta_content(html: Column, attr: str, value: str) -> Column:

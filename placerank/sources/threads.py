@@ -14,6 +14,7 @@ REMOVED = ["[deleted]", "[removed]"]
 _REPLY = "struct<data:struct<body:string,replies:struct<data:struct<children:array<struct<data:struct<body:string>>>>>>>"
 COMMENTS = f"array<{_REPLY}>"
 
+# Patterns that decide which words of a comment count as a name
 BOLD = r"\*\*([^*\n]{3,60})\*\*"
 LISTED = r"(?mU)^\s*(?:[-*•]|\d{1,2}[.)])\s+([A-Z][^\n:—–-]{2,60}?)(?:\s*[:—–-]|\s*\(|$)"
 AFTER_VERB = r"(?U)\b(?:at|from|try|tried|recommend(?:ed)?)\s+([A-Z][\w'&]+(?:\s+[A-Z][\w'&]+){0,4})"

@@ -1,3 +1,5 @@
+import math
+
 from pyspark.sql import functions as F
 
 from placerank.operators import diff, enrich, validate
@@ -29,11 +31,25 @@ def test_geocode_prefers_the_exact_postal(spark):
     assert rows == {"a": (2.0, True), "b": (None, False), "c": (None, None)}
 
 
-def test_nearest_by_grid_equals_scan(spark):
+def test_nearest_station_equals_scan(spark):
+    """Against all pairs, with places and stations without coordinates, near the poles and on both sides of the date line."""
     places = spark.range(60).select(F.col("id").cast("string").alias("venue_id"), (1.2 + F.col("id") * 7919 % 100 / 300).alias("lat"), (103.6 + F.col("id") * 104729 % 100 / 200).alias("lng"))
+    far = [("e1", 10.0, 179.99), ("e2", 10.0, -179.99), ("e3", -17.0, 178.0), ("n", 89.9, 20.0), ("x", None, 5.0), ("y", 1.0, None)]
+    places = places.union(spark.createDataFrame(far, "venue_id string, lat double, lng double"))
     stations = spark.range(20).select(F.concat(F.lit("s"), "id").alias("name"), (1.2 + F.col("id") * 31 % 17 / 50).alias("lat"), (103.6 + F.col("id") * 53 % 19 / 40).alias("lng"), F.array(F.lit("L")).alias("lines"))
-    key = lambda df: {r.venue_id: round(r.metres, 6) for r in df.collect()}
-    assert key(enrich.nearest_by_grid(places, stations)) == key(enrich.nearest_station(places, stations))
+    more = [("lost", None, None, None), ("half", 1.3, None, ["L"]), ("date", 10.0, -179.98, ["D"]), ("east", 10.0, 179.5, []), ("pole", 89.0, -160.0, ["P"])]
+    stations = stations.union(spark.createDataFrame(more, "name string, lat double, lng double, lines array<string>"))
+    want = {}
+    for p in places.where("lat is not null and lng is not null").collect():
+        for t in stations.where("lat is not null and lng is not null").collect():
+            a, b, c, d = map(math.radians, (p.lat, p.lng, t.lat, t.lng))
+            h = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2
+            metres = 2 * 6_371_000 * math.asin(min(1, math.sqrt(h)))
+            want[p.venue_id] = min(want.get(p.venue_id, (math.inf, "")), (metres, t.name))
+    got = {r.venue_id: (r.metres, r.station) for r in enrich.nearest_station(places, stations).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k][0] - want[k][0]) < 1 + want[k][0] * 1e-4 for k in want) and got["e1"][1] == got["e2"][1] == "date"
+    assert enrich.nearest_station(places, stations.limit(0)).count() == 0
 
 
 def test_diff_of_a_run_with_itself_is_empty(spark):

@@ -141,3 +141,13 @@ def test_social_exports(spark):
     assert [(r.url, r.creator_handle, r.post_date, r.caption) for r in payloads.search_result_mentions(df).collect()] == [
         ("https://www.instagram.com/cafe.x/", "cafe.x", "2026-03-04", "T Mar 4, 2026 yum"), ("https://www.instagram.com/p/9", None, "2026-02-01", "U"),
     ]
+
+
+def test_page_titles_decode_every_reference(spark):
+    from placerank.sources.pages import page_metadata
+
+    rows = [
+        (1, "<h1>Caf&eacute; Ol&#233; &#8211; best &amp;lt; &copy</h1>"), (2, "<title>A&nbsp;&#x42; &unknown;</title>"), (3, None), (4, "<h1>plain</h1>"),
+    ]
+    got = {r.page_id: r.title for r in page_metadata(spark.createDataFrame(rows, "page_id long, html string")).collect()}
+    assert got == {1: "Café Olé – best &lt; ©", 2: "A B &unknown;", 3: None, 4: "plain"}

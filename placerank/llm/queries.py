@@ -1,4 +1,6 @@
-"""Registered queries of the operators: each applies one to its whole table with production parameters."""
+"""Registered queries of the operators: each applies one to its whole table with production parameters.
+
+`ORACLE_SQL` has the DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -10,6 +12,7 @@ from placerank.llm.decontaminate import contaminated
 from placerank.llm.language import predict_languages
 from placerank.llm.mixing import mix_report
 from placerank.llm.near_dedup import near_duplicates
+from placerank.llm.oracles import ORACLE_SQL
 from placerank.llm.page_text import extract_pages
 from placerank.llm.quality import quality_verdicts
 from placerank.llm.secrets import scan
@@ -71,4 +74,5 @@ QUERIES = {
         op8_secret_scan, op9_language_id, op10_sharding,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

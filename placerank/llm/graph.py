@@ -11,7 +11,7 @@ from placerank.llm.common import materialise
 def components(edges: DataFrame) -> DataFrame:
     """node, label (smallest node of its component) for every node of the edges (a, b); self-loops count as nodes.
 
-    Each round every node points at its smallest neighbour, pointers are followed twice, and the edges are drawn anew
+    Each round every node points at its smallest neighbour, pointers are followed once more, and the edges are drawn anew
     between what they point at; edges inside a component vanish.  A star, however large, takes one round."""
     edges = materialise(edges.select("a", "b").distinct())
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
@@ -20,13 +20,10 @@ def components(edges: DataFrame) -> DataFrame:
     while not live.isEmpty():
         both = live.select("a", "b").union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), F.least("a", "m").alias("p"))
-        to = materialise(to)
         hop = to.select(F.col("x").alias("p"), F.col("p").alias("q"))
-        to = to.join(hop, "p").select("x", F.col("q").alias("p"))
         to = materialise(to.join(hop, "p").select("x", F.col("q").alias("p")))
         labels = labels.join(to.withColumnRenamed("x", "label"), "label", "left").select("node", F.coalesce("p", "label").alias("label"))
-        labels = materialise(labels)
         ends = live.join(to.select(F.col("x").alias("a"), F.col("p").alias("pa")), "a")
         ends = ends.join(to.select(F.col("x").alias("b"), F.col("p").alias("pb")), "b")
         live = materialise(ends.where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())
-    return labels
+    return materialise(labels)

@@ -6,9 +6,9 @@ as soon as all are: a large text needs one round, a short one about t log t / si
 the probability of the sets' similarity, and the number of agreements is concentrated as for independent hashes.
 
 Equal sets are one class.  Sketches of classes are cut into bands of rows; classes with an equal band are candidates.  In
-each bucket all candidates are first compared with its smallest class; the links found are contracted, and only classes
-of a bucket that are still in different components are compared with each other.  So no link is lost against the banding, and a
-group of n near copies costs about n comparisons.  With 48 bands of 6 rows a pair at similarity 0.8 shares no band with
+each bucket all candidates are first compared with a few central classes in turn; the links found are contracted, and only
+classes of a bucket that are still in different components are compared with each other.  So no component is lost against the
+banding, and a group of n near copies costs about n comparisons.  With 48 bands of 6 rows a pair at similarity 0.8 shares no band with
 probability 5e-7.  Every link is confirmed on the full sets of 64-bit shingle hashes.
 """
 
@@ -27,6 +27,10 @@ from placerank.llm.common import materialise
 from placerank.llm.graph import components
 
 BANDS, ROWS, SHINGLE, SIMILARITY = 48, 6, 2, 80
+#: Rounds in which buckets are compared with one hub each, before what is left is compared in full.
+ROUNDS = 2
+#: Classes from which on a component counts as large, and bytes of shingle sets that are compared at once.
+LARGE, BLOCK_BYTES = 8, 1 << 20
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -78,7 +82,7 @@ def sketches(sets: np.ndarray, starts: np.ndarray, t: int) -> np.ndarray:
     for i in range(2 * t):
         if not len(values):
             break
-        h = mixed(values + np.uint64(i) * MIX[1])
+        h = mixed(values + np.uint64(i * int(MIX[1]) & (1 << 64) - 1))
         to = ((h >> np.uint64(32)) * np.uint64(t) >> np.uint64(32)).astype(np.int64) if i < t else np.full(len(h), i - t)
         np.minimum.at(found, owner * t + to, np.uint64(i << 32) | (h & np.uint64(0xFFFFFFFF)))
         if i < 4 or i % 4 == 0:
@@ -134,26 +138,116 @@ def class_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= similarity * union."""
+    """The pairs (a, b, la, lb) whose sets have 100 * intersection >= similarity * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([u, v])
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                both = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)])
                 both.sort(kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
                 hit[i] = 100 * shared >= similarity * (len(both) - shared)
-            yield batch.select([0, 1]).filter(pa.array(hit))
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(hit))
 
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("set_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
-    return joined.mapInArrow(run, "a long, b long")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb", "set_a", "set_b")
+    return joined.mapInArrow(run, "a long, b long, la long, lb long")
+
+
+def pairs_of(rows: DataFrame, a: str, b: str, tested: DataFrame | None, similarity: int) -> DataFrame:
+    """Distinct pairs of nodes `a` and `b` (with sizes a_n, b_n and labels a_label, b_label) that could still be a new link."""
+    fits = (F.col(f"{a}_label") != F.col(f"{b}_label")) & (100 * F.least(f"{a}_n", f"{b}_n") >= similarity * F.greatest(f"{a}_n", f"{b}_n"))
+    pairs = rows.where(fits).select(
+        F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.least(f"{a}_label", f"{b}_label").alias("la"), F.greatest(f"{a}_label", f"{b}_label").alias("lb")
+    )
+    pairs = pairs.dropDuplicates(["a", "b"])
+    return materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+
+
+def class_links(live: DataFrame, sets: DataFrame, similarity: int, rounds: int) -> DataFrame:
+    """Links (a, b) between classes that suffice for the components, from the buckets (band, node, n, score).
+
+    In each round the most central class of a bucket that has not been its hub yet is compared with the members of other
+    components; the links are contracted, and buckets of one component are done.  What is mixed after the rounds is
+    compared across components in full: all classes that share a bucket with a large component against it and each other."""
+    open_ = live.select("band", "node", "n", "score", F.col("node").alias("label"), F.lit(False).alias("was"))
+    links, tested = live.sparkSession.createDataFrame([], "a long, b long"), None
+    for _ in range(rounds):
+        hub = open_.where("not was").groupBy("band").agg(F.max(F.struct("score", "node", "n", "label")).alias("h"))
+        hub = hub.select("band", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.label").alias("hub_label"))
+        joined = open_.join(hub, "band")
+        pairs = pairs_of(joined.select("hub", "hub_n", "hub_label", "node", F.col("n").alias("node_n"), F.col("label").alias("node_label")), "hub", "node", tested, similarity)
+        found = materialise(confirm(pairs, sets, similarity))
+        links = links.union(found.select("a", "b"))
+        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
+        open_ = joined.withColumn("was", F.col("was") | (F.col("node") == F.col("hub"))).select("band", "node", "n", "score", "label", "was")
+        if not found.isEmpty():
+            merged = components(found.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
+            open_ = open_.join(merged, "label", "left").select("band", "node", "n", "score", F.coalesce("to", "label").alias("label"), "was")
+        open_ = materialise(open_)
+        mixed_ = open_.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(~F.col("was")).alias("left")).where("lo <> hi and left")
+        open_ = materialise(open_.join(mixed_.select("band"), "band"))
+        if open_.isEmpty():
+            return links
+    # what no hub has joined: in buckets of small components by pairs; in buckets with a large one the others are compared
+    # with it and with each other in blocks
+    count = open_.select("label", "node").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("c"))
+    open_ = materialise(open_.join(count, "label"))
+    few = open_.where(F.col("c") < LARGE)
+    x = few.select("band", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("label").alias("x_label"))
+    y = few.select("band", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("label").alias("y_label"))
+    cross = x.join(y, "band").where(F.col("x_label") < F.col("y_label"))
+    links = links.union(confirm(pairs_of(cross, "x", "y", tested, similarity), sets, similarity).select("a", "b"))
+    large = open_.where(F.col("c") >= LARGE).select("band", F.col("label").alias("of"), F.col("c").alias("of_c")).distinct()
+    behind = (F.col("c") < F.col("of_c")) | ((F.col("c") == F.col("of_c")) & (F.col("label") < F.col("of")))
+    query = open_.join(large, "band").where((F.col("label") != F.col("of")) & behind).select("of", "node").distinct()
+    members = open_.where(F.col("c") >= LARGE).select(F.col("label").alias("of"), "node").distinct()
+    return links.union(block_links(query, members, sets, similarity))
+
+
+def blocks_of(rows: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """The sets of (of, node) rows packed per `of` into blocks of about BLOCK_BYTES, dealt by a hash of the node."""
+    full = rows.join(sets, "node")
+    total = full.groupBy("of").agg(F.sum(F.length("members") + 64).alias("bytes"))
+    dealt = full.join(total, "of").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("bytes") / BLOCK_BYTES)))
+    return dealt.groupBy("of", "block").agg(F.collect_list(F.struct("node", "members")).alias(name)).drop("block")
+
+
+def block_links(query: DataFrame, members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links (a, b) of the query nodes of each component `of` with all of its members, block by block.
+
+    A pair of blocks is one row, whatever it holds; intersections are counted over the members' inverted lists."""
 
-
-def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q, m in zip(batch.column(0), batch.column(1), strict=True):
+                ids = np.array([r["node"].as_py() for r in m], np.int64)
+                packed = [np.frombuffer(r["members"].as_buffer(), np.uint64) for r in m]
+                value, owner = np.concatenate(packed), np.repeat(np.arange(len(ids)), [len(v) for v in packed])
+                order = np.argsort(value, kind="stable")
+                value, owner = value[order], owner[order]
+                size = np.array([len(v) for v in packed])
+                a, b = [], []
+                for r in q:
+                    own = np.frombuffer(r["members"].as_buffer(), np.uint64)
+                    lo, hi = np.searchsorted(value, own, "left"), np.searchsorted(value, own, "right")
+                    n = hi - lo
+                    at = np.repeat(hi - np.cumsum(n), n) + np.arange(n.sum())
+                    shared = np.bincount(owner[at], minlength=len(ids))
+                    near = ids[100 * shared >= similarity * (size + len(own) - shared)]
+                    a += [r["node"].as_py()] * len(near)
+                    b += near.tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    met = blocks_of(query, sets, "q").join(blocks_of(members, sets, "m"), "of").select("q", "m")
+    return met.mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(
+    docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, similarity: int = SIMILARITY, rounds: int = ROUNDS
+) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept for every row.
 
     Null and blank texts have an empty set and are linked with nothing.  Repeated rows with one doc_id are one document
@@ -164,28 +258,13 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size:
     classes = full.groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("at"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = materialise(classes.select("node", "at.doc_id", "at.mark", "n", "bands"))
     keys = classes.select("node", "n", F.explode("bands").alias("band"))
-    hubs = keys.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "hub")
-    live = materialise(keys.join(hubs, "band").select("band", "hub", "node", "n"))
-    stars = live.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
-    sizes = classes.select(F.col("node").alias("a"), F.col("n").alias("na"))
-    near = (100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
-    stars = materialise(stars.join(sizes, "a").where(near).select("a", "b"))
+    shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    live = materialise(keys.join(shared, "band").select("band", "node", "n", "k"))
+    central = live.groupBy("node").agg(F.sum("k").alias("score"))  # the text that copies were made from is in large buckets
+    live = materialise(live.join(central, "node").select("band", "node", "n", "score"))
     ids = live.select("node").distinct().join(classes.select("node", "doc_id", "mark"), "node")
-    sets = class_sets(docs, ids, size)
-    links = materialise(confirm(stars, sets, similarity))
-    labels = components(links)
-    # buckets that still hold several components: their classes are compared across components
-    open_ = live.join(labels, "node", "left").select("band", "node", "n", F.coalesce("label", "node").alias("label"))
-    mixed_ = open_.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-    open_ = materialise(open_.join(mixed_, "band"))
-    x = open_.select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = open_.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    cross = x.join(y, "band").where(F.col("la") < F.col("lb")).where(near)
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    cross = materialise(cross.join(stars, ["a", "b"], "left_anti"))
-    more = materialise(confirm(cross, sets, similarity))
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    sets = materialise(class_sets(docs, ids, size))
+    labels = components(class_links(live, sets, similarity, rounds))
     # the classes' components name their smallest document
     named = classes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))

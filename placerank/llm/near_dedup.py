@@ -195,15 +195,15 @@ def class_links(live: DataFrame, sets: DataFrame, similarity: int, rounds: int)
     # with it and with each other in blocks
     count = open_.select("label", "node").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("c"))
     open_ = materialise(open_.join(count, "label"))
-    few = open_.where(F.col("c") < LARGE)
+    large = open_.where(F.col("c") >= LARGE).select("band", F.col("label").alias("of"), F.col("c").alias("of_c")).distinct()
+    few = open_.join(large.select("band").distinct(), "band", "left_anti")
     x = few.select("band", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("label").alias("x_label"))
     y = few.select("band", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("label").alias("y_label"))
     cross = x.join(y, "band").where(F.col("x_label") < F.col("y_label"))
     links = links.union(confirm(pairs_of(cross, "x", "y", tested, similarity), sets, similarity).select("a", "b"))
-    large = open_.where(F.col("c") >= LARGE).select("band", F.col("label").alias("of"), F.col("c").alias("of_c")).distinct()
     behind = (F.col("c") < F.col("of_c")) | ((F.col("c") == F.col("of_c")) & (F.col("label") < F.col("of")))
-    query = open_.join(large, "band").where((F.col("label") != F.col("of")) & behind).select("of", "node").distinct()
-    members = open_.where(F.col("c") >= LARGE).select(F.col("label").alias("of"), "node").distinct()
+    query = materialise(open_.join(large, "band").where((F.col("label") != F.col("of")) & behind).select("of", "node").distinct())
+    members = open_.where(F.col("c") >= LARGE).select(F.col("label").alias("of"), "node").distinct().union(query)
     return links.union(block_links(query, members, sets, similarity))
 
 

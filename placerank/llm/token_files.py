@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -17,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from placerank.llm.arrow_text import slices, split_pieces, text_of
 from placerank.llm.common import materialise, small
@@ -24,9 +26,7 @@ from placerank.session import ensure_checkpoint_dir
 
 END = 2
 #: Distinct words a worker remembers the ids of; then it starts afresh.
-KNOWN = 150_000
-#: A word that ends in ASCII marks after a letter or number: the tokenizer's pieces part there, so both are looked up alone.
-MARKED = r"^(.*[\p{L}\p{N}])([!-/:-@\[-`{-~]+)$"
+KNOWN = 600_000
 #: Text bytes encoded at once.
 SLICE = 2_000_000
 #: Writer settings: data-page version 2 gives delta encoding of integers where no dictionary is used; a dictionary is
@@ -38,6 +38,26 @@ WRITER = {
 }
 
 
+def without_marks(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Words without the ASCII marks at their end, and these marks, if a letter or number stands before them: there the
+    tokenizer's pieces part, so both can be looked up alone."""
+    head = pc.ascii_rtrim(words, string.punctuation)
+    whole, kept = np.asarray(pc.binary_length(words)).astype(np.int64), np.asarray(pc.binary_length(head)).astype(np.int64)
+    parts = (kept < whole) & np.asarray(pc.match_substring_regex(head, r"[\p{L}\p{N}]$"))
+    parts &= ~np.asarray(pc.match_substring(words, "<|"))  # may be a special token, which is one piece
+    head = pc.if_else(pa.array(parts), head, words)
+    count = np.where(parts, whole - kept, 0)
+    ends = np.concatenate([[0], np.cumsum(count)])
+    _, offsets, data = words.buffers()
+    first = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words)] + kept
+    marks = np.frombuffer(data, np.uint8)[np.repeat(first - ends[:-1], count) + np.arange(ends[-1])] if ends[-1] else np.zeros(0, np.uint8)
+    return head, pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(marks.tobytes()))
+
+
+#: One per worker process and tokenizer file; tasks that follow each other share it.
+_WORKER: dict[str, WordIds] = {}
+
+
 class WordIds:
     """Ids of ASCII-space separated words by a tokenizer that drops white space: a worker encodes a word, without the
     marks at its end, once while it remembers it.
@@ -69,8 +89,7 @@ class WordIds:
 
     def _pool(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words, concatenated, and where each begins: those of its head, then of its marks."""
-        head, marks = pc.replace_substring_regex(distinct, MARKED, r"\1"), pc.replace_substring_regex(distinct, MARKED, r"\2")
-        marks = pc.if_else(pc.equal(head, distinct), "", marks)
+        head, marks = without_marks(distinct)
         if len(self.known) > KNOWN:
             self._forget()
         coded = [x.dictionary_encode() for x in (head, marks)]
@@ -106,11 +125,17 @@ class WordIds:
         return out, n
 
 
+def worker_ids(file: str) -> WordIds:
+    if file not in _WORKER:
+        _WORKER[file] = WordIds(file)
+    return _WORKER[file]
+
+
 def encode_texts(docs: DataFrame, file: str, keep: str = "doc_id") -> DataFrame:
     """`keep`, n_tokens, n_chars and ids of every row, in the order of the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(file)
+        words = worker_ids(file)
         for whole in batches:
             for part in slices(whole, limit=SLICE):
                 texts = text_of(part)
@@ -170,12 +195,10 @@ def token_checks(spark: SparkSession, path: str) -> DataFrame:
 def with_starts(rows: DataFrame) -> DataFrame:
     """Adds `start`: n_tokens of all rows before, in order of doc_id (nulls first, ties by crc, equal ones arbitrary).
 
-    Rows are range-partitioned, numbered by their partition, and summed inside it; partition totals are few."""
+    The rows are cut loose first, since range partitioning reads its input twice.  They are range-partitioned, numbered by their partition, and summed inside it; partition totals are few."""
     key = [F.col("doc_id").asc_nulls_first(), F.col("ids_crc32"), F.col("n_tokens")]
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = materialise(rows.repartitionByRange(parts, *key).withColumn("_part", F.spark_partition_id()))
-    from pyspark.sql.window import Window
-
+    placed = materialise(materialise(rows).repartitionByRange(parts, *key).withColumn("_part", F.spark_partition_id()))
     totals = placed.groupBy("_part").agg(F.sum("n_tokens").alias("_n"))  # one row for each of `parts`
     ahead = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals = totals.select("_part", ahead.alias("_ahead"))

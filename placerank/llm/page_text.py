@@ -2,8 +2,9 @@
 
 All pages of a host are merged into one tree of element styles (tags with class names, digits folded).  A style's
 presentation importance is the entropy of its child layouts over the host's pages, its content importance one minus the
-mean entropy of its text blocks over these pages: a block that returns on every page carries nothing.  Branches of low
-composite importance are taken out of each page.  Entropy can't tell a menu whose entries differ on every page from an
+mean entropy of its text blocks over these pages: a block that returns on every page carries nothing.  Copies of a page
+count as one page.  Branches of low composite importance are taken out of each page, but inside a declared article only
+if each of their blocks returns in another article.  Entropy can't tell a menu whose entries differ on every page from an
 article, so the composite is multiplied by a prior of the style: the part its tag, role or class names declare
 (navigation, advert, comment ...), the share of its text inside links, and whether a declared article lies elsewhere.
 """
@@ -49,6 +50,8 @@ LEAST, LEAST_INSIDE = 0.3, 0.05
 #: Pages a host must have before its entropies count.
 LEAST_PAGES = 10
 GAMMA = 0.2
+#: Rows up to which the table of repeated contents is broadcast (a hash and a count each).
+COPIES = 1_000_000
 
 
 @dataclass
@@ -154,10 +157,10 @@ def blocks(page: str) -> tuple[list[Block], dict[str, str]]:
     return out, {k: " ".join(dict.fromkeys(v)) for k, v in layout.items()}
 
 
-def occurrences(page: str) -> Iterator[tuple[str, str, int, int, int]]:
-    """(path, kind, feature, characters, linked characters) of a page, each feature once: what the style tree counts.
+def occurrences(page: str) -> Iterator[tuple[str, str, int, int, int, int | None]]:
+    """(path, kind, feature, characters, linked characters, article) of a page, each feature once: what the style tree counts.
 
-    Kind p: the page has the path; l: its child layout; t: a text block in it."""
+    Kind p: the page has the path; l: its child layout; t: a text block in it, with the hash of the article it stands in."""
     found, layout = blocks(page)
     per: dict[str, list[int]] = {}
     seen = set()
@@ -165,13 +168,14 @@ def occurrences(page: str) -> Iterator[tuple[str, str, int, int, int]]:
         sums = per.setdefault(b.path, [0, 0])
         sums[0] += len(b.text)
         sums[1] += b.linked
-        seen.add((b.path, hash_of(b.text)))
+        seen.add((b.path, hash_of(b.text), b.inside))
+    article = hash_of("\n\n".join(b.text for b in found if b.inside and not b.part))
     for path, (chars, linked) in per.items():
-        yield path, "p", 0, chars, linked
+        yield path, "p", 0, chars, linked, None
     for path in per:
-        yield path, "l", hash_of(layout.get(path.rpartition(">")[0], "")), 0, 0
-    for path, feature in seen:
-        yield path, "t", feature, 0, 0
+        yield path, "l", hash_of(layout.get(path.rpartition(">")[0], "")), 0, 0, None
+    for path, feature, inside in seen:
+        yield path, "t", feature, 0, 0, article if inside else None
 
 
 def hash_of(text: str) -> int:
@@ -184,27 +188,39 @@ def host_of(df: DataFrame) -> DataFrame:
     return df.withColumn("_host", F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), r"^[A-Za-z][\w+.-]*://(?:[^/@]*@)?([^/?#:]+)", 1)), F.lit("")))
 
 
+def with_copies(pages: DataFrame) -> DataFrame:
+    """_host, html and how many rows of the host have this html."""
+    rows = host_of(pages).select("_host", F.col("html").cast("string").alias("html"))
+    rows = rows.withColumn("_page", F.xxhash64("_host", "html"))
+    many = materialise(rows.groupBy("_page").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    return rows.join(small(many, COPIES), "_page", "left").select("_host", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
+
+
 def style_tree(pages: DataFrame) -> DataFrame:
-    """_host, path, importance and linked share of every style of every host, from all pages.
+    """_host, path, importance and `shared` of every style of every host, from the distinct pages.
 
-    Counts are summed before and after one shuffle by feature, then by style; a host may hold any share of the pages."""
+    Shared: each block of the style stands in different articles.  Each of n copies of a page adds 1 / n to the counts,
+    which are summed before and after one shuffle by feature, then by style; a host may hold any share of the pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html"):
-                rows = [(h, *x) for h, p in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for x in occurrences(p or "")]
-                got = pd.DataFrame(rows, columns=["_host", "path", "kind", "feature", "chars", "linked"])
-                got = got.groupby(["_host", "path", "kind", "feature"], as_index=False).agg(pages=("chars", "size"), chars=("chars", "sum"), linked=("linked", "sum"))
-                yield pa.RecordBatch.from_pandas(got.astype({"feature": "int64", "pages": "int64", "chars": "int64", "linked": "int64"}), preserve_index=False)
-
-    raw = host_of(pages).select("_host", F.col("html").cast("string"))
-    raw = raw.mapInArrow(run, "_host string, path string, kind string, feature long, pages long, chars long, linked long")
-    per = raw.groupBy("_host", "path", "kind", "feature").agg(*[F.sum(c).alias(c) for c in ("pages", "chars", "linked")])
+                cols = [part.column(i).to_pylist() for i in range(3)]
+                rows = [(h, f, k, x, 1 / n, c / n, a / n, t, t) for h, p, n in zip(*cols, strict=True) for f, k, x, c, a, t in occurrences(p or "")]
+                got = pd.DataFrame(rows, columns=["_host", "path", "kind", "feature", "pages", "chars", "linked", "low", "high"])
+                got = got.astype({"feature": "int64", "pages": "float64", "chars": "float64", "linked": "float64", "low": "Int64", "high": "Int64"})
+                got = got.groupby(["_host", "path", "kind", "feature"], as_index=False).agg({"pages": "sum", "chars": "sum", "linked": "sum", "low": "min", "high": "max"})
+                yield pa.RecordBatch.from_pandas(got, preserve_index=False)
+
+    raw = with_copies(pages).mapInArrow(run, "_host string, path string, kind string, feature long, pages double, chars double, linked double, low long, high long")
+    per = raw.groupBy("_host", "path", "kind", "feature").agg(
+        *[F.round(F.sum(c)).cast("long").alias(c) for c in ("pages", "chars", "linked")], (F.min("low") != F.max("high")).alias("shared")
+    )
     kind, k = F.col("kind"), F.col("pages")
     per = per.groupBy("_host", "path").agg(
         F.sum(F.when(kind == "p", k)).alias("m"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"),
         F.avg(F.when(kind == "t", F.log(k.cast("double")))).alias("block_entropy"),
-        F.sum(F.when(kind == "l", k * F.log(k.cast("double")))).alias("layout_sum"),
+        F.sum(F.when(kind == "l", k * F.log(k.cast("double")))).alias("layout_sum"), F.coalesce(F.min("shared"), F.lit(False)).alias("shared"),
     )
     known = F.col("m") >= LEAST_PAGES
     base = F.log(F.col("m").cast("double"))
@@ -212,7 +228,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     layout = F.when(known, 1 - F.col("layout_sum") / F.col("m") / base).otherwise(1.0)
     share = F.col("linked") / F.greatest(F.col("chars"), F.lit(1))
     composite = (GAMMA * F.least(layout, content) + (1 - GAMMA) * content) * F.when(share > 0.6, 0.0).otherwise(1.0)
-    return per.select("_host", "path", composite.alias("importance"))
+    return per.select("_host", "path", composite.alias("importance"), "shared")
 
 
 def main_text(page: str, noise: set[str], inner_noise: set[str]) -> str:
@@ -233,7 +249,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     of a page would be noise by entropy (a host of copies of one page), only the prior decides."""
     tree = materialise(style_tree(pages).where(F.col("importance") < LEAST))
     noisy = tree.groupBy("_host").agg(  # a host's noisy styles: as many as its templates have
-        F.collect_list("path").alias("noise"), F.collect_list(F.when(F.col("importance") < LEAST_INSIDE, F.col("path"))).alias("inner_noise")
+        F.collect_list("path").alias("noise"), F.collect_list(F.when((F.col("importance") < LEAST_INSIDE) & F.col("shared"), F.col("path"))).alias("inner_noise")
     )
     rows = host_of(pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string")))
     named = attach(rows, small(noisy, 5_000), ["_host"], "left")

@@ -41,6 +41,24 @@ def test_a_host_of_copies_keeps_its_text(spark):
     assert {r.text for r in extract_pages(df).collect()} == {"One page, many times"}
 
 
+def test_copies_count_as_one_page_and_condemn_nothing_in_an_article(spark):
+    """A host where copies of one page outweigh the rest, copies that differ in the footer, and a style only they have."""
+    many = "<article><h1>Many</h1>" + "".join(f"<p>Paragraph {i}</p>" for i in range(100)) + "</article>"
+    few = "<article><h1>Few</h1><p>One</p><p>Two</p></article>"
+    rows = [(i, "http://copies.test/", many) for i in range(200)] + [(1000, "http://copies.test/", few)]
+    rows += [(2000 + i, "http://near.test/", f"{many}<footer>Seen {i}</footer>") for i in range(50)] + [(3000, "http://near.test/", few)]
+    quoted = "<article><h1>Quoted</h1><blockquote>Only here</blockquote></article>"
+    rows += [(4000 + i, "http://quote.test/", f"{quoted}<footer>Seen {i}</footer>") for i in range(12)]
+    rows += [(5000 + i, "http://quote.test/", f"<article><h1>Page {i}</h1><p>Story {i}</p><em><div>Subscribe now</div></em></article>") for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_pages(df).collect()}
+    long = "\n\n".join(["Many", *(f"Paragraph {i}" for i in range(100))])
+    assert got[0] == got[2000] == long and got[1000] == got[3000] == "Few\n\nOne\n\nTwo"
+    assert got[4000] == "Quoted\n\nOnly here" and got[5003] == "Page 3\n\nStory 3"
+    tree = {(r._host, r.path): r.importance for r in style_tree(df).collect()}
+    assert tree["copies.test", ">article>p"] == 1.0
+
+
 def test_all_pages_against_the_template(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r.page_id: r for r in extract_pages(pages).collect()}

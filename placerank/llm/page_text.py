@@ -5,8 +5,9 @@ presentation importance is the entropy of its child layouts over the host's page
 mean entropy of its text blocks over these pages: a block that returns on every page carries nothing.  Copies of a page
 count as one page.  Branches of low composite importance are taken out of each page, but inside a declared article only
 if each of their blocks returns in another article.  Entropy can't tell a menu whose entries differ on every page from an
-article, so the composite is multiplied by a prior of the style: the part its tag, role or class names declare
-(navigation, advert, comment ...), the share of its text inside links, and whether a declared article lies elsewhere.
+article, so a prior joins it: the part a tag, role or class name declares (navigation, advert, comment ...), the share of
+text inside links, and whether a declared article lies elsewhere.  A tag or role decides; a form or a class word, which
+wrappers of whole pages have as well, is a factor: what is marked so goes only if enough other text remains.
 """
 
 from __future__ import annotations
@@ -38,13 +39,19 @@ BLOCK = set(
 #: Elements that an opening tag of the same set closes if one is open.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Declared parts that are no main text: by element, by ARIA role, by a word of a class or id.
-PART_TAGS = set("nav aside footer form button select menu dialog head svg canvas object search".split())
+PART_TAGS = set("nav aside footer button select menu dialog head svg canvas object search".split())
 PART_ROLES = set("navigation banner contentinfo search complementary alert dialog alertdialog menu menubar toolbar form".split())
 PART_WORDS = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert "
     "popup modal overlay sidebar nav navbar navigation menu breadcrumb breadcrumbs footer comment comments disqus respond replies share "
     "sharing social related recommended newsletter subscribe subscription signup login widget toolbar pagination pager masthead topbar".split()
 )
+#: Words that stay decisive, and words of a class that say what a wrapper has or does, not what it is ("has-sidebar").
+FIRM_WORDS = set("comment comments disqus respond replies".split())
+STATE_WORDS = set("has with without no is open opened closed enabled disabled".split())
+#: How much a mark says: nothing, a factor of the importance (form, class word), or that the part is no main text.
+CLEAR, WORDED, FIRM = 0, 1, 2
+FACTOR = 0.25
 #: Composite importance below which a style is noise, and inside a declared article.
 LEAST, LEAST_INSIDE = 0.3, 0.05
 #: Pages a host must have before its entropies count.
@@ -59,21 +66,34 @@ class Block:
     path: str
     text: str
     linked: int
-    part: bool
+    part: int
     inside: bool
+    wrapped: bool
 
 
-def declared(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
-    """Style name of an element, and whether it declares itself a part other than the main text."""
+def named(name: str) -> set[str]:
+    """Words of one class name or id; none if it says what the element has or does."""
+    words = set(WORD.findall(name))
+    return set() if words & STATE_WORDS else words
+
+
+def declared(tag: str, attrs: str, inside: bool) -> tuple[str, int]:
+    """Style name of an element, and how much it declares itself a part other than the main text."""
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attrs)} if attrs.strip() else {}
     names = f"{found.get('class', '')} {found.get('id', '')}".lower()
-    words = set(WORD.findall(names))
-    part = tag in PART_TAGS or found.get("role", "").lower() in PART_ROLES or bool(words & PART_WORDS) or (tag not in ("body", "article", "main") and "hidden" in found)
-    part |= found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    part |= not inside and (tag == "header" or "header" in words)
-    if tag in ("body", "html", "article", "main") and not words & {"comment", "comments", "ad", "ads", "advert", "sponsored", "promo"}:
-        part = False
+    words = {w for name in names.split() for w in named(name)}
     style = DIGITS.sub("0", names).split()
+    if tag in ("body", "html"):
+        part = CLEAR
+    elif tag in ("article", "main"):
+        part = FIRM if words & {"comment", "comments", "ad", "ads", "advert", "sponsored", "promo"} else CLEAR
+    elif (
+        tag in PART_TAGS or found.get("role", "").lower() in PART_ROLES or words & FIRM_WORDS or "hidden" in found or (tag == "header" and not inside)
+        or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+    ):
+        part = FIRM
+    else:
+        part = WORDED if tag == "form" or words & PART_WORDS or ("header" in words and not inside) else CLEAR
     return tag + "".join("." + s for s in sorted(style)), part
 
 
@@ -81,7 +101,7 @@ def blocks(page: str) -> tuple[list[Block], dict[str, str]]:
     """Text blocks of a page in order with the style path they stand in, and the child layout of every path."""
     out: list[Block] = []
     layout: dict[str, list[str]] = {}
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, part, inside a declared article
+    stack: list[tuple[str, str, int, bool, bool]] = [("", "", CLEAR, False, False)]  # tag, path, part, inside a declared article, that in a worded wrapper
     text: list[str] = []
     linked = links = 0
 
@@ -89,8 +109,8 @@ def blocks(page: str) -> tuple[list[Block], dict[str, str]]:
         nonlocal linked
         said = " ".join(html.unescape("".join(text)).split())
         if said:
-            _, path, part, inside = stack[-1]
-            out.append(Block(path, said, min(linked, len(said)), part, inside))
+            _, path, part, inside, wrapped = stack[-1]
+            out.append(Block(path, said, min(linked, len(said)), part, inside, wrapped))
         text.clear()
         linked = 0
 
@@ -147,12 +167,15 @@ def blocks(page: str) -> tuple[list[Block], dict[str, str]]:
             flush()
         if tag == "a":
             links += 1
-        _, path, part, inside = stack[-1]
+        _, path, part, inside, wrapped = stack[-1]
         style, own = declared(tag, m[3], inside)
         if tag in BLOCK or own:
             layout.setdefault(path, []).append(style)
             path = f"{path}>{style}"
-        stack.append((tag, path, part or own, inside or (tag in ("article", "main") and not own)))
+        if tag in ("article", "main") and not own:
+            wrapped, inside = wrapped or part == WORDED, True
+            part = CLEAR if part == WORDED else part
+        stack.append((tag, path, max(part, own), inside, wrapped))
     flush()
     return out, {k: " ".join(dict.fromkeys(v)) for k, v in layout.items()}
 
@@ -169,7 +192,7 @@ def occurrences(page: str) -> Iterator[tuple[str, str, int, int, int, int | None
         sums[0] += len(b.text)
         sums[1] += b.linked
         seen.add((b.path, hash_of(b.text), b.inside))
-    article = hash_of("\n\n".join(b.text for b in found if b.inside and not b.part))
+    article = hash_of("\n\n".join(b.text for b in main_blocks(found) if b.inside))
     for path, (chars, linked) in per.items():
         yield path, "p", 0, chars, linked, None
     for path in per:
@@ -231,14 +254,32 @@ def style_tree(pages: DataFrame) -> DataFrame:
     return per.select("_host", "path", composite.alias("importance"), "shared")
 
 
+def main_blocks(found: list[Block]) -> list[Block]:
+    """Blocks of a page that the declared parts leave, in order.
+
+    Articles outside worded wrappers come first; text in worded marks joins what remains where a FACTOR of it outweighs that."""
+
+    def size(some: list[Block]) -> int:
+        return sum(len(b.text) for b in some)
+
+    found = [b for b in found if b.part < FIRM]
+    clear = [b for b in found if b.part == CLEAR]
+    stated = size([b for b in clear if b.inside and not b.wrapped])
+    within = size([b for b in clear if b.wrapped])
+    if stated:
+        both = FACTOR * within > stated
+        found = [b for b in found if b.inside and (both or not b.wrapped)]
+    elif within:
+        both = size([b for b in clear if not b.inside]) > within
+        found = [b for b in found if both or b.inside]
+    kept = [b for b in found if b.part == CLEAR]
+    return found if FACTOR * (size(found) - size(kept)) > size(kept) else kept
+
+
 def main_text(page: str, noise: set[str], inner_noise: set[str]) -> str:
-    """Blocks of a page that are not noise, joined by blank lines."""
-    found = [b for b in blocks(page)[0] if not b.part]
-    if any(b.inside for b in found):
-        found = [b for b in found if b.inside]
-        kept = [b for b in found if b.path not in inner_noise]
-    else:
-        kept = [b for b in found if b.path not in noise]
+    """Main blocks of a page that are not noise, joined by blank lines."""
+    found = main_blocks(blocks(page)[0])
+    kept = [b for b in found if b.path not in (inner_noise if b.inside else noise)]
     return "\n\n".join(b.text for b in kept or found)
 
 

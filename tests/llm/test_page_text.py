@@ -16,6 +16,28 @@ def test_parts_are_left_out():
     assert texts(page) == "Title & more\n\nOne two three\n\nFour five\n\nSix\n\nSeven"
 
 
+def test_wrappers_named_like_parts_keep_their_text():
+    story = "<h1>Title</h1><p>First paragraph of it</p><div class=related>More</div><p>Second</p>"
+    want = "Title\n\nFirst paragraph of it\n\nSecond"
+    for name in ("layout has-sidebar", "sidebar-layout", "widget", "share", "alert", "related", "promo", "menu", "social"):
+        assert texts(f"<body><div class='{name}'><article>{story}</article><aside>Side</aside></div><footer>F</footer></body>") == want
+        assert texts(f"<div id='{name}'><div><main>{story}</main></div></div><p>&copy; host</p>") == want
+    assert texts(f"<body><form id=aspnetForm><nav>Menu</nav><article>{story}</article></form></body>") == want
+    assert texts("<body class='home comments-open no-ads'><form id=aspnetForm><nav>Menu</nav><h1>Title</h1><p>Text</p></form></body>") == "Title\n\nText"
+    long = "<p>" + "A long paragraph of the page. " * 20 + "</p>"
+    assert "A long paragraph" in texts(f"<div class='elementor-widget'><h1>T</h1>{long}</div><div>&copy; host</div>")
+    assert "A long paragraph" in texts(f"<article><h1>T</h1><div class='elementor-widget'>{long}</div></article>")
+
+
+def test_named_parts_beside_the_main_text_stay_out():
+    long = "<p>" + "A long paragraph of the page. " * 20 + "</p>"
+    for part in ("<div class=related><article><h2>Teaser</h2></article></div>", "<div class=sidebar>Side</div>", "<form>Mail <input></form>"):
+        assert texts(f"<article>{long}</article>{part}") == texts(f"<article>{long}{part}</article>").removesuffix("\n\nTeaser") == texts(long)
+    assert texts(f"<div>{long}</div><section id=comments><article>{long}{long}</article></section>") == texts(long)
+    assert texts(f"<nav><article>{long}</article></nav><aside class=x><main>{long}</main></aside><p>Text</p>") == "Text"
+    assert texts(f"<div>{long}</div><div class=related><article><h2>Teaser</h2></article></div>").startswith(texts(long))
+
+
 def test_broken_and_odd_markup():
     assert texts("") == texts("<!-- only -->") == texts("<p>") == texts("<script>never closed") == ""
     assert texts("plain &lt;text&gt;") == "plain <text>"

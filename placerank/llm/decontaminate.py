@@ -77,6 +77,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, simila
 
     Null and blank texts on either side match nothing; repeated rows of one doc_id are one document; an empty table on
     either side gives an empty result."""
+    out = all_matches(docs, benchmark, size, similarity, radius).select("doc_id", "item_id", "similarity", "first_word").distinct()
+    return out.groupBy("doc_id", "item_id").agg(
+        F.max("similarity").alias("similarity"), F.count(F.lit(1)).alias("n_windows"), F.min("first_word").alias("first_word")
+    )
+
+
+def all_matches(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """Windows that match an item: doc_id, mark (hash of the text), item_id, similarity, first_word; repeated rows repeat them."""
     items = materialise(benchmark_items(benchmark, size))
     kinds = sorted(r.k for r in items.select("k").distinct().collect())  # at most `size` numbers
     out = None
@@ -84,14 +92,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, simila
         found = matches(docs, items.where(F.col("k") == k), k, similarity, radius)
         out = found if out is None else out.union(found)
     if out is None:
-        out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, first_word long")
-    return out.groupBy("doc_id", "item_id").agg(
-        F.max("similarity").alias("similarity"), F.count(F.lit(1)).alias("n_windows"), F.min("first_word").alias("first_word")
-    )
+        out = docs.sparkSession.createDataFrame([], "doc_id long, mark long, item_id long, similarity double, first_word long")
+    return out
 
 
 def matches(docs: DataFrame, items: DataFrame, size: int, similarity: float, radius: int) -> DataFrame:
-    """Windows of `size`-word shingles that match an item: doc_id, item_id, similarity, first_word."""
+    """Windows of `size`-word shingles that match an item: doc_id, mark, item_id, similarity, first_word."""
     lengths = materialise(items.select(F.explode("hashes").alias("hash"), "m").groupBy("hash").agg(F.collect_set("m").alias("lengths")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
     # words are a column of their own: inside the lambda of shingles() the split would run for every shingle
@@ -105,22 +111,23 @@ def matches(docs: DataFrame, items: DataFrame, size: int, similarity: float, rad
     anchors = materialise(anchors.select(F.col("doc_id").alias("d"), F.col("mark").alias("k"), "m", "starts"))
     # repeated rows have equal text: any of them gives the windows
     again = rows.join(small(anchors), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("k")))
-    again = again.select("doc_id", "m", "starts", plain_words(F.col("text")).alias("tokens"))
-    again = again.select("doc_id", "m", "starts", shingles(F.col("tokens"), size).alias("hashes"))
-    cut = again.select("doc_id", "m", "hashes", F.explode("starts").alias("at"))
-    cut = cut.select("doc_id", "m", "at", F.slice("hashes", F.col("at") + 1, F.col("m")).alias("window"))
+    again = again.select("doc_id", "mark", "m", "starts", plain_words(F.col("text")).alias("tokens"))
+    again = again.select("doc_id", "mark", "m", "starts", shingles(F.col("tokens"), size).alias("hashes"))
+    cut = again.select("doc_id", "mark", "m", "hashes", F.explode("starts").alias("at"))
+    cut = cut.select("doc_id", "mark", "m", "at", F.slice("hashes", F.col("at") + 1, F.col("m")).alias("window"))
     cut = materialise(cut.withColumn("window_print", simhash(F.col("window"))))
-    left = cut.withColumn("b", F.explode(blocks(F.col("window_print"), radius))).select("doc_id", "m", "at", "window_print", "b.block", "b.value", "window")
+    left = cut.withColumn("b", F.explode(blocks(F.col("window_print"), radius))).select("doc_id", "mark", "m", "at", "window_print", "b.block", "b.value", "window")
     right = items.withColumn("b", F.explode(blocks(F.col("item_print"), radius))).select("item_id", "m", "item_print", "b.block", "b.value", "hashes")
     near = left.join(small(right), ["m", "block", "value"]).where(F.bit_count(F.col("window_print").bitwiseXOR(F.col("item_print"))) <= radius)
     # of the blocks in which both agree, the first stands for the pair
     first = F.array_position(F.transform(F.arrays_zip(F.transform(blocks(F.col("window_print"), radius), lambda x: x["value"]).alias("p"), F.transform(blocks(F.col("item_print"), radius), lambda x: x["value"]).alias("q")), lambda z: z["p"] == z["q"]), True) - 1
     near = near.where(F.col("block") == first).withColumn("similarity", weighted_similarity(F.col("window"), F.col("hashes")))
-    return near.where(F.col("similarity") >= similarity).select("doc_id", "item_id", "similarity", F.col("at").cast("long").alias("first_word")).distinct()
+    return near.where(F.col("similarity") >= similarity).select("doc_id", "mark", "item_id", "similarity", F.col("at").cast("long").alias("first_word"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The columns of `docs`, without documents that hold a benchmark item."""
-    bad = small(materialise(contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].cast("long").alias("_doc"))
-    return rows.join(bad, F.col("_doc").eqNullSafe(F.col("_bad")), "left_anti").select("_row.*")
+    """The columns of `docs`, without rows whose text holds a benchmark item; rows without id and texts that share an id
+    each have the verdict of their own text."""
+    bad = small(materialise(all_matches(docs, benchmark).select(F.col("doc_id").alias("_bad"), F.col("mark").alias("_bad_mark")).distinct()))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].cast("long").alias("_doc"), F.xxhash64(docs["text"]).alias("_mark"))
+    return rows.join(bad, F.col("_doc").eqNullSafe(F.col("_bad")) & (F.col("_mark") == F.col("_bad_mark")), "left_anti").select("_row.*")

@@ -245,17 +245,13 @@ def block_links(query: DataFrame, members: DataFrame, sets: DataFrame, similarit
     return met.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, similarity: int = SIMILARITY, rounds: int = ROUNDS
-) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept for every row.
-
-    Null and blank texts have an empty set and are linked with nothing.  Repeated rows with one doc_id are one document
-    and share its verdict; null doc_ids are linked like others but never name a component unless all of it is null."""
+def linked_classes(docs: DataFrame, bands: int, rows: int, size: int, similarity: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """The sketched rows, and the smallest member (doc_id, mark; null ids last) and component label of every class of equal sets."""
     slim = materialise(sketch_documents(docs, bands, rows, size))
     full = slim.where("node is not null")
     # one row per class; its bands are those of any member, since equal sets have equal sketches
-    classes = full.groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("at"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
+    classes = full.groupBy("node").agg(F.min(at).alias("at"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = materialise(classes.select("node", "at.doc_id", "at.mark", "n", "bands"))
     keys = classes.select("node", "n", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
@@ -265,8 +261,19 @@ def near_duplicates(
     ids = live.select("node").distinct().join(classes.select("node", "doc_id", "mark"), "node")
     sets = materialise(class_sets(docs, ids, size))
     labels = components(class_links(live, sets, similarity, rounds))
+    return slim, classes.join(labels, "node", "left").select("node", "doc_id", "mark", F.coalesce("label", "node").alias("label"))
+
+
+def near_duplicates(
+    docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, similarity: int = SIMILARITY, rounds: int = ROUNDS
+) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept for every row.
+
+    Null and blank texts have an empty set and are linked with nothing.  Repeated rows with one doc_id are one document
+    and share its verdict; null doc_ids are linked like others but never name a component unless all of it is null."""
+    slim, named = linked_classes(docs, bands, rows, size, similarity, rounds)
+    full = slim.where("node is not null")
     # the classes' components name their smallest document
-    named = classes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = materialise(named.select("node", "label").join(smallest, "label").select("node", "component_id"))
     rows_ = full.select("doc_id", "n_shingles", "node").join(named, "node").select("doc_id", "n_shingles", "component_id")
@@ -275,8 +282,19 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
-    """The columns of `docs`, one document of each component; of repeated rows with one doc_id one stays."""
-    verdict = near_duplicates(docs, size=size).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].cast("long").alias("_doc"))
-    rows = rows.join(verdict, F.col("_doc").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.dropDuplicates(["_doc"]).select("_row.*")
+    """The columns of `docs`, the smallest row of each component by doc_id (null ids last) and text hash.
+
+    Texts are told apart by (doc_id, hash of the text), so rows without id and texts that share an id each have the verdict
+    of their own text.  Null and blank texts are linked with nothing: one row stays for each doc_id and text, and every row
+    without id."""
+    _, named = linked_classes(docs, BANDS, ROWS, size, SIMILARITY, ROUNDS)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("at")
+    verdict = named.groupBy("label").agg(first).select(F.col("at.doc_id").alias("_kept"), F.col("at.mark").alias("_kept_mark"))
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].cast("long").alias("_doc"), F.xxhash64(docs["text"]).alias("_mark"),
+        F.coalesce(docs["text"].cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("_full"),
+    )
+    full = rows.where("_full").join(verdict, F.col("_doc").eqNullSafe(F.col("_kept")) & (F.col("_mark") == F.col("_kept_mark")), "left_semi")
+    blank = rows.where("not _full")
+    once = full.union(blank.where("_doc is not null")).dropDuplicates(["_doc", "_mark"])
+    return once.select("_row.*").union(blank.where("_doc is null").select("_row.*"))

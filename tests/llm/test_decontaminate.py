@@ -82,3 +82,11 @@ def test_empty_tables_and_odd_rows(spark, odd_documents, no_documents):
     assert contaminated(no_documents, items).count() == 0 and contaminated(odd_documents, items.limit(0)).count() == 0
     left = drop_contaminated(odd_documents, items)
     assert left.columns == odd_documents.columns and left.count() == 7
+
+
+def test_rows_without_id_and_ids_with_two_texts_keep_their_own_verdict(spark):
+    item = " ".join(f"w{i}" for i in range(40))
+    clean = [(None, f"clean text {i}") for i in range(10)] + [(None, None), (2, "another text of the same id")]
+    docs = spark.createDataFrame([*clean, (None, "x " + item), (2, item), (3, item + " y")], "doc_id long, text string")
+    left = drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert Counter(tuple(r) for r in left.collect()) == Counter(clean)

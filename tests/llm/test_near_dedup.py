@@ -106,3 +106,16 @@ def test_odd_rows_and_empty_tables(odd_documents, no_documents):
     assert near_duplicates(no_documents).count() == 0
     left = drop_near_duplicates(odd_documents)
     assert left.columns == odd_documents.columns and sorted(str(r.doc_id) for r in left.collect()) == ["1", "2", "3", "4", "5", "6", "7", "None"]
+
+
+def test_rows_without_id_and_ids_with_two_texts_keep_their_own_verdict(spark):
+    copied, near = " ".join(f"c{i}" for i in range(60)), " ".join(f"c{i}" for i in range(59))
+    rows = [(None, f"own words of row {i} and no other {i * i}") for i in range(20)] + [(None, copied), (None, copied), (None, None), (None, None), (None, " ")]
+    rows += [(1, copied), (2, near), (2, "another text of the same id that no row shares"), (2, "another text of the same id that no row shares")]
+    rows += [(3, "first text of three stands here"), (3, "second one of three is different"), (4, None), (4, None), (4, "")]
+    got = Counter(tuple(r) for r in drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    want = Counter({r: 1 for r in rows if r not in {(None, copied), (2, near)}})
+    want[None, None] = 2
+    assert got == want
+    both = near_duplicates(spark.createDataFrame([(None, copied), (7, copied)], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in both} == {(None, 7, False), (7, 7, True)}

@@ -17,8 +17,8 @@ from placerank.session import materialise
 # worst mix of edits (a deletion and an insertion apart from each other) breaks 5 trigrams per 2
 # edits: 0.6 trigrams per character.
 _BROKEN_PER_CHAR = 0.6
-# Against a window of a longer text a plain deletion may break 3: 3 * 0.24 per character.
-_BROKEN_IN_WINDOW = 0.72
+# The score for which these bounds hold.
+_LEAST = 88.0
 # Shared words must outweigh the remainder: at most 22 % of the characters lie outside.
 _WORD_TAIL = 0.22
 
@@ -127,24 +127,40 @@ def similar_texts(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def texts_near(needles: DataFrame, haystacks: DataFrame, exact: bool = False) -> DataFrame:
-    """Distinct (needle, haystack) where a window of the haystack may match the needle at 88 or
-    more; with ``exact`` where the haystack may contain it unchanged."""
+def _broken_in_window(text: Column, least: float) -> Column:
+    """Trigrams of a needle that may be missing in a window scoring ``least``: the two lengths allow
+    2 * (1 - least / 100) edits per character of the needle, and a plain deletion may break 3."""
+    return F.floor(F.lit(round(6 * (1 - least / 100), 9)) * F.length(text))
+
+
+def texts_near(needles: DataFrame, haystacks: DataFrame, exact: bool = False, least: float = _LEAST) -> DataFrame:
+    """Distinct (needle, haystack) where a window of the haystack may match the needle at ``least``
+    or more; with ``exact`` where the haystack may contain it unchanged.
+
+    Below 88 the edits may break every trigram of a needle; such needles meet every haystack."""
     t = F.col("text")
+    if not exact and least < _LEAST:
+        certain = F.size(trigrams(t)) > _broken_in_window(t, least)
+        needles = materialise(needles.select("text").distinct().withColumn("certain", certain))
+        rest = needles.where(~F.col("certain")).select(t.alias("needle")).crossJoin(haystacks.select(t.alias("haystack")).distinct())
+        needles = needles.where("certain").select("text")
+        if needles.isEmpty():
+            return rest
     hay = _postings(haystacks.distinct().withColumn("side", F.lit("h")), gram=trigrams(t))
     pins = _postings(needles.distinct().withColumn("side", F.lit("n")), gram=trigrams(t))
-    keep = F.lit(1) if exact else F.floor(_BROKEN_IN_WINDOW * F.length("text")) + 1
+    keep = F.lit(1) if exact else _broken_in_window(t, least) + 1
     offered = _rarest(pins, _document_frequency(hay), F.col("_pos") <= keep)
     full = hay.select("kind", F.col("text").alias("haystack"), "feature")
     met = offered.withColumnRenamed("text", "needle").join(full, ["kind", "feature"])
     pairs = materialise(met.select("needle", "haystack").distinct())  # see similar_texts
-    return pairs.where(_enough_shared(F.col("needle"), F.col("haystack"), exact))
+    near = pairs.where(_enough_shared(F.col("needle"), F.col("haystack"), exact, least))
+    return near.union(rest) if not exact and least < _LEAST else near
 
 
-def _enough_shared(needle: Column, haystack: Column, exact: bool) -> Column:
+def _enough_shared(needle: Column, haystack: Column, exact: bool, least: float) -> Column:
     """The needle keeps all its trigrams but those the allowed edits may break."""
     if exact:
         return F.contains(haystack, needle)
     grams = F.size(trigrams(needle))
     both = F.size(F.array_intersect(trigrams(needle), trigrams(haystack)))
-    return F.contains(haystack, needle) | (both >= grams - F.floor(_BROKEN_IN_WINDOW * F.length(needle)))
+    return F.contains(haystack, needle) | (both >= grams - _broken_in_window(needle, least))

@@ -44,10 +44,10 @@ def _best(scored: DataFrame) -> DataFrame:
     ).select("key", F.col("b.venue_id").alias("venue_id"), F.col("b.score").alias("score"))
 
 
-def _score_pairs(keys: DataFrame, needles: str, texts: DataFrame) -> DataFrame:
-    """(key, venue_id, score) of partial ratios between venue keys and mention texts."""
+def _score_pairs(keys: DataFrame, needles: str, texts: DataFrame, least: float = CAPTION_THRESHOLD) -> DataFrame:
+    """(needle, haystack, score) of partial ratios between venue keys and mention texts, all of ``least`` and more."""
     pairs = texts_near(
-        keys.select(F.col(needles).alias("text")).where("text <> ''"), texts.select("text").where("text <> ''")
+        keys.select(F.col(needles).alias("text")).where("text <> ''"), texts.select("text").where("text <> ''"), least=least
     ).where(F.length("needle") <= F.length("haystack"))
     scored = pairs.withColumn("score", partial_ratio_udf("needle", "haystack"))
     return scored
@@ -122,17 +122,19 @@ def match_mentions(
 
 
 def match_guesses(mentions: DataFrame, keys: DataFrame, n: int = 3) -> DataFrame:
-    """(key, venue_id, score, rank): the n best venues for each mention, scores of 60 and more."""
+    """(key, venue_id, score, rank): the n best venues for each mention, scores of 60 and more.
+
+    At 60 no trigram need survive, so every distinct name is scored against every distinct text."""
     texts = mentions.select(
         "key", name_key(F.coalesce("caption", F.lit("")), keep_noise=True).alias("text"),
         handle_key(F.coalesce("creator_handle", F.lit(""))).alias("h"),
     )
     by_text = texts.join(
-        _score_pairs(keys, "name_key", texts).withColumnRenamed("haystack", "text"), "text"
+        _score_pairs(keys, "name_key", texts, GUESS_THRESHOLD).where(F.col("score") >= GUESS_THRESHOLD).withColumnRenamed("haystack", "text"), "text"
     ).select("key", F.col("needle").alias("name_key"), "score").join(keys, "name_key").select("key", "venue_id", "score")
     pairs = texts_near(
         keys.select(F.col("handle_key").alias("text")).where("text <> ''"),
-        texts.select(F.col("h").alias("text")).where("text <> ''"),
+        texts.select(F.col("h").alias("text")).where("text <> ''"), least=GUESS_THRESHOLD,
     ).withColumn("score", ratio_udf("haystack", "needle"))
     by_handle = texts.join(pairs.withColumnRenamed("haystack", "h"), "h").select(
         "key", F.col("needle").alias("handle_key"), "score"

@@ -2,6 +2,7 @@ import random
 
 from placerank.functions.similarity import partial_ratio, ratio, token_set_ratio, token_set_ratio_udf
 from placerank.operators.blocking import similar_texts, texts_near
+from placerank.operators.social import match_guesses
 
 VOCAB = "golden dragon palace kopitiam zi char hua seng lee garden luna rooftop noodle king crab old town street".split()
 
@@ -66,3 +67,20 @@ def test_windows_are_found(spark):
     got = {(r.needle, r.haystack) for r in texts_near(df(needles), df(hays)).collect()}
     want = {(a, b) for a in needles for b in hays if len(a) <= len(b) and partial_ratio(a, b) >= 88}
     assert want and want <= got
+
+
+def test_windows_are_found_at_lower_thresholds(spark):
+    rnd = random.Random(11)
+    needles = {" ".join(rnd.sample(VOCAB, 2)) for _ in range(20)} | {"abcdefgh"}
+    hays = {"at " + mutate(rnd, mutate(rnd, s)) + " now" for s in needles} | {"abxdexgh and more", "nothing to see here"}
+    df = lambda xs: spark.createDataFrame([(x,) for x in sorted(xs)], "text string")
+    for least in (60, 75, 86):
+        got = [(r.needle, r.haystack) for r in texts_near(df(needles), df(hays), least=least).collect()]
+        want = {(a, b) for a in needles for b in hays if len(a) <= len(b) and partial_ratio(a, b) >= least}
+        assert want and want <= set(got) and len(got) == len(set(got))
+
+
+def test_guesses_without_a_shared_trigram(spark):
+    mentions = spark.createDataFrame([("m1", "abxdexgh and more", None), ("m2", None, "pqxstxvw")], "key string, caption string, creator_handle string")
+    keys = spark.createDataFrame([("v1", "abcdefgh", "abcdefgh"), ("v2", "pqrstuvw", "pqrstuvw")], "venue_id string, name_key string, handle_key string")
+    assert {(r.key, r.venue_id, r.score) for r in match_guesses(mentions, keys).collect()} == {("m1", "v1", 75.0), ("m2", "v2", 75.0)}

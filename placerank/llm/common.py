@@ -43,6 +43,21 @@ def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inn
     return df.join(named, cond, how).drop(*[f"_k_{k}" for k in keys])
 
 
+def attach_counted(df: DataFrame, table: DataFrame, key: str, rows: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Each row of `df` with the row of `table` that has its `key`; rows without one are left out.
+
+    `rows` of the table says how many rows of `df` have the key.  A small table is broadcast.  Else the keys with a
+    thousandth of all rows or more (a thousand at most) are, and only the rows of light keys are shuffled.  `table` should be
+    cheap to read twice: a checkpoint or a small source."""
+    if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return attach(df, F.broadcast(table.drop(rows)), [key])
+    every = table.agg(F.sum(rows)).first()[0]
+    heavy = table.where(F.col(rows) * 1000 >= every).drop(rows)
+    hot = heavy.select(F.col(key).alias("_hot"))
+    light = df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot")), "left_anti")
+    return attach(df, F.broadcast(heavy), [key]).unionByName(attach(light, table.where(F.col(rows) * 1000 < every).drop(rows), [key]))
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """About `rows` rows at most, for fitting a model: all of a small table, else those whose hash of `key` falls under
     rows / count.  The same rows in every run; never more than twice `rows`."""
@@ -73,4 +88,4 @@ def spread_sums(
     return done.withColumn(out, F.col("_ahead") + F.col("_inside")).drop("_ahead", "_inside", "_hash", "_chunk", "n_rows")
 
 
-__all__ = ["BROADCAST_ROWS", "attach", "materialise", "read", "small", "spread_sums", "words"]
+__all__ = ["BROADCAST_ROWS", "attach", "attach_counted", "materialise", "read", "small", "spread_sums", "words"]

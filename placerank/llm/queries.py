@@ -18,6 +18,8 @@ from placerank.llm.quality import quality_verdicts
 from placerank.llm.secrets import scan
 from placerank.llm.sharding import shard
 from placerank.llm.token_files import token_table
+from placerank.llm.url_filters import bad_pages, url_verdicts
+from placerank.llm.vector_codes import vector_codes
 
 
 def tokenizer_file() -> str:
@@ -67,11 +69,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all `embeddings`: 8 parts, 16 entries, 6 rounds."""
+    return vector_codes(read(spark, sf_dir, "embeddings"))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for the url of every page; `labels` of the pages' ids are their outcomes."""
+    return url_verdicts(read(spark, sf_dir, "pages"), bad_pages(read(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_formatting, op2_quality_rules, op3_decontamination, op4_near_dedup, op5_page_text, op6_token_files, op7_mixing,
-        op8_secret_scan, op9_language_id, op10_sharding,
+        op8_secret_scan, op9_language_id, op10_sharding, op11_vector_codes, op13_url_filters,
     )
 }
 

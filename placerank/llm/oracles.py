@@ -94,4 +94,21 @@ SELECT page_id, u.host, u.path, rule, coalesce(verdict, CASE WHEN bound > 0.5 TH
 FROM u JOIN k USING (host) LEFT JOIN b ON u.host = b.host AND u.path = b.path
 """
 
-ORACLE_SQL = {"op1_chat_formatting": CHAT, "op4_near_dedup": NEAR_DUPLICATES, "op11_vector_codes": _vector_codes(), "op13_url_filters": URL_FILTERS}
+COLLOCATIONS = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: list_aggregate(w[i : i + m - 1], 'string_agg', ' '))) AS phrase FROM w, range(1, 6) t(m) WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS c FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, count(*) AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS (SELECT f.lang, m, phrase, c AS a, n, string_split(phrase, ' ') AS w FROM f JOIN n USING (lang) WHERE m > 1),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT k.lang, k.phrase, a, n, k, x.c AS l, y.c AS r, (CAST(1000 AS HUGEINT) * a * n) // (CAST(x.c AS HUGEINT) * y.c) AS score
+      FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(w[1 : k], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(w[k + 1 : k.m], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT b.* FROM b ANTI JOIN c ON c.lang = b.lang AND 100 * c.a >= 100 * b.a AND c.phrase <> b.phrase AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM t WHERE rank <= 2000
+"""
+
+ORACLE_SQL = {"op1_chat_formatting": CHAT, "op4_near_dedup": NEAR_DUPLICATES, "op11_vector_codes": _vector_codes(), "op12_collocations": COLLOCATIONS, "op13_url_filters": URL_FILTERS}

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from placerank.llm.chat import chat_report
+from placerank.llm.collocations import collocations
 from placerank.llm.common import read
 from placerank.llm.decontaminate import contaminated
 from placerank.llm.language import predict_languages
@@ -74,6 +75,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(read(spark, sf_dir, "embeddings"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of each language of all `documents`."""
+    return collocations(read(spark, sf_dir, "documents"))
+
+
 def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict for the url of every page; `labels` of the pages' ids are their outcomes."""
     return url_verdicts(read(spark, sf_dir, "pages"), bad_pages(read(spark, sf_dir, "labels")))
@@ -83,7 +89,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_formatting, op2_quality_rules, op3_decontamination, op4_near_dedup, op5_page_text, op6_token_files, op7_mixing,
-        op8_secret_scan, op9_language_id, op10_sharding, op11_vector_codes, op13_url_filters,
+        op8_secret_scan, op9_language_id, op10_sharding, op11_vector_codes, op12_collocations, op13_url_filters,
     )
 }
 

@@ -2,11 +2,16 @@
 
 Definitions: ``ratio = 200 * LCS / (len(a) + len(b))``; ``token_set_ratio`` compares the shared
 words with each side's remainder; ``partial_ratio`` is the best ratio of the shorter string against
-windows of the longer one.  Strings are short keys; pairs repeat, hence the per-batch memo.
+windows of the longer one.  Strings are short keys.  The token-set score computes the common
+subsequences of a whole batch at once, one bit per character and one 64-bit word per pair; partial ratios
+repeat in a batch, hence the memo.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +32,71 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+def lcs_lengths(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
+    """``lcs_length`` of every pair; pairs whose shorter string has over 63 characters go one by one."""
+    short = [a if len(a) <= len(b) else b for a, b in zip(left, right, strict=True)]
+    long = [b if len(a) <= len(b) else a for a, b in zip(left, right, strict=True)]
+    n, m = np.array([len(s) for s in short], np.int64), np.array([len(s) for s in long], np.int64)
+    out = np.zeros(len(n), np.int64)
+    quick = np.flatnonzero((n > 0) & (n <= 63))
+    for i in np.flatnonzero(n > 63).tolist():
+        out[i] = lcs_length(short[i], long[i])
+    if not len(quick):
+        return out
+    quick = quick[np.argsort(m[quick], kind="stable")]
+    n, m = n[quick], m[quick]
+
+    def codes(texts: list[str], sizes: np.ndarray) -> np.ndarray:
+        table = np.zeros((len(texts), int(sizes.max())), np.uint32)
+        table[np.arange(table.shape[1]) < sizes[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        return table
+
+    a, b = codes([short[i] for i in quick.tolist()], n), codes([long[i] for i in quick.tolist()], m)
+    letters, coded = np.unique(np.concatenate([a.ravel(), b.ravel()]), return_inverse=True)
+    a, b = coded[: a.size].reshape(a.shape), coded[a.size :].reshape(b.shape)
+    rows = np.arange(len(quick))
+    where = np.zeros((len(quick), len(letters)), np.uint64)
+    for i in range(a.shape[1]):
+        on = rows[n > i]
+        where[on, a[on, i]] |= np.uint64(1 << i)
+    full = (np.uint64(1) << n.astype(np.uint64)) - np.uint64(1)
+    row = full.copy()
+    for j in range(b.shape[1]):
+        at = slice(int(np.searchsorted(m, j, side="right")), None)  # pairs whose longer string reaches j
+        hits = row[at] & where[rows[at], b[at, j]]
+        with np.errstate(over="ignore"):
+            row[at] = ((row[at] + hits) | (row[at] - hits)) & full[at]
+    out[quick] = n - np.bitwise_count(row).astype(np.int64)
+    return out
+
+
+def token_set_ratios(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
+    """``token_set_ratio`` of every pair."""
+    out, tails, at = np.zeros(len(left)), ([], []), []
+    prefix, total, floor = [], [], []
+    for i, (a, b) in enumerate(zip(left, right, strict=True)):
+        one, two = set(a.split()), set(b.split())
+        if not one or not two:
+            continue
+        shared = one & two
+        if shared and (len(shared) == len(one) or len(shared) == len(two)):
+            out[i] = 100.0
+            continue
+        base = sum(map(len, shared)) + len(shared)  # with the blank after it
+        tail = [" ".join(sorted(words - shared)) for words in (one, two)]
+        for keep, text in zip(tails, tail, strict=True):
+            keep.append(text)
+        at.append(i)
+        prefix.append(base)
+        total.append(2 * base + len(tail[0]) + len(tail[1]))
+        least = base - 1
+        floor.append(200.0 * least / (least + base + min(map(len, tail))) if base else 0.0)
+    if at:
+        common = lcs_lengths(*tails)
+        out[at] = np.maximum(200.0 * (np.array(prefix) + common) / np.array(total), np.array(floor))
+    return out
+
+
 def ratio(a: str, b: str) -> float:
     total = len(a) + len(b)
     return 200.0 * lcs_length(a, b) / total if total else 100.0
@@ -109,5 +179,14 @@ def _scorer(fn):
 
 
 ratio_udf = _scorer(ratio)
-token_set_ratio_udf = _scorer(token_set_ratio)
+
+
+@F.pandas_udf(T.DoubleType())
+def token_set_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    known = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(a), np.nan)
+    out[known] = token_set_ratios(a[known].tolist(), b[known].tolist())
+    return pd.Series(out).where(known)
+
+
 partial_ratio_udf = _scorer(partial_ratio)

@@ -1,9 +1,16 @@
 """Candidate pairs for fuzzy string matching without comparing everything with everything.
 
-Prefix filtering (Chaudhuri et al., ICDE 2006; Bayardo et al., WWW 2007): if two strings must agree
-on enough features, then one of the rarest features of one string occurs in the other.  Each string
-offers only that many of its rarest features; a feature half the data shares is offered only by
-strings that have nothing rarer.  The bounds below lose no pair that reaches the threshold.
+A token-set score can be high in two ways, and each has its own index.
+
+* The shared words outweigh what is left of one side.  Prefix filtering on words (Chaudhuri et al., ICDE 2006): the few rarest
+  words that may all be left out are offered, and one of them must be in the other string.
+* The two remainders are few edits apart.  Pigeonhole on segments (Li, Deng, Wang and Feng, PVLDB 2011): the words of a string are
+  cut into segments; k edits leave all segments but k whole, each inside a word of the other string.  So any k + 1 segments will
+  do as keys, and every string takes those whose keys are rarest, long segments or short ones.  Segments meet the words they
+  occur in first (a table as large as the vocabulary), words meet strings after that.
+
+Where keys meet, candidates are at once held against a second bound: all the shared words, or the characters both texts have in any
+order (kept as bits, so this is a few machine words a pair).  What is left goes to the scorer.  The bounds lose no pair that reaches the threshold.
 """
 
 from __future__ import annotations
@@ -13,20 +20,16 @@ from pyspark.sql import functions as F
 
 from placerank.session import materialise
 
-# An indel ratio of 88 allows an edit distance of 0.12 * (|a| + |b|).  On the shorter string the
-# worst mix of edits (a deletion and an insertion apart from each other) breaks 5 trigrams per 2
-# edits: 0.6 trigrams per character.
-_BROKEN_PER_CHAR = 0.6
+# An indel ratio of 88 allows an edit distance of 0.12 * (|a| + |b|).
+_EDITS = 0.12
 # The score for which these bounds hold.
 _LEAST = 88.0
 # Shared words must outweigh the remainder: at most 22 % of the characters lie outside.
 _WORD_TAIL = 0.22
-
-
-def word_trigrams(text: Column) -> Column:
-    """Distinct trigrams of every word, words padded by one blank on both sides."""
-    padded = F.transform(F.split(text, " "), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    return F.array_distinct(F.flatten(F.transform(padded, trigrams)))
+# Characters of a segment, from which every string chooses one; a whole shorter word is a segment too.
+_GRAINS = (1, 2, 3, 4)
+# Longer segments are looked up by their first characters.
+_LONGEST_KEY = 6
 
 
 def trigrams(text: Column) -> Column:
@@ -36,7 +39,7 @@ def trigrams(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.array_distinct(F.split(text, " "))
+    return F.array_distinct(F.filter(F.split(text, " "), lambda w: w != ""))
 
 
 def _rarest(postings: DataFrame, common: DataFrame, share: Column) -> DataFrame:
@@ -86,45 +89,120 @@ def _meeting_keys(side: Column, zone: Column, feature: Column) -> Column:
     return F.when(side == "l", left).otherwise(right)
 
 
+def segments(text: Column, grain: int) -> Column:
+    """The distinct words of a text cut into pieces of `grain` characters or, at the end of a word, some more."""
+
+    def cut(word: Column) -> Column:
+        n = F.greatest(F.lit(1), F.floor(F.length(word) / grain)).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), n - 1), lambda i: F.when(i < n - 1, F.substring(word, i * grain + 1, F.lit(grain))).otherwise(F.substring(word, i * grain + 1, F.length(word)))
+        )
+
+    return F.flatten(F.transform(words(text), cut))
+
+
+def _inner_keys(word: Column) -> Column:
+    """Every piece of a word that a segment may be looked up by."""
+    at = F.sequence(F.lit(1), F.length(word))
+    return F.array_distinct(
+        F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(_LONGEST_KEY), F.length(word) - i + 1)), lambda n: F.substring(word, i, n))))
+    )
+
+
+def _rare_segments(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(side, text, key): k + 1 segments of every text, of the grain and from the words whose keys fewest strings hold.
+
+    A text is looked up as the longer of a pair, so k = 0.24 of its size, the length of its distinct words joined.
+    `vocabulary`: word, df."""
+    spread = vocabulary.select("df", F.explode(_inner_keys(F.col("word"))).alias("key")).groupBy("key").agg(F.sum("df").alias("key_df"))
+    cut = F.array(*[F.struct(F.lit(g).alias("grain"), F.transform(segments(F.col("word"), g), lambda s: F.substring(s, 1, _LONGEST_KEY)).alias("keys")) for g in _GRAINS])
+    cuts = vocabulary.select("word", F.explode(cut).alias("c")).select("word", "c.grain", "c.keys")
+    costs = cuts.select("word", "grain", F.explode("keys").alias("key")).join(spread, "key").groupBy("word", "grain").agg(F.sum("key_df").alias("cost"))
+    cuts = cuts.join(costs, ["word", "grain"]).withColumn("n", F.size("keys"))
+    per_word = texts.select("side", "text", "size", F.explode(words(F.col("text"))).alias("word")).join(cuts, "word")
+    by_text = Window.partitionBy("side", "text", "size", "grain").orderBy(F.col("cost") / F.col("n"), "word").rowsBetween(Window.unboundedPreceding, -1)
+    edits = F.floor(F.lit(2 * _EDITS) * F.col("size") + F.lit(1e-9))
+    taken = per_word.withColumn("_before", F.coalesce(F.sum("n").over(by_text), F.lit(0))).where(F.col("_before") <= edits)
+    chosen = taken.groupBy("side", "text", "size", "grain").agg(F.sum("cost").alias("cost"), F.sum("n").alias("n"), F.collect_list("keys").alias("keys"))
+    best = F.min_by(F.col("keys"), F.struct("cost", "grain"))
+    plans = chosen.where(F.col("n") > edits).groupBy("side", "text").agg(best.alias("keys"))
+    return plans.select("side", "text", F.explode(F.array_distinct(F.flatten("keys"))).alias("key"))
+
+
+def _joined(parts: Column) -> Column:
+    """Length of the words joined by blanks."""
+    return F.aggregate(parts, F.lit(0), lambda n, w: n + F.length(w) + 1) - 1
+
+
+def _words_outweigh(left: Column, right: Column) -> Column:
+    """The shared words alone reach the score, or are all of one side."""
+    shared = F.array_intersect(words(left), words(right))
+    s = _joined(shared).cast("double")
+    reaches = lambda side: F.lit(200.0) * s >= F.lit(_LEAST - 1e-6) * (s + _joined(words(side)))
+    return (F.size(shared) > 0) & (reaches(left) | reaches(right))
+
+
+def _letters(text: Column) -> Column:
+    """How often 62 classes of characters occur: bit c of `l0` to `l3` says more than 0 to 3 times, `over` counts the rest."""
+    zero, none = F.lit(0).cast("long"), F.lit(0)
+    start = F.struct(zero.alias("l0"), zero.alias("l1"), zero.alias("l2"), zero.alias("l3"), none.alias("over"))
+
+    def add(seen: Column, char: Column) -> Column:
+        bit = F.pow(F.lit(2.0), F.pmod(F.ascii(char), F.lit(62))).cast("long")
+        free, levels = F.lit(True), []
+        for k in range(4):
+            level = seen[f"l{k}"]
+            levels.append(F.when(free, level.bitwiseOR(bit)).otherwise(level).alias(f"l{k}"))
+            free = free & (level.bitwiseAND(bit) != 0)
+        return F.struct(*levels, (seen["over"] + free.cast("int")).alias("over"))
+
+    return F.aggregate(F.split(text, ""), start, add)
+
+
+def _common_letters(a: str, b: str) -> Column:
+    """At least as many characters as two texts (columns of :func:`_letters`) share, in any order."""
+    levels = [F.bit_count(F.col(a)[f"l{k}"].bitwiseAND(F.col(b)[f"l{k}"])) for k in range(4)]
+    return levels[0] + levels[1] + levels[2] + levels[3] + F.least(F.col(a)["over"], F.col(b)["over"])
+
+
 def similar_texts(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct (left_text, right_text) that may reach a token-set ratio of 88.
 
     ``left`` and ``right``: text (blanks separate words) and optionally zone; only pairs of one zone,
-    or with a zone missing, are wanted.  Word features find strings whose shared words dominate,
-    trigram features find spelling variants of similar size."""
+    or with a zone missing, are wanted.  See the module text for the two indexes."""
     t = F.col("text")
     sides = []
     for name, df in (("l", left), ("r", right)):
         zone = F.col("zone") if "zone" in df.columns else F.lit(None).cast("string")
         sides.append(df.select("text", zone.alias("zone")).distinct().withColumn("side", F.lit(name)))
     both = sides[0].union(sides[1])
-    zones = both.select("side", "text", "zone")
-    postings = _postings(both.select("side", "text").distinct(), word=words(t), gram=word_trigrams(t))
-    share = F.when(F.col("kind") == "word", F.col("_before") <= _WORD_TAIL * F.length("text")).otherwise(
-        F.col("_pos") <= F.floor(_BROKEN_PER_CHAR * F.length("text")) + 1
-    )
-    offered = _rarest(postings, _document_frequency(postings), share)
+    zones = materialise(both.withColumn("_t", F.array_join(words(t), " ")).select("side", "text", "zone", F.length("_t").alias("size"), _letters(F.col("_t")).alias("letters")))
+    texts = zones.select("side", "text", "size").distinct()
+    postings = materialise(_postings(texts, word=words(t)))
+    common = _document_frequency(postings)
+    vocabulary = common.select(F.col("feature").alias("word"), "df")
+    offered = _rarest(postings, common, F.col("_before") <= _WORD_TAIL * F.length("text")).withColumn("kind", F.lit("word"))
+    keys = vocabulary.select("word", F.explode(_inner_keys(F.col("word"))).alias("key"))
+    held = _rare_segments(texts, vocabulary).join(keys, "key").select("side", F.lit("segment").alias("kind"), "text", F.col("word").alias("feature")).distinct()
 
     def keyed(rows: DataFrame, suffix: str) -> DataFrame:
-        keys = _meeting_keys(F.col("side"), F.col("zone"), F.col("feature"))
+        at = _meeting_keys(F.col("side"), F.col("zone"), F.col("feature"))
         return rows.join(zones, ["side", "text"]).select(
-            F.col("side").alias("side" + suffix), "kind", F.col("text").alias("text" + suffix), F.explode(keys).alias("key")
+            F.col("side").alias("side" + suffix), F.col("kind").alias("kind" + suffix), F.col("text").alias("text" + suffix), F.col("size").alias("size" + suffix), F.col("letters").alias("letters" + suffix), F.explode(at).alias("key")
         ).distinct()
 
-    n, m = F.length("text1"), F.length("text2")
-    similar_size = (n <= m) & (F.lit(0.88) * m <= F.lit(1.12) * n)
-    pairs = keyed(offered, "1").join(keyed(postings, "2"), ["kind", "key"]).where(
-        (F.col("side1") != F.col("side2")) & ((F.col("kind") == "word") | similar_size)
-    )
+    met = keyed(offered.unionByName(held), "1").join(keyed(postings, "2").drop("kind2"), "key").where("side1 <> side2")
+    edits = F.floor(F.lit(_EDITS) * (F.col("size1") + F.col("size2")) + F.lit(1e-9))
+    near = F.col("size1").between(F.col("size2"), F.col("size2") + edits) & (F.col("size1") + F.col("size2") - 2 * _common_letters("letters1", "letters2") <= edits)
+    met = met.where((F.col("kind1") == "word") | near)
     from_left = F.col("side1") == "l"
+    met = met.select(
+        "kind1", F.when(from_left, F.col("text1")).otherwise(F.col("text2")).alias("left_text"), F.when(from_left, F.col("text2")).otherwise(F.col("text1")).alias("right_text")
+    ).distinct()
+    reach = (F.col("kind1") == "segment") | _words_outweigh(F.col("left_text"), F.col("right_text"))
     # materialised, or a caller's filter on the score would move below the distinct and run on
     # every repeated meeting of the same pair
-    return materialise(
-        pairs.select(
-            F.when(from_left, F.col("text1")).otherwise(F.col("text2")).alias("left_text"),
-            F.when(from_left, F.col("text2")).otherwise(F.col("text1")).alias("right_text"),
-        ).distinct()
-    )
+    return materialise(met.where(reach).select("left_text", "right_text").distinct())
 
 
 def _broken_in_window(text: Column, least: float) -> Column:

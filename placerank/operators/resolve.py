@@ -27,6 +27,7 @@ from placerank.functions.base import truthy
 from placerank.functions.names import name_key
 from placerank.functions.similarity import token_set_ratio_udf
 from placerank.operators.blocking import similar_texts
+from placerank.operators.joins import lookup
 from placerank.operators.ordered import row_numbers
 from placerank.params import ScoringParams
 from placerank.session import materialise
@@ -110,49 +111,41 @@ def _known_nodes(known: DataFrame) -> DataFrame:
     )
 
 
-def _firsts(nodes: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-    """Earliest node of every key group."""
-    first = F.min(F.struct("ord", "node"))
-    return (
-        nodes.where(F.forall(F.array(*keys), lambda k: k.isNotNull()))
-        .groupBy(*keys)
-        .agg(first.alias("_f"))
-        .select(*keys, F.col("_f.node").alias(f"{prefix}_node"), F.col("_f.ord").alias(f"{prefix}_ord"))
-    )
+#: Tiers of exact keys, strongest first.
+_TIERS = (("place_id",), ("name_key", "postal"), ("phone",), ("booking",), ("name_key", "place"))
 
 
-def _earlier(prefix: str) -> Column:
-    return F.when(F.col(f"{prefix}_ord") < F.col("ord"), F.col(f"{prefix}_node"))
+def _keys_held(nodes: DataFrame) -> DataFrame:
+    """(node, ord, tier, key): one row for every key a node has; missing keys make no rows."""
+    held = [
+        F.when(F.forall(F.array(*keys), lambda k: k.isNotNull()), F.struct(F.lit(tier).alias("tier"), F.concat_ws("\u0001", *keys).alias("key")))
+        for tier, keys in enumerate(_TIERS, 1)
+    ]
+    return nodes.select("node", "ord", F.explode(F.array_compact(F.array(*held))).alias("k")).select("node", "ord", "k.tier", "k.key")
 
 
 def _exact_parents(nodes: DataFrame) -> DataFrame:
-    """Each node's earliest predecessor through its best exact tier."""
+    """Each node's earliest predecessor through its best exact tier: one aggregate finds the first holder of every key, one
+    lookup brings it back to the holders, one aggregate keeps the best tier."""
     home = (
-        nodes.where(F.col("postal").isNotNull())
+        nodes.where("name_key is not null")
         .groupBy("name_key")
-        .agg(F.min_by("postal", F.struct("ord", "postal")).alias("_home"))
+        .agg(F.min_by("postal", F.when(F.col("postal").isNotNull(), F.struct("ord", "postal"))).alias("_home"), F.count(F.lit(1)).alias("_n"))
     )
-    placed = nodes.join(home, "name_key", "left").withColumn(
+    homes = lookup(nodes.where("name_key is not null and postal is null").select("node", "name_key"), materialise(home), ["name_key"], "_n")
+    placed = nodes.join(homes.select("node", "_home"), "node", "left").withColumn(
         # the separator keeps "no postal anywhere" apart from a postal code
         "place", F.coalesce("postal", "_home", F.lit("none"))
     )
-    out = placed
-    for keys, prefix in (
-        (["place_id"], "p"),
-        (["name_key", "postal"], "n"),
-        (["phone"], "t"),
-        (["booking"], "b"),
-        (["name_key", "place"], "e"),
-    ):
-        out = out.join(_firsts(placed, keys, prefix), keys, "left")
-    tiers = [_earlier(p) for p in ("p", "n", "t", "b", "e")]
-    method = F.lit(None).cast("string")
-    for tier, label in reversed(list(zip(tiers, METHODS, strict=False))):
-        method = F.when(tier.isNotNull(), F.lit(label)).otherwise(method)
-    return out.select(
+    held = materialise(_keys_held(placed))
+    firsts = held.groupBy("tier", "key").agg(F.min(F.struct("ord", "node")).alias("_f"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    hits = lookup(held, materialise(firsts), ["tier", "key"], "_n").where(F.col("_f.ord") < F.col("ord"))
+    best = hits.groupBy("node").agg(F.min(F.struct("tier", F.col("_f.node").alias("parent"))).alias("_b"))
+    fresh = F.col("venue_id").isNull()
+    return nodes.join(best, "node", "left").select(
         "node", *_KEYS, "creator", "catalogue", "ord", "name", "venue_id",
-        F.when(F.col("venue_id").isNull(), F.coalesce(*tiers)).alias("parent"),
-        F.when(F.col("venue_id").isNull(), method).alias("method"),
+        F.when(fresh, F.col("_b.parent")).alias("parent"),
+        F.when(fresh, F.element_at(F.array(*map(F.lit, METHODS)), F.col("_b.tier"))).alias("method"),
     )
 
 
@@ -181,8 +174,12 @@ def _claims(index: DataFrame, keys: list[str]) -> DataFrame:
     one = index.groupBy(*keys, "entity_ord", "entity").agg(F.min("since").alias("since"))
     oldest = one.groupBy(*keys).agg(F.min(F.struct("entity_ord", "since", "entity")).alias("f"))
     rivals = one.join(oldest, keys).where(F.col("since") < F.col("f.since")).select(*keys, "entity_ord", "since", "entity")
-    before = Window.partitionBy(*keys).orderBy("entity_ord", "since").rowsBetween(Window.unboundedPreceding, -1)
-    rivals = rivals.withColumn("_best", F.min("since").over(before)).where(F.col("_best").isNull() | (F.col("since") < F.col("_best")))
+    # an entity beaten in a part of the rivals is beaten in all of them: a crowded key is thinned in many small parts first
+    rivals = rivals.withColumn("_part", F.pmod(F.xxhash64("entity"), F.lit(4096)))
+    for by in ([*keys, "_part"], keys):
+        before = Window.partitionBy(*by).orderBy("entity_ord", "since").rowsBetween(Window.unboundedPreceding, -1)
+        rivals = rivals.withColumn("_best", F.min("since").over(before)).where(F.col("_best").isNull() | (F.col("since") < F.col("_best")))
+    rivals = rivals.drop("_part", "_best")
     return oldest.union(rivals.select(*keys, F.struct("entity_ord", "since", "entity").alias("f")))
 
 

@@ -15,6 +15,7 @@ from placerank.operators.merge import prune_evidence, refresh_venues
 from placerank.operators.ordered import top_k
 from placerank.plans import serve
 from placerank.plans.ranking_queries import BAYES, DUCK_BEST, DUCK_RATINGS, ratings
+from placerank.plans.duck_match import FUZZY_PAIRS, NAME_KEY, resolution
 from placerank.plans.standins import ENGLISH, PLACES, STATIONS, VENUES, duck, venues, view
 from placerank.sources import pages, payloads, threads
 
@@ -550,7 +551,7 @@ def exact_match_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.match_exact(rows, index).select("node", "entity", "method")
 
 
-DUCK_KEY = "trim(regexp_replace(' ' || regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g') || ' ', ' the ', ' ', 'g'))"
+DUCK_KEY = NAME_KEY
 DUCK_TIERS = f"""WITH k AS (SELECT venue_id, part_no, postal_code, {DUCK_KEY} AS name_key FROM ({V})),
 i AS (SELECT venue_id AS entity, part_no AS o, CASE WHEN part_no % 6 = 0 THEN venue_id END AS place_id, name_key, CASE WHEN part_no % 10 > 0 THEN postal_code END AS postal, '+65 ' || (part_no % 500) AS phone FROM k WHERE part_no % 2 = 0),
 r AS (SELECT venue_id AS node, CASE WHEN part_no % 3 = 0 THEN venue_id END AS place_id, name_key, CASE WHEN part_no % 4 > 0 THEN postal_code END AS postal, CASE WHEN part_no % 7 = 0 THEN '+65 ' || (part_no % 500) END AS phone FROM k),
@@ -561,36 +562,36 @@ c AS (SELECT node, entity, o, 1 AS tier, 'place_id' AS method FROM r JOIN i USIN
 SELECT node, arg_min(entity, {{'a': tier, 'b': o}}) AS entity, arg_min(method, {{'a': tier, 'b': o}}) AS method FROM c GROUP BY 1"""
 
 
+RESOLVABLE = """SELECT l.l_partkey AS part_no, l.l_linenumber AS line_no, l.l_orderkey AS order_no,
+      CASE WHEN l.l_partkey % 5 = 0 AND l.l_linenumber = 3 THEN substr(p.p_name, 2) WHEN l.l_partkey % 7 = 0 AND l.l_linenumber = 6 THEN replace(p.p_name, ' ', '') ELSE p.p_name END || ' ' || p.p_brand AS name,
+      'src' || CAST(l.l_suppkey % 8 AS STRING) AS source_key, round(1 - 5 * l.l_discount, 2) AS c,
+      CASE WHEN l.l_linenumber % 3 > 0 THEN lpad(CAST(l.l_partkey * 37 % 1000000 AS STRING), 6, '0') END AS p,
+      CASE WHEN l.l_suppkey % 5 = 0 THEN '+65 9' || lpad(CAST(l.l_partkey AS STRING), 7, '0') END AS t,
+      CASE WHEN l.l_linenumber = 4 THEN 'https://book.test/' || CAST(l.l_partkey AS STRING) END AS b
+      FROM {lineitem} l JOIN {part} p ON p.p_partkey = l.l_partkey"""
+
+
 def _resolvable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sightings of order lines: the part's name, its postal code on two lines of three."""
+    """Sightings of order lines: the part's name, some of them misspelt, with a postal code on two lines of three, a phone from
+    some suppliers and a booking link on some lines."""
     from placerank.schemas import SIGHTING
 
-    rows = view(spark, sf_dir, """SELECT l.l_partkey AS part_no, p.p_name || ' ' || p.p_brand AS name, l.l_linenumber AS line_no, l.l_orderkey AS order_no,
-      'src' || CAST(l.l_suppkey % 8 AS STRING) AS source_key, round(1 - 5 * l.l_discount, 2) AS confidence,
-      CASE WHEN l.l_linenumber % 3 > 0 THEN lpad(CAST(l.l_partkey * 37 % 1000000 AS STRING), 6, '0') END AS postal_code
-      FROM {lineitem} l JOIN {part} p ON p.p_partkey = l.l_partkey""")
+    rows = view(spark, sf_dir, RESOLVABLE)
     seq = F.col("order_no") * 1000000000 + F.col("line_no") * 100000000 + F.col("part_no")
-    known = {"name": F.col("name"), "source_key": F.col("source_key"), "confidence": F.col("confidence"), "postal_code": F.col("postal_code"), "seq": seq, "run_id": F.lit("r1")}
+    known = {"name": F.col("name"), "source_key": F.col("source_key"), "confidence": F.col("c"), "postal_code": F.col("p"), "phone": F.col("t"), "booking_url": F.col("b"), "seq": seq, "run_id": F.lit("r1")}
     shape = spark.createDataFrame([], SIGHTING).schema
     return rows.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in shape])
 
 
 def resolve_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact tiers on every order line: stable ids in creation order, size of every venue."""
-    done = resolve.resolve(_resolvable(spark, sf_dir), fuzzy=False)
+    """All tiers on every order line: stable ids in creation order, size of every venue."""
+    done = resolve.resolve(_resolvable(spark, sf_dir))
     return done.assignments.groupBy("venue_id").agg(F.count(F.lit(1)).alias("sightings"), F.min("kept_name").alias("name"))
 
 
-DUCK_RESOLVE = f"""WITH s AS (SELECT p_name || ' ' || p_brand AS name, {DUCK_KEY.replace("name", "p_name || ' ' || p_brand")} AS k, CASE WHEN l_linenumber % 3 > 0 THEN lpad(CAST(l_partkey * 37 % 1000000 AS STRING), 6, '0') END AS p,
-   round(1 - 5 * l_discount, 2) AS c, {{'a': -round(1 - 5 * l_discount, 2), 'b': l_orderkey * 1000000000 + l_linenumber * 100000000 + l_partkey}} AS o FROM lineitem JOIN part ON p_partkey = l_partkey),
-h AS (SELECT k, arg_min(p, o) FILTER (p IS NOT NULL AND c > 0.5) AS home FROM s GROUP BY 1),
-m AS (SELECT name, k, coalesce(p, home, 'none') AS place, c, o FROM s JOIN h USING (k)),
-v AS (SELECT k, place, min(o) AS o, arg_min(name, o) AS name FROM m WHERE c > 0.5 GROUP BY 1, 2),
-ids AS (SELECT k, place, o, name, 'v' || lpad(CAST(row_number() OVER (ORDER BY o) AS STRING), 5, '0') AS venue_id FROM v),
-low AS (SELECT s.k, s.p, s.o, coalesce((SELECT venue_id FROM ids WHERE ids.k = s.k AND ids.place = s.p), (SELECT min(venue_id) FROM ids WHERE ids.k = s.k AND (s.p IS NULL OR ids.place = 'none'))) AS venue_id FROM s WHERE c <= 0.5)
-SELECT venue_id, count(*) AS sightings, min(name) AS name FROM (
-  SELECT ids.venue_id, ids.name FROM m JOIN ids USING (k, place) WHERE c > 0.5
-  UNION ALL SELECT low.venue_id, ids.name FROM low LEFT JOIN ids ON ids.venue_id = low.venue_id) GROUP BY 1"""
+_RESOLUTION = resolution("SELECT name, c, p, t, b, order_no * 1000000000 + line_no * 100000000 + part_no AS seq FROM (" + duck(RESOLVABLE) + ")")
+DUCK_RESOLVE = f"WITH {_RESOLUTION} SELECT venue_id, count(*) AS sightings, min(kept_name) AS name FROM done GROUP BY 1"
+DUCK_STATS = f"WITH {_RESOLUTION} SELECT method, count(*) AS sightings FROM done GROUP BY 1"
 
 
 def match_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -707,8 +708,8 @@ QUERIES = {
         FROM (SELECT *, CASE michelin WHEN '3 Stars' THEN 3 WHEN '2 Stars' THEN 2 WHEN '1 Star' THEN 1 WHEN 'Star' THEN 1 ELSE 0 END AS s FROM ({V})) ORDER BY s DESC, part_no LIMIT 20"""),
     "exact_match_tiers": (exact_match_tiers, DUCK_TIERS),
     "resolve_entities": (resolve_entities, DUCK_RESOLVE),
-    "match_stats": (match_stats, None),
-    "fuzzy_pairs": (fuzzy_pairs, None),
+    "match_stats": (match_stats, DUCK_STATS),
+    "fuzzy_pairs": (fuzzy_pairs, FUZZY_PAIRS),
     "handle_caption_match": (handle_caption_match, DUCK_MATCH),
     "match_guesses": (top_guess, None),
     "top_rated": (top_rated, f"""SELECT source_key, rank, venue_id, value FROM (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY value DESC, venue_id) AS rank FROM (SELECT *, round({BAYES}, 9) AS value FROM ({DUCK_RATINGS}))) WHERE rank <= 10"""),

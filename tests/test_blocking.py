@@ -1,6 +1,6 @@
 import random
 
-from placerank.functions.similarity import partial_ratio, ratio, token_set_ratio, token_set_ratio_udf
+from placerank.functions.similarity import lcs_length, lcs_lengths, partial_ratio, ratio, token_set_ratio, token_set_ratio_udf, token_set_ratios
 from placerank.operators.blocking import similar_texts, texts_near
 from placerank.operators.social import match_guesses
 
@@ -33,6 +33,35 @@ def test_no_similar_pair_is_lost(spark):
     assert want and got == want
 
 
+def test_nothing_is_lost_when_blanks_move_and_few_pairs_are_left(spark):
+    rnd = random.Random(21)
+    vocab = [*VOCAB, "a", "25", "2", "brand"]
+    left = {" ".join(rnd.choices(vocab, k=rnd.randint(1, 5))) for _ in range(150)}
+    right = set()
+    for s in left:
+        for _ in range(2):
+            t = list(mutate(rnd, s))
+            if " " in t and rnd.random() < 0.5:
+                t.remove(" ")
+            if len(t) > 3 and rnd.random() < 0.5:
+                t.insert(rnd.randrange(1, len(t)), " ")
+            right.add(" ".join("".join(t).split()))
+    right.discard("")
+    df = lambda xs: spark.createDataFrame([(x,) for x in sorted(xs)], "text string")
+    got = {(r.left_text, r.right_text) for r in similar_texts(df(left), df(right)).collect()}
+    want = {(a, b) for a in left for b in right if token_set_ratio(a, b) >= 88}
+    assert len(want) > 300 and want <= got and len(got) < 2 * len(want)
+
+
+def test_ratios_of_a_batch_equal_those_of_pairs():
+    rnd = random.Random(2)
+    texts = lambda: ["".join(rnd.choice("abcé ") for _ in range(rnd.choice([0, 1, 7, 63, 64, 90]))) for _ in range(400)]
+    left, right = texts(), texts()
+    assert lcs_lengths(left, right).tolist() == [lcs_length(a, b) for a, b in zip(left, right)]
+    left, right = ([" ".join(rnd.choices(VOCAB, k=rnd.randint(0, 5))) for _ in range(400)] for _ in range(2))
+    assert token_set_ratios(left, right).tolist() == [token_set_ratio(a, b) for a, b in zip(left, right)]
+
+
 def test_zones_keep_pairs_apart(spark):
     left = spark.createDataFrame([("luna bar", "1"), ("luna hall", None)], "text string, zone string")
     right = spark.createDataFrame([("luna bar x", "1"), ("luna bar y", "2"), ("luna hall z", "3"), ("luna bar w", None)], "text string, zone string")

@@ -7,11 +7,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
+#: Bytes of a batch that Spark hands to a Python worker.
+BATCH_BYTES = 8 << 20
 #: Text bytes handled at once inside a task; one longer text is a slice of its own.
 SLICE_BYTES = 4_000_000
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """The table, once its session cuts Arrow batches at BATCH_BYTES: whole texts by the ten thousand do not fit a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def text_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     """The text column as strings, nulls as empty texts.
 

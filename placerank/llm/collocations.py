@@ -1,14 +1,18 @@
 """Phrase collocation mining with stripes.
 
-A stripe belongs to a prefix (of a language) and counts the words that follow it; its total, how often the prefix itself occurs,
-is one more entry.  Tasks build stripes of a slice of texts with array operations, and Spark merges them entry by entry: the key
-of an entry is (language, prefix, next word), so a prefix before half of all words is no hot group.  One such table serves
-everything: its entries are the counts of phrases, its totals those of first and last parts, and its largest extensions to the
-right (the stripe of a phrase) and to the left (entries whose prefix begins one word earlier) say which phrases are subsumed.
-
-Prefixes grow word by word.  A phrase can only reach the least count if both phrases of one word less do, so a level looks at
-positions whose two shorter phrases pass a Bloom filter of those that did.  The filter has a bounded size and only saves work:
-what it lets through by mistake is counted exactly and falls to the least count.
+A stripe belongs to a prefix (of a language) and counts the words that follow it; the empty prefix counts the words themselves, and
+its total, all words, is one more entry.  Tasks build stripes of a slice of texts with array operations and cut them into shares by a
+hash of (language, prefix, next word), so that a prefix before half of all words is no hot group; Spark brings equal shares together,
+where they are merged entry by entry.  One such table
+serves everything: an entry is the count of a phrase and the total of the stripe of which the phrase is the prefix, so it also says
+how often first and last parts occur; the largest extensions to the right (the stripe of a phrase) and to the left (entries whose
+prefix begins one word earlier) say which phrases are subsumed.
+
+Prefixes grow word by word, and a phrase can only reach the least count if both phrases of one word less do.  Most phrases of a level
+are rare even so, hence two steps: tasks first count hashes of phrases, packed as sorted runs of a few bytes an entry, and only
+phrases whose hash reaches the least count are put into stripes and counted by their words.  A hash may stand for several phrases,
+so it loses none.  The hashes that passed go to the tasks as a Bloom filter of bounded size, which only saves work too: what it lets
+through by mistake falls to the least count later.
 
 Nulls, odd rows: null and blank texts have no words; a null language is `und`.  Every row counts, repeated ones too.  A word may be
 as long as its text.  Empty tables give an empty result.  Other columns are ignored.
@@ -26,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from placerank.llm.arrow_text import slices, text_of
+from placerank.llm.arrow_text import bounded, slices, text_of
 from placerank.llm.common import materialise, small
 
 LEAST_COUNT, LONGEST, TOP = 100, 5, 2000
@@ -76,118 +80,259 @@ def _slots(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (hashes >> np.uint64(5)) & mask, (hashes >> np.uint64(35)) & mask
 
 
+def _spread(hashes: np.ndarray, kept: int) -> np.ndarray:
+    """The lowest `kept` bits of hashes, mixed over all 64."""
+    return longer(hashes & np.uint64((1 << kept) - 1), np.uint64(kept))
+
+
 class Seen:
-    """A Bloom filter with two places for each hash."""
+    """A Bloom filter with two places for each hash, of which the lowest `kept` bits count."""
 
-    def __init__(self, words: np.ndarray):
-        self.words = words
+    def __init__(self, words: np.ndarray, kept: int):
+        self.words, self.kept = words, kept
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         hit = np.ones(len(hashes), bool)
-        for at in _slots(hashes, 64 * len(self.words)):
+        for at in _slots(_spread(hashes, self.kept), 64 * len(self.words)):
             hit &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
         return hit
 
 
-def _bits(phrases: DataFrame, count: int) -> Seen:
-    """The filter of the phrases (lang, phrase); what reaches the driver is at most the filter itself."""
-    bits = 1 << max(12, min(MOST_BITS.bit_length() - 1, (BITS_EACH * count).bit_length()))
+def _filter(hashes: DataFrame, column: str, kept: int) -> Seen:
+    """The filter of a column of hashes, of which the lowest `kept` bits count; at most the filter itself reaches the driver."""
+    bits = 1 << max(12, min(MOST_BITS.bit_length() - 1, (BITS_EACH * hashes.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = word_hashes(batch.column("lang").cast(pa.large_string()))
-            parts = pc.split_pattern(batch.column("phrase"), " ")
-            flat, begins = word_hashes(parts.flatten()), np.asarray(parts.offsets)
-            for k in range(int(np.diff(begins).max(initial=0))):
-                hashes = longer(hashes, flat[begins[:-1] + k])
-            at = np.concatenate(_slots(hashes, bits))
+            at = np.concatenate(_slots(_spread(np.asarray(batch.column(column)).view(np.uint64), kept), bits))
             yield pa.RecordBatch.from_arrays(
                 [pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["slot", "bit"]
             )
 
-    found = phrases.select("lang", "phrase").mapInArrow(run, "slot long, bit long").groupBy("slot").agg(F.bit_or("bit").alias("bit")).toPandas()
+    found = hashes.select(column).mapInArrow(run, "slot long, bit long").groupBy("slot").agg(F.bit_or("bit").alias("bit")).toPandas()
     words = np.zeros(bits // 64, np.uint64)
     words[found.slot.to_numpy(np.int64)] = found.bit.to_numpy(np.int64).view(np.uint64)
-    return Seen(words)
+    return Seen(words, kept)
+
+
+def _word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of single words (lang, phrase)."""
+    for batch in batches:
+        hashes = longer(word_hashes(batch.column("lang").cast(pa.large_string())), word_hashes(batch.column("phrase").cast(pa.large_string())))
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], ["hash"])
+
+
+class Phrases:
+    """The words of a slice of texts, and the hashes of the phrases that begin at each."""
+
+    def __init__(self, part: pa.RecordBatch):
+        self.codes, self.words, self.piece, row = piece_words(text_of(part))
+        langs = part.column("lang").dictionary_encode()
+        self.langs, self.lang = langs.dictionary, np.asarray(langs.indices).astype(np.int64)[row]
+        if len(self.codes):
+            self.by_word = word_hashes(self.words)
+            self.known = {1: (longer(word_hashes(self.langs.cast(pa.large_string()))[self.lang], self.by_word[self.codes]), np.ones(len(self.codes), bool))}
+
+    def hashes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the `size` words from each position but the last, and whether one piece has them all."""
+        if size not in self.known:
+            before, ok = self.hashes(size - 1)
+            k = size - 1
+            self.known[size] = longer(before[:-1], self.by_word[self.codes[k:]]), ok[:-1] & (self.piece[k:] == self.piece[: len(self.piece) - k])
+        return self.known[size]
+
+
+def pack(keys: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
+    """Ascending keys as the bytes of their gaps, all first bytes before all second ones, then the counts likewise."""
+
+    def planes(values: np.ndarray) -> tuple[int, bytes]:
+        wide = max(1, (int(values.max()).bit_length() + 7) // 8)
+        return wide, values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T.tobytes()
+
+    wide, gaps = planes(np.diff(keys, prepend=np.uint64(0)))
+    return wide, gaps + planes(counts)[1]
+
+
+def unpack(n: int, wide: int, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(packed, np.uint8).reshape(-1, n)
+
+    def values(rows: np.ndarray) -> np.ndarray:
+        return sum((r.astype(np.uint64) << np.uint64(8 * k) for k, r in enumerate(rows)), np.zeros(n, np.uint64))
+
+    return np.cumsum(values(raw[:wide]), dtype=np.uint64), values(raw[wide:])
+
+
+def _counted(phrases: Phrases, size: int, seen: Seen, kept: int, buckets: int) -> pa.RecordBatch | None:
+    """Packed counts of the hashes of all phrases whose first and last size - 1 words may be frequent, by range of hashes."""
+    if len(phrases.codes) < size:
+        return None
+    before, _ = phrases.hashes(size - 1)
+    hashes, ok = phrases.hashes(size)
+    may = seen(before)
+    keys, counts = np.unique(hashes[ok & may[:-1] & may[1:]] & np.uint64((1 << kept) - 1), return_counts=True)
+    if not len(keys):
+        return None
+    step = kept - (buckets.bit_length() - 1)
+    owner = (keys >> np.uint64(step)).astype(np.int64)
+    rows = []
+    borders = np.flatnonzero(np.diff(owner, prepend=-1, append=-1))
+    for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+        rows.append((int(owner[a]), b - a, *pack(keys[a:b] - np.uint64(int(owner[a]) << step), counts[a:b])))
+    return _row_batch(**{c: pa.array(v) for c, v in zip(("bucket", "n", "wide", "packed"), zip(*rows, strict=True), strict=True)})
+
+
+_COLUMNS = {
+    "share": pa.int32(), "lang": pa.list_(pa.string()), "prefix": pa.list_(pa.string()), "next": pa.list_(pa.string()), "count": pa.list_(pa.int64()),
+    "bucket": pa.int32(), "n": pa.int32(), "wide": pa.int32(), "packed": pa.binary(),
+}
+_PASS = "share int, lang array<string>, prefix array<string>, next array<string>, count array<long>, bucket int, n int, wide int, packed binary"
+
+
+def _row_batch(**columns: pa.Array) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([columns[c].cast(t) if c in columns else pa.nulls(n, t) for c, t in _COLUMNS.items()], list(_COLUMNS))
+
+
+def _striped(phrases: Phrases, size: int, whole: Seen | None, shares: int) -> pa.RecordBatch | None:
+    """Stripes of prefixes of size - 1 words in shares: language, prefix, next word and count of every entry.
+
+    `whole` says which phrases may be frequent; single words all are counted, and their total has no next word."""
+    codes, words, lang = phrases.codes, phrases.words, phrases.lang
+    if len(codes) < size:
+        return None
+    hashes, ok = phrases.hashes(size)
+    at = np.flatnonzero(ok)
+    if size > 1:
+        at = at[whole(hashes[at])]
+    if not len(at):
+        return None
+    heads = codes[at] if size > 1 else np.zeros(len(at), np.int64)
+    for k in range(1, size - 1):
+        heads = np.unique(heads * len(words) + codes[at + k], return_inverse=True)[1]
+    # one number for (language, prefix); `first` is a position where it stands
+    _, first, head = np.unique(heads * len(phrases.langs) + lang[at], return_index=True, return_inverse=True)
+    pair, where, count = np.unique(head * len(words) + codes[at + size - 1], return_index=True, return_counts=True)
+    begin = at[first]
+    prefix = pa.array([""] * len(first), pa.large_string())
+    for k in range(size - 1):
+        prefix = pc.binary_join_element_wise(prefix, words.take(pa.array(codes[begin + k])), pa.scalar(" " if k else "", pa.large_string()))
+    share = ((hashes[at[where]] >> np.uint64(23)) & np.uint64(shares - 1)).astype(np.int64)
+    owner, follows = pair // len(words), pair % len(words)
+    last = pa.array(follows)
+    if size == 1:  # the totals come after the entries
+        many = len(first)
+        own = (word_hashes(phrases.langs)[lang[begin]] & np.uint64(shares - 1)).astype(np.int64)
+        share, owner, count = np.append(share, own), np.append(owner, np.arange(many)), np.append(count, np.bincount(head))
+        last = pa.array([*follows.tolist(), *[None] * many], pa.int64())
+    order = np.argsort(share, kind="stable")
+    share = share[order]
+    starts = np.flatnonzero(np.diff(share, prepend=-1))
+    cut = pa.array(np.append(starts, len(share)), pa.int32())
+    take = lambda values: pa.ListArray.from_arrays(cut, values.take(pa.array(order)).cast(pa.string()))
+    return _row_batch(
+        share=pa.array(share[starts]),
+        lang=take(phrases.langs.take(pa.array(lang[begin][owner]))),
+        prefix=take(prefix.take(pa.array(owner))),
+        next=take(words.take(last)),
+        count=pa.ListArray.from_arrays(cut, pa.array(count[order], pa.int64())),
+    )
+
+
+def _merged(rows: DataFrame, size: int, least: int) -> DataFrame:
+    """The stripes of all tasks, merged share by share: lang, prefix, next, n (`least` and more, or a total), size."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["lang", "prefix", "next"]
+        pending, waiting = [], 0
+
+        def joined() -> pa.Table:
+            table = pa.concat_tables(pending).group_by(names).aggregate([("n", "sum")])
+            return table.select([*names, "n_sum"]).rename_columns([*names, "n"])
 
-def _stripes(size: int, seen: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Stripes of prefixes of size - 1 words: lang, prefix, the next words with their counts, and the total (next null)."""
+        for batch in batches:
+            part = pa.table({c: batch.column(c).flatten() for c in names} | {"n": batch.column("count").flatten()})
+            pending.append(part)
+            waiting += part.num_rows
+            if waiting > 500_000 + 2 * pending[0].num_rows:
+                pending, waiting = [joined()], 0
+        if pending:
+            table = joined()
+            table = table.filter(pc.or_(pc.is_null(table["next"]), pc.greater_equal(table["n"], least)))
+            yield from table.to_batches(max_chunksize=10_000)
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = rows.where("share is not null").select("share", "lang", "prefix", "next", "count").repartition(parts, "share")
+    return materialise(bounded(shares).mapInArrow(run, "lang string, prefix string, next string, n long").withColumn("size", F.lit(size)))
+
+
+def _look(
+    stripe_size: int, count_size: int, seen: list[Broadcast | None], kept: int, buckets: int
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One look at the texts: stripes of phrases of one size and packed counts of another (0: none).  `seen[k]` filters phrases
+    of k words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = lambda k: seen[k].value if 0 < k < len(seen) else None
         for batch in batches:
             for part in slices(batch):
-                yield from of(part)
-
-    def of(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        codes, words, piece, row = piece_words(text_of(part))
-        langs = part.column("lang").dictionary_encode()
-        lang = np.asarray(langs.indices).astype(np.int64)[row]
-        n = len(codes)
-        if n < max(size - 1, 1):
-            return
-        if size == 1:
-            at = np.arange(n)
-            heads = np.zeros(n, np.int64)
-            follows = np.ones(n, bool)
-        else:
-            by_word, by_lang = word_hashes(words), word_hashes(langs.dictionary.cast(pa.large_string()))
-            hashes, ok = longer(by_lang[lang], by_word[codes]), np.ones(n, bool)
-            for k in range(1, size - 1):  # the hash of the k + 1 words from each position, where the piece has as many
-                ok = ok[:-1] & (piece[k:] == piece[: n - k])
-                hashes = longer(hashes[:-1], by_word[codes[k:]])
-            ok &= seen.value(hashes)
-            at = np.flatnonzero(ok)  # positions of prefixes that may be frequent
-            follows = np.zeros(len(at), bool)
-            inner = at < len(ok) - 1
-            follows[inner] = ok[at[inner] + 1] & (piece[at[inner]] == piece[at[inner] + size - 1])
-            heads = codes[at]
-            for k in range(1, size - 1):
-                heads = np.unique(heads * len(words) + codes[at + k], return_inverse=True)[1]
-        if not len(at):
-            return
-        # one number for (language, prefix); `first` is a position where it stands
-        _, first, head = np.unique(heads * len(langs.dictionary) + lang[at], return_index=True, return_inverse=True)
-        total = np.bincount(head)
-        pair, count = np.unique(head[follows] * len(words) + codes[at[follows] + size - 1], return_counts=True)
-        owner = pair // len(words)
-        begins = np.searchsorted(owner, np.arange(len(first) + 1))
-        begin = at[first]
-        prefix = pa.array([""] * len(first), pa.large_string())
-        for k in range(size - 1):
-            prefix = pc.binary_join_element_wise(prefix, words.take(pa.array(codes[begin + k])), pa.scalar(" " if k else "", pa.large_string()))
-        yield pa.RecordBatch.from_arrays(
-            [
-                langs.dictionary.take(pa.array(lang[begin])).cast(pa.string()),
-                prefix.cast(pa.string()),
-                pa.ListArray.from_arrays(pa.array(begins, pa.int32()), words.take(pa.array(pair % len(words))).cast(pa.string())),
-                pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(count, pa.int64())),
-                pa.array(total, pa.int64()),
-            ],
-            ["lang", "prefix", "next", "count", "total"],
-        )
+                phrases = Phrases(part)
+                if stripe_size and (rows := _striped(phrases, stripe_size, at(stripe_size), buckets)):
+                    yield rows
+                if count_size and (rows := _counted(phrases, count_size, at(count_size - 1), kept, buckets)):
+                    yield rows
 
     return run
 
 
+def _frequent(packed: DataFrame, kept: int, buckets: int, least: int) -> DataFrame:
+    """Hashes whose packed counts sum up to `least`; a bucket holds one range of hashes, merged as its runs arrive."""
+    step = kept - (buckets.bit_length() - 1)
+
+    def merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, where = np.unique(np.concatenate([k for k, _ in runs]), return_inverse=True)
+        return keys, np.bincount(where, weights=np.concatenate([c for _, c in runs]), minlength=len(keys)).astype(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, waiting = [], 0
+        for batch in batches:
+            for bucket, n, wide, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "wide", "packed")), strict=True):
+                keys, counts = unpack(n, wide, data)
+                runs.append((keys + np.uint64(bucket << step), counts))
+                waiting += n
+                if waiting > 2_000_000 + 2 * len(runs[0][0]):
+                    runs, waiting = [merged(runs)], 0
+        if runs:
+            keys, counts = merged(runs)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[counts >= least].view(np.int64))], ["hash"])
+
+    parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = packed.where("bucket is not null").select("bucket", "n", "wide", "packed").repartition(parts, "bucket")
+    return materialise(bounded(rows).mapInArrow(run, "hash long"))
+
+
 def stripes(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONGEST) -> DataFrame:
-    """Merged stripes of all prefixes of up to longest - 1 words: lang, prefix, next (null: the total), size (of the phrase), n.
+    """Merged stripes of all prefixes of up to longest - 1 words: lang, prefix, next (null: all words), size (of the phrase), n.
 
-    Entries under `least` are left out; totals are of all occurrences.  The words' prefix is empty, its total all words."""
+    Entries under `least` are left out, but counted among all words."""
+    spark = docs.sparkSession
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
-    sc, levels, seen = docs.sparkSession.sparkContext, [], None
-    for size in range(1, longest + 1):
-        rows = texts.mapInArrow(_stripes(size, seen), "lang string, prefix string, next array<string>, count array<long>, total long")
-        entries = F.concat(F.arrays_zip("next", "count"), F.array(F.struct(F.lit(None).cast("string").alias("next"), F.col("total").alias("count"))))
-        merged = rows.select("lang", "prefix", F.explode(entries).alias("e")).groupBy("lang", "prefix", F.col("e.next").alias("next")).agg(F.sum("e.count").alias("n"))
-        level = materialise(merged.where(F.col("next").isNull() | (F.col("n") >= least)).withColumn("size", F.lit(size)))
-        levels.append(level)
-        frequent = level.where("next is not null").select("lang", phrase_of().alias("phrase"))
-        count = frequent.count()
-        if not count:
+    buckets = 1 << (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+
+    levels = [_merged(bounded(texts).mapInArrow(_look(1, 0, [], 0, buckets), _PASS), 1, least)]
+    single = levels[0].where("next is not null").select("lang", phrase_of().alias("phrase"))
+    if longest < 2 or single.isEmpty():
+        return levels[0]
+    every = levels[0].where("next is null").agg(F.sum("n")).first()[0]
+    kept = min(62, max(every.bit_length() + 4, buckets.bit_length() + 8))  # bits of a hash: 16 times the phrases there can be
+    seen = [None, spark.sparkContext.broadcast(_filter(single.mapInArrow(_word_keys, "hash long"), "hash", 64))]
+    rows = bounded(texts).mapInArrow(_look(0, 2, seen, kept, buckets), _PASS)
+    for size in range(2, longest + 1):
+        hashes = _frequent(rows, kept, buckets, least)
+        if hashes.isEmpty():
             break
-        if size < longest:
-            seen = sc.broadcast(_bits(frequent, count))
+        seen.append(spark.sparkContext.broadcast(_filter(hashes, "hash", kept)))
+        rows = materialise(bounded(texts).mapInArrow(_look(size, size + 1 if size < longest else 0, seen, kept, buckets), _PASS))
+        levels.append(_merged(rows, size, least))
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
@@ -207,7 +352,7 @@ def collocations(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONGE
     a longer one that occurs as often is left out; if any longer phrase does, so does one of a single word more."""
     table = stripes(docs, least, longest)
     words = table.where("size = 1 and next is null").select("lang", F.col("n").alias("words"))
-    totals = small(table.where("size > 1 and next is null").select("lang", F.col("prefix").alias("part"), F.col("n").alias("occurs")))
+    totals = small(table.where(F.col("next").isNotNull() & (F.col("size") < longest)).select("lang", phrase_of().alias("part"), F.col("n").alias("occurs")))
     found = table.where("size > 1 and next is not null").select("lang", "prefix", "next", "size", phrase_of().alias("phrase"), F.col("n").alias("a"))
     w = F.split("phrase", " ")
     cuts = found.select("lang", "phrase", "size", "a", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -85,3 +86,13 @@ def test_pieces_of_texts():
     codes, words, piece, row = col.piece_words(pa.array(["A b.c", "", " d\te", "É"], pa.large_string()))
     assert words.take(pa.array(codes)).to_pylist() == ["a", "b", "c", "d", "e", "É"]
     assert row.tolist() == [0, 0, 0, 2, 2, 3] and piece[0] == piece[1] != piece[2] != piece[3] == piece[4] != piece[5]
+
+
+def test_packed_counts_come_back():
+    rng = random.Random(1)
+    for top in (1, 200, 70_000, 2**61):
+        keys = np.array(sorted({rng.randrange(top + 1) for _ in range(500)}), np.uint64)
+        counts = np.array([rng.choice([1, 2, 300]) for _ in keys], np.int64)
+        wide, data = col.pack(keys, counts)
+        back = col.unpack(len(keys), wide, data)
+        assert (back[0] == keys).all() and (back[1] == counts).all()

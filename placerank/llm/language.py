@@ -8,6 +8,7 @@ largest mean posterior over its words that have letters.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -18,41 +19,43 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placerank.llm.arrow_text import slices, text_of, word_codes
+from placerank.llm.arrow_text import bounded, slices, text_of, word_codes
 from placerank.llm.common import bounded_sample
 
 #: Training sample: about so many labelled documents, of so many characters at most, and so many words.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORDS = 2_000, 20_000, 400_000
-#: Hash table of emission features, features of one word at most, length of a training sequence.
-BUCKETS, SLOTS, LENGTH = 1 << 17, 40, 64
+#: Hash table of emission features, length of a training sequence.
+BUCKETS, LENGTH = 1 << 17, 64
 #: Distinct words a worker remembers the scores of, and text bytes it handles at once.
 KNOWN, SLICE = 500_000, 8_000_000
 UNKNOWN = "und"
 
 
 def word_features(word: str) -> list[int]:
-    """Hashed features of a lower-case word: itself, prefixes and suffixes up to 4, and inner n-grams up to 3."""
+    """Hashed features of a lower-case word: itself, prefixes and suffixes up to 4, and all inner n-grams up to 3."""
     found = ["=" + word]
     for k in range(1, min(4, len(word)) + 1):
         found += ["^" + word[:k], "$" + word[-k:]]
-    body = word[:24]
     for k in (1, 2, 3):
-        found += [body[i : i + k] for i in range(len(body) - k + 1)]
-    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) + 1 for f in dict.fromkeys(found)][:SLOTS]
+        found += [word[i : i + k] for i in range(len(word) - k + 1)]
+    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) + 1 for f in dict.fromkeys(found)]
 
 
-def feature_rows(words: list[str]) -> np.ndarray:
-    """Feature ids of each word, padded with 0, whose weight stays 0."""
-    rows = np.zeros((len(words), SLOTS), np.int32)
-    for i, w in enumerate(words):
-        got = word_features(w)
-        rows[i, : len(got)] = got
-    return rows
+def feature_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature ids of all words one after the other, and how many each word has (one at least)."""
+    got = [word_features(w) for w in words]
+    return np.fromiter(itertools.chain.from_iterable(got), np.int32), np.fromiter(map(len, got), np.int64, len(got))
+
+
+def summed(weights: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Weights of each word's features, added up."""
+    return np.add.reduceat(weights[flat], np.cumsum(counts) - counts) if len(counts) else np.zeros((0, weights.shape[1]), weights.dtype)
 
 
 def clean_words(distinct: pa.Array) -> list[str]:
-    """Letters of each word in lower case; empty if it has none."""
-    return pc.utf8_lower(pc.replace_substring_regex(distinct, r"[^\p{L}\p{M}]+", "")).to_pylist()
+    """Letters of each word, with their marks, in lower case; empty if it has no letter."""
+    bare = pc.utf8_lower(pc.replace_substring_regex(distinct, r"[^\p{L}\p{M}]+", ""))
+    return pc.if_else(pc.match_substring_regex(bare, r"\p{L}"), bare, pa.scalar("", bare.type)).to_pylist()
 
 
 def posteriors(emit: np.ndarray, starts: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -105,14 +108,15 @@ class Crf:
         new = list(dict.fromkeys(w for w in words if w not in self.known))
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            rows = self.weights[feature_rows(part)].sum(1)
+            rows = summed(self.weights, *feature_rows(part))
             self.known.update({w: len(self.known) + i for i, w in enumerate(part)})
             self.scores.append(np.exp(rows - rows.max(1, keepdims=True)).astype(np.float32))
         table = self.scores = [np.concatenate(self.scores)] if len(self.scores) > 1 else self.scores
         return np.maximum(table[0][np.fromiter((self.known[w] for w in words), np.int64, len(words))], 1e-12) if words else np.zeros((0, len(self.labels)), np.float32)
 
-    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Mean posterior per label of each text over its words with letters, and the number of these."""
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Mean posterior per label of each text over its words with letters, the number of these, and the mean of their largest
+        posteriors: how certain the words' labels are, whatever the mix of languages."""
         codes, distinct, starts = word_codes(texts)
         clean = clean_words(distinct)
         emit = self.emissions(clean)
@@ -124,7 +128,8 @@ class Crf:
         trans, first = np.exp(self.trans).astype(np.float32), np.exp(self.first).astype(np.float32)
         post = posteriors(emit[codes[kept]], ends, trans, first)
         mean = np.stack([np.bincount(row, post[:, k], len(texts)) for k in range(len(self.labels))], 1) / np.maximum(count, 1)[:, None]
-        return mean, count
+        sure = np.bincount(row, post.max(1) if len(post) else None, len(texts)) / np.maximum(count, 1)
+        return mean, count, sure
 
 
 def training_runs(words: list[np.ndarray], labels: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +162,8 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, batch: int = 128,
         return model
     codes, distinct, starts = word_codes(pa.array(texts, pa.large_string()))
     clean = clean_words(distinct)
-    feats = feature_rows(clean)
+    feats, sizes = feature_rows(clean)
+    begins = np.cumsum(sizes) - sizes
     lettered = np.fromiter((bool(w) for w in clean), bool, len(clean))
     docs = [c[lettered[c]] for c in (codes[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True))]
     x, y = training_runs(docs, np.array([gold[v] for v in langs]), rng)
@@ -168,7 +174,9 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, batch: int = 128,
                 continue
             b = len(rows)
             words, labels_ = x[rows], y[rows]
-            score = model.weights[feats[words.ravel()]].sum(1).reshape(b, LENGTH, size)
+            many = sizes[words.ravel()]
+            flat = feats[np.repeat(begins[words.ravel()] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+            score = summed(model.weights, flat, many).reshape(b, LENGTH, size)
             emit = np.exp(score - score.max(2, keepdims=True)) + 1e-12
             trans, first = np.exp(model.trans), np.exp(model.first)
             alpha, beta = np.empty_like(emit), np.ones_like(emit)
@@ -184,15 +192,13 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, batch: int = 128,
             pair /= pair.sum((2, 3), keepdims=True)
             off = -post
             np.put_along_axis(off, labels_[:, :, None], np.take_along_axis(off, labels_[:, :, None], 2) + 1, 2)
-            flat = feats[words.ravel()].ravel()
-            grad = np.stack([np.bincount(flat, np.repeat(off[:, :, k].ravel(), SLOTS), BUCKETS) for k in range(size)], 1)
+            grad = np.stack([np.bincount(flat, np.repeat(off[:, :, k].ravel(), many), BUCKETS) for k in range(size)], 1)
             moves = np.bincount((labels_[:, :-1] * size + labels_[:, 1:]).ravel(), minlength=size * size).reshape(size, size)
             grads = [grad / b, (moves - pair.sum((0, 1))) / b, off[:, 0].sum(0) / b]
             for param, g, s in zip((model.weights, model.trans, model.first), grads, squares, strict=True):
                 g -= decay * param
                 s += g * g
                 param += rate * g / np.sqrt(s)
-            model.weights[0] = 0
     return model
 
 
@@ -210,26 +216,26 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Crf | None:
 
 
 def label_texts(docs: DataFrame, model: Crf | None, keep: list[str]) -> DataFrame:
-    """`keep` (a struct column or plain ones), lang_pred and score of every row's whole text."""
+    """`keep` (a struct column or plain ones), lang_pred, score and certainty of every row's whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole, "_text", SLICE):
                 rows = [part.column(part.schema.get_field_index(c)) for c in keep]
                 if model is None:
-                    name, score = np.full(part.num_rows, UNKNOWN, object), np.zeros(part.num_rows)
+                    name, score, sure = np.full(part.num_rows, UNKNOWN, object), np.zeros(part.num_rows), np.zeros(part.num_rows)
                 else:
-                    mean, count = model.score(text_of(part, "_text"))
+                    mean, count, sure = model.score(text_of(part, "_text"))
                     best = mean.argmax(1)
                     name = np.where(count > 0, np.array(model.labels, object)[best], UNKNOWN)
                     score = np.where(count > 0, np.clip(mean[np.arange(len(best)), best], 0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([*rows, pa.array(name, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.float64())], [*keep, "lang_pred", "score", "certainty"])
 
     from pyspark.sql import types as T
 
     fields = [f for f in docs.schema.fields if f.name in keep]
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*keep, F.col("_text")).mapInArrow(run, schema)
+    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("certainty", T.DoubleType())])
+    return bounded(docs.select(*keep, F.col("_text"))).mapInArrow(run, schema)
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:
@@ -243,8 +249,11 @@ def predict_languages(docs: DataFrame) -> DataFrame:
 
 
 def keep_known_languages(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The columns of `docs`, rows whose language is known with a mean posterior of at least `least`."""
+    """The columns of `docs`, rows whose words have known languages with a mean certainty of at least `least`.
+
+    A text that mixes languages stays if its words are told apart; null texts and texts without letters go.  Repeated rows
+    stay as often as they occur; an empty table, or one without labels to learn from, gives an empty one."""
     model = fit(docs)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["text"].cast("string").alias("_text"))
-    out = label_texts(rows, model, ["_row"]).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    out = label_texts(rows, model, ["_row"]).where((F.col("lang_pred") != UNKNOWN) & (F.col("certainty") >= least))
     return out.select("_row.*")

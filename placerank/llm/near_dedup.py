@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placerank.llm.arrow_text import slices, text_of, word_codes
+from placerank.llm.arrow_text import bounded, slices, text_of, word_codes
 from placerank.llm.common import materialise
 from placerank.llm.graph import components
 
@@ -119,7 +119,7 @@ def sketch_documents(docs: DataFrame, bands: int, rows: int, size: int) -> DataF
                 )
 
     rows_ = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("mark"))
-    return rows_.mapInArrow(run, "doc_id long, mark long, n_shingles long, node long, bands array<long>")
+    return bounded(rows_).mapInArrow(run, "doc_id long, mark long, n_shingles long, node long, bands array<long>")
 
 
 def class_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
@@ -134,7 +134,7 @@ def class_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("_d"), F.xxhash64("text").alias("_m"), F.col("text").cast("string").alias("text"))
     texts = keyed.join(classes, (F.col("_d").eqNullSafe(F.col("doc_id"))) & (F.col("_m") == F.col("mark"))).select("node", "text")
-    return texts.mapInArrow(run, "node long, members binary").dropDuplicates(["node"])
+    return bounded(texts).mapInArrow(run, "node long, members binary").dropDuplicates(["node"])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -153,7 +153,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("set_b"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb", "set_a", "set_b")
-    return joined.mapInArrow(run, "a long, b long, la long, lb long")
+    return bounded(joined).mapInArrow(run, "a long, b long, la long, lb long")
 
 
 def pairs_of(rows: DataFrame, a: str, b: str, tested: DataFrame | None, similarity: int) -> DataFrame:
@@ -242,7 +242,7 @@ def block_links(query: DataFrame, members: DataFrame, sets: DataFrame, similarit
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     met = blocks_of(query, sets, "q").join(blocks_of(members, sets, "m"), "of").select("q", "m")
-    return met.mapInArrow(run, "a long, b long")
+    return bounded(met).mapInArrow(run, "a long, b long")
 
 
 def linked_classes(docs: DataFrame, bands: int, rows: int, size: int, similarity: int, rounds: int) -> tuple[DataFrame, DataFrame]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placerank.llm.arrow_text import slices
+from placerank.llm.arrow_text import bounded, slices
 from placerank.llm.common import attach, materialise, small
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?/][^>]*(?:>|\Z)""", re.S)
@@ -54,8 +54,8 @@ CLEAR, WORDED, FIRM = 0, 1, 2
 FACTOR = 0.25
 #: Composite importance below which a style is noise, and inside a declared article.
 LEAST, LEAST_INSIDE = 0.3, 0.05
-#: Pages a host must have before its entropies count.
-LEAST_PAGES = 10
+#: A pair of pages is one observation of what they share; every style counts as important in so many pairs before any.
+PRIOR_PAIRS = 3.0
 GAMMA = 0.2
 #: Rows up to which the table of repeated contents is broadcast (a hash and a count each).
 COPIES = 1_000_000
@@ -235,7 +235,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
                 got = got.groupby(["_host", "path", "kind", "feature"], as_index=False).agg({"pages": "sum", "chars": "sum", "linked": "sum", "low": "min", "high": "max"})
                 yield pa.RecordBatch.from_pandas(got, preserve_index=False)
 
-    raw = with_copies(pages).mapInArrow(run, "_host string, path string, kind string, feature long, pages double, chars double, linked double, low long, high long")
+    raw = bounded(with_copies(pages)).mapInArrow(run, "_host string, path string, kind string, feature long, pages double, chars double, linked double, low long, high long")
     per = raw.groupBy("_host", "path", "kind", "feature").agg(
         *[F.round(F.sum(c)).cast("long").alias(c) for c in ("pages", "chars", "linked")], (F.min("low") != F.max("high")).alias("shared")
     )
@@ -245,10 +245,12 @@ def style_tree(pages: DataFrame) -> DataFrame:
         F.avg(F.when(kind == "t", F.log(k.cast("double")))).alias("block_entropy"),
         F.sum(F.when(kind == "l", k * F.log(k.cast("double")))).alias("layout_sum"), F.coalesce(F.min("shared"), F.lit(False)).alias("shared"),
     )
-    known = F.col("m") >= LEAST_PAGES
-    base = F.log(F.col("m").cast("double"))
-    content = F.when(known, 1 - F.col("block_entropy") / base).otherwise(1.0)
-    layout = F.when(known, 1 - F.col("layout_sum") / F.col("m") / base).otherwise(1.0)
+    seen = F.col("m").cast("double")
+    base = F.log(seen)
+    pairs = seen * (seen - 1) / 2
+    shrunk = lambda found: F.when(seen > 1, (pairs * found + PRIOR_PAIRS) / (pairs + PRIOR_PAIRS)).otherwise(1.0)
+    content = shrunk(1 - F.col("block_entropy") / base)
+    layout = shrunk(1 - F.col("layout_sum") / F.col("m") / base)
     share = F.col("linked") / F.greatest(F.col("chars"), F.lit(1))
     composite = (GAMMA * F.least(layout, content) + (1 - GAMMA) * content) * F.when(share > 0.6, 0.0).otherwise(1.0)
     return per.select("_host", "path", composite.alias("importance"), "shared")
@@ -306,4 +308,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([cols[0], cols[1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     named = named.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "noise", "inner_noise")
-    return named.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return bounded(named).mapInArrow(run, "page_id long, url string, text string, n_chars long")

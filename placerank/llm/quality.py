@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placerank.llm.arrow_text import byte_counts, slices, split_pieces, text_of, word_codes
+from placerank.llm.arrow_text import bounded, byte_counts, slices, split_pieces, text_of, word_codes
 from placerank.llm.common import bounded_sample, materialise
 
 #: Characters that count as symbols (fixed by the contract).
@@ -88,7 +88,7 @@ def text_counts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, *[pa.array(got[c], pa.int64()) for c in COUNTS]], ["doc_id", *COUNTS])
 
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, schema)
+    return bounded(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(count, schema)
 
 
 def features() -> dict[str, Column]:

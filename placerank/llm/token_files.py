@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from placerank.llm.arrow_text import slices, split_pieces, text_of
+from placerank.llm.arrow_text import bounded, slices, split_pieces, text_of
 from placerank.llm.common import materialise, small
 from placerank.session import ensure_checkpoint_dir
 
@@ -146,7 +146,7 @@ def encode_texts(docs: DataFrame, file: str, keep: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([key, pa.array(n), chars, lists], [keep, "n_tokens", "n_chars", "ids"])
 
     picked = docs.select(F.col(keep).cast("long"), F.col("text").cast("string"))
-    return picked.mapInArrow(run, f"{keep} long, n_tokens long, n_chars long, ids array<int>")
+    return bounded(picked).mapInArrow(run, f"{keep} long, n_tokens long, n_chars long, ids array<int>")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -189,7 +189,7 @@ def token_checks(spark: SparkSession, path: str) -> DataFrame:
             crc = [zlib.crc32(flat[a:b]) for a, b in itertools.pairwise(ends)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "n_tokens", "ids_crc32"])
 
-    return read_tokens(spark, path).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long")
+    return bounded(read_tokens(spark, path)).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long")
 
 
 def with_starts(rows: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from placerank.llm.arrow_text import bounded
 from placerank.llm.common import attach_counted, materialise
 
 PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096
@@ -138,7 +139,7 @@ def train(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds
     ends = part_ends(length, parts)
     books = [start[:, a:b].copy() for a, b in ends]
     for _ in range(rounds):
-        partial = kept.select("embedding").mapInArrow(_summing(books, ends), "part int, entry int, total array<string>, n long")
+        partial = bounded(kept.select("embedding")).mapInArrow(_summing(books, ends), "part int, entry int, total array<string>, n long")
         split = partial.select("part", "entry", "n", F.posexplode_outer("total").alias("position", "x"))
         split = split.groupBy("part", "entry", "position").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("x"), F.sum("n").alias("n"))
         for r in split.where("position is not null").collect():
@@ -167,7 +168,7 @@ def encode(vectors: DataFrame, length: int, books: Codebooks) -> DataFrame:
 
     kept = usable(vectors.select("vec_id", "label", "embedding")).where(F.size("embedding") == length)
     types = {f.name: f.dataType.simpleString() for f in vectors.schema}
-    return kept.mapInArrow(run, f"vec_id {types['vec_id']}, label {types['label']}, code string, error long")
+    return bounded(kept).mapInArrow(run, f"vec_id {types['vec_id']}, label {types['label']}, code string, error long")
 
 
 def vector_codes(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS) -> DataFrame:

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from placerank.llm.language import UNKNOWN, fit, keep_known_languages, posteriors, predict_languages, train
+from placerank.llm.language import BUCKETS, UNKNOWN, fit, keep_known_languages, posteriors, predict_languages, train, word_features
 
 
 def test_forward_backward_against_enumeration():
@@ -37,11 +37,30 @@ def test_code_switched_words_are_labelled(texts, documents):
         if r.doc_id % 2 == 0 and r.text and len(r.text) > 300:
             held.setdefault(r.lang, r.text)
     a, b = sorted(held)[:2]
-    mean, _ = model.score(pa.array([held[a][:300] + " " + held[b][:300]], pa.large_string()))
+    mean, *_ = model.score(pa.array([held[a][:300] + " " + held[b][:300]], pa.large_string()))
     top = sorted(model.labels[i] for i in np.argsort(mean[0])[-2:])
     assert top == [a, b] and mean[0].max() < 0.8
 
 
+def test_mixed_texts_stay_and_marks_alone_have_no_language(spark, documents):
+    texts = {}
+    for r in documents.collect():
+        if r.text and r.lang and len(r.text) > 400:
+            texts.setdefault(r.lang, r.text)
+    some = sorted(texts)[:3]
+    mix = " ".join(" ".join(texts[k].split()[: n]) for k, n in zip(some, (27, 27, 6)))
+    odd = spark.createDataFrame([(10**6, mix, None, None, 0), (10**6 + 1, "\u0301 \u0301\u0300", None, None, 0), (10**6 + 2, "x" * 300_000, None, None, 0)], documents.schema)
+    both = documents.unionByName(odd)
+    assert 10**6 in {r.doc_id for r in keep_known_languages(both).where("doc_id >= 1000000").collect()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in predict_languages(both).where("doc_id >= 1000000").collect()}
+    assert got[10**6 + 1] == (UNKNOWN, 0.0) and got[10**6 + 2][0] != UNKNOWN and got[10**6][1] < 0.7
+
+
+def test_every_part_of_a_long_word_counts():
+    word = "donaudampfschifffahrtsgesellschaft"
+    assert len(set(word_features(word))) > 80 and word_features(word)[-1] == zlib.crc32(b"aft") % (BUCKETS - 1) + 1
+
+
 def test_held_out_accuracy(documents):
     rows = {r.doc_id: r for r in predict_languages(documents).collect()}
     right = total = 0

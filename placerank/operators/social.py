@@ -229,11 +229,7 @@ def capped_tags(requests: DataFrame, cap: int = 25, days: int = 7, by: str = "ac
 
     ``requests``: by, tag, at (timestamp), request_id.  A tag used within the last ``days`` is free;
     a new one is accepted while fewer than ``cap`` tags are live.  Each decision depends on the ones
-    before it, so a partition is read once in time order and remembers at most ``cap`` tags; no
-    account is ever gathered in memory."""
-    from placerank.streaming.caps import fold_partition
-
-    kind = requests.schema[by].dataType.simpleString()
-    schema = f"{by} {kind}, request_id long, tag string, at timestamp, outcome string"
-    rows = requests.select(by, "request_id", "tag", "at").repartition(by).sortWithinPartitions(by, "at", "request_id")
-    return rows.mapInPandas(fold_partition(by, cap, days), schema)
+    before it: an account's timeline is folded in ranges, see :func:`fold_ranges`."""
+    from placerank.streaming.caps import fold_ranges
+
+    return fold_ranges(requests.select(by, "request_id", "tag", "at"), by, ["at", "request_id", "tag"], cap, days)

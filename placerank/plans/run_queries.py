@@ -291,6 +291,16 @@ def rolling_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return social.capped_tags(rows, cap=25, days=7).select("account", "request_id", "tag", "outcome")
 
 
+DUCK_CAP = f"""WITH RECURSIVE q AS (SELECT 'account' || (venue_no % 10) AS account, arrival AS request_id, platform || (arrival % 9) AS tag, CAST(ts AS TIMESTAMP) AS t FROM ({M})),
+n AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY t, request_id, tag) AS i FROM q),
+r AS (SELECT DISTINCT account, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS VARCHAR) AS tag, CAST(NULL AS VARCHAR) AS outcome, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(tag VARCHAR, t TIMESTAMP)[]) AS live FROM q
+  UNION ALL SELECT account, request_id, tag, CASE WHEN again THEN 'repeat' WHEN len(kept) < 25 THEN 'accepted' ELSE 'rejected' END, i,
+    CASE WHEN again OR len(kept) < 25 THEN list_append(list_filter(kept, lambda x: x.tag <> used.tag), used) ELSE kept END
+  FROM (SELECT *, len(list_filter(kept, lambda x: x.tag = used.tag)) > 0 AS again FROM (
+    SELECT n.account, n.request_id, n.tag, n.i, {{'tag': n.tag, 't': n.t}} AS used, list_filter(r.live, lambda x: x.t >= n.t - INTERVAL 7 DAY) AS kept FROM r JOIN n ON n.account = r.account AND n.i = r.i + 1)))
+SELECT account, request_id, tag, outcome FROM r WHERE i > 0"""
+
+
 def recent_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from placerank.plans.serve import recent_activity as recent
 
@@ -404,7 +414,7 @@ QUERIES = {
     "previous_run": (previous_run, f"SELECT max(run_id) AS run_id FROM ({M}) WHERE run_id < 'run2'"),
     "state_upsert": (state_upsert, f"""WITH s AS (SELECT venue_id AS name, max(post_date) AS c FROM ({M}) WHERE run_id = 'run1' GROUP BY 1), a AS (SELECT DISTINCT venue_id AS name, '2024-02-01' AS n FROM ({M}) WHERE run_id = 'run2' AND arrival % 11 = 0)
         SELECT coalesce(s.name, a.name) AS name, coalesce(n, c) AS checked FROM s FULL JOIN a ON s.name = a.name"""),
-    "rolling_cap": (rolling_cap, None),
+    "rolling_cap": (rolling_cap, DUCK_CAP),
     "recent_activity": (recent_activity, f"SELECT arrival, venue_id FROM ({M}) WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-24' AND DATE '2024-01-30'"),
     "promo_targets": (promo_targets, f"SELECT name, place.a AS list, place.b AS rank FROM ({DUCK_TRACKED})"),
     "recheck_queue": (recheck_queue, DUCK_QUEUE),

@@ -62,6 +62,31 @@ def test_rolling_cap_stream_equals_batch(spark, tmp_path, sf_dir):
     assert {o for _, o in key(got)} == {"accepted", "repeat", "rejected"}
 
 
+def test_one_account_over_many_ranges_equals_a_single_fold(spark):
+    """One busy account, a few quiet ones, one without a name; ranges much shorter than the days a tag stays live."""
+    import random
+
+    import pandas as pd
+
+    from placerank.streaming.caps import decide
+
+    rnd = random.Random(8)
+    day = pd.Timestamp("2024-01-01")
+    rows = []
+    for i in range(1500):
+        who = "busy" if i % 10 else rnd.choice(["a", "b", None])
+        rows.append((who, i, f"t{rnd.randrange(40)}", (day + pd.Timedelta(minutes=rnd.randrange(60 * 24 * 20))).to_pydatetime()))
+    df = spark.createDataFrame(rows, "account string, request_id long, tag string, at timestamp")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    got = {r.request_id: r.outcome for r in social.capped_tags(df, cap=6, days=3).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    live, want = {}, {}
+    for who, i, tag, at in sorted(rows, key=lambda r: (r[3], r[1])):
+        want[i] = decide(live.setdefault(who, {}), tag, pd.Timestamp(at), 6, 3)
+    assert got == want and set(want.values()) == {"accepted", "repeat", "rejected"}
+    assert social.capped_tags(df.limit(0)).count() == 0
+
+
 def test_daily_buzz_equals_batch(spark, tmp_path, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     m = events.select(F.concat(F.lit("m"), "user_id").alias("venue_id"), F.concat(F.lit("u"), "event_id").alias("key"), F.col("ts").cast("timestamp").alias("posted_at"))

@@ -9,6 +9,7 @@ repeat in a batch, hence the memo.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 import numpy as np
@@ -124,23 +125,24 @@ def token_set_ratio(a: str, b: str) -> float:
     return best
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """Best window of the longer string; windows at the edges may be shorter than the needle."""
+def partial_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """Best window of the longer string; windows at the edges may be shorter than the needle.  A best under ``least`` may come
+    back as 0: windows that cannot reach it are passed over."""
     if not a or not b:
         return 100.0 if a == b else 0.0
     short, long = (a, b) if len(a) <= len(b) else (b, a)
-    best = _best_window(short, long)
+    best = _best_window(short, long, least)
     if len(a) == len(b) and best < 100.0:
-        best = max(best, _best_window(long, short))
+        best = max(best, _best_window(long, short, least))
     return best
 
 
-def _best_window(short: str, long: str) -> float:
+def _best_window(short: str, long: str, least: float) -> float:
     """Slide over ``long``, keeping the letter counts both share: no LCS is longer than that, so
     most windows are passed over without computing one."""
     if short in long:
         return 100.0
-    n, best = len(short), 0.0
+    n, best, floor = len(short), 0.0, least - 1e-6
     need: dict[str, int] = {}
     for ch in short:
         need[ch] = need.get(ch, 0) + 1
@@ -156,12 +158,12 @@ def _best_window(short: str, long: str) -> float:
             common -= have[ch] <= need[ch]
             have[ch] -= 1
         size = min(end, len(long)) - max(0, start)
-        if size and 200.0 * common / (n + size) > best:
+        if size and 200.0 * common / (n + size) > max(best, floor):
             best = max(best, ratio(short, long[max(0, start) : max(0, start) + size]))
     return best
 
 
-def _scorer(fn):
+def _scorer(fn, **fixed):
     @F.pandas_udf(T.DoubleType())
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         memo: dict[tuple[str, str], float] = {}
@@ -171,7 +173,7 @@ def _scorer(fn):
                 out.append(None)
                 continue
             if pair not in memo:
-                memo[pair] = fn(*pair)
+                memo[pair] = fn(*pair, **fixed)
             out.append(memo[pair])
         return pd.Series(out, dtype="float64")
 
@@ -189,4 +191,42 @@ def token_set_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out).where(known)
 
 
-partial_ratio_udf = _scorer(partial_ratio)
+
+
+def partial_ratio_udf(a, b, least: float = 0.0):
+    """Column of partial ratios; those under ``least`` may be 0."""
+    return _scorer(partial_ratio, least=least)(a, b)
+
+
+def letter_counts(texts: Sequence[str]) -> np.ndarray:
+    """How often each of 64 classes of characters occurs in every text."""
+    out = np.zeros((len(texts), 64), np.int32)
+    for i, text in enumerate(texts):
+        out[i] = np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) & 63, minlength=64)
+    return out
+
+
+def best_needles(needles: Sequence[str], haystack: str, counts: np.ndarray, least: float, n: int, whole: bool = False) -> list[tuple[str, float]]:
+    """The needles whose partial ratio with the haystack (``whole``: ratio) is ``least`` or more and not under that of the n-th
+    best.  A partial ratio needs a haystack that is no shorter.
+
+    A common subsequence has at most the letters both share, and a window at least as many characters: that bounds a score.
+    Needles are scored in order of their bounds, until the bound falls under the n-th best score (a threshold algorithm)."""
+    common = np.minimum(counts, letter_counts([haystack])).sum(axis=1)
+    bound = 200.0 * common / np.maximum(counts.sum(axis=1) + (len(haystack) if whole else common), 1)
+    found: list[tuple[str, float]] = []
+    top: list[float] = []
+    for i in np.argsort(-bound, kind="stable").tolist():
+        floor = top[0] if len(top) == n else least
+        if bound[i] < floor - 1e-6:
+            break
+        if whole:
+            score = ratio(needles[i], haystack)
+        else:
+            score = partial_ratio(needles[i], haystack, floor) if len(needles[i]) <= len(haystack) else 0.0
+        if score >= floor:
+            found.append((needles[i], score))
+            heapq.heappush(top, score)
+            if len(top) > n:
+                heapq.heappop(top)
+    return [f for f in found if f[1] >= (top[0] if len(top) == n else least)]

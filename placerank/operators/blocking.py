@@ -15,9 +15,13 @@ order (kept as bits, so this is a few machine words a pair).  What is left goes
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from placerank.functions.similarity import best_needles, letter_counts
 from placerank.session import materialise
 
 # An indel ratio of 88 allows an edit distance of 0.12 * (|a| + |b|).
@@ -215,15 +219,10 @@ def texts_near(needles: DataFrame, haystacks: DataFrame, exact: bool = False, le
     """Distinct (needle, haystack) where a window of the haystack may match the needle at ``least``
     or more; with ``exact`` where the haystack may contain it unchanged.
 
-    Below 88 the edits may break every trigram of a needle; such needles meet every haystack."""
+    Meant for 88 and more: below, the edits may break every trigram of a needle, see :func:`best_windows`."""
     t = F.col("text")
     if not exact and least < _LEAST:
-        certain = F.size(trigrams(t)) > _broken_in_window(t, least)
-        needles = materialise(needles.select("text").distinct().withColumn("certain", certain))
-        rest = needles.where(~F.col("certain")).select(t.alias("needle")).crossJoin(haystacks.select(t.alias("haystack")).distinct())
-        needles = needles.where("certain").select("text")
-        if needles.isEmpty():
-            return rest
+        raise ValueError(f"use best_windows below {_LEAST}")
     hay = _postings(haystacks.distinct().withColumn("side", F.lit("h")), gram=trigrams(t))
     pins = _postings(needles.distinct().withColumn("side", F.lit("n")), gram=trigrams(t))
     keep = F.lit(1) if exact else _broken_in_window(t, least) + 1
@@ -231,8 +230,36 @@ def texts_near(needles: DataFrame, haystacks: DataFrame, exact: bool = False, le
     full = hay.select("kind", F.col("text").alias("haystack"), "feature")
     met = offered.withColumnRenamed("text", "needle").join(full, ["kind", "feature"])
     pairs = materialise(met.select("needle", "haystack").distinct())  # see similar_texts
-    near = pairs.where(_enough_shared(F.col("needle"), F.col("haystack"), exact, least))
-    return near.union(rest) if not exact and least < _LEAST else near
+    return pairs.where(_enough_shared(F.col("needle"), F.col("haystack"), exact, least))
+
+
+def best_windows(needles: DataFrame, haystacks: DataFrame, least: float, n: int, whole: bool = False, block: int = 400) -> DataFrame:
+    """(needle, haystack, score): for each haystack every needle whose partial ratio (``whole``: ratio) is ``least`` or more and
+    not under the n-th best of its block of needles, so the n best of all and their ties are among them.
+
+    The haystacks are the queries, the needles what is searched.  Both are packed into blocks of about ``block`` texts; a pair of
+    blocks is one row, and a task searches it with upper bounds (:func:`best_needles`).  No table of pairs is built, and the work
+    is dealt out by pairs of blocks, whatever the sizes."""
+
+    def blocks(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        texts = materialise(df.where("text is not null").select("text").distinct())
+        parts = max(1, -(-texts.count() // block))
+        return texts.groupBy(F.pmod(F.xxhash64("text"), F.lit(parts)).alias(name)).agg(F.collect_list("text").alias(name + "_texts")), parts
+
+    small, parts = blocks(needles, "nb")
+    large, _ = blocks(haystacks, "hb")
+    met = large.withColumn("nb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).join(small, "nb")
+    met = met.repartition("hb", "nb").select("nb_texts", "hb_texts")
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for names, texts in zip(frame["nb_texts"], frame["hb_texts"], strict=True):
+                names = list(names)
+                counts = letter_counts(names)
+                rows = [(name, text, score) for text in texts for name, score in best_needles(names, text, counts, least, n, whole)]
+                yield pd.DataFrame(rows, columns=["needle", "haystack", "score"]).astype({"score": "float64"})
+
+    return materialise(met.mapInPandas(search, "needle string, haystack string, score double"))
 
 
 def _enough_shared(needle: Column, haystack: Column, exact: bool, least: float) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from placerank.functions.base import iso_date
 from placerank.functions.names import handle_key, name_key
 from placerank.functions.similarity import partial_ratio_udf, ratio_udf
-from placerank.operators.blocking import texts_near
+from placerank.operators.blocking import best_windows, texts_near
 from placerank.operators.ordered import top_k
 from placerank.params import BuzzParams
 from placerank.session import materialise
@@ -49,8 +49,7 @@ def _score_pairs(keys: DataFrame, needles: str, texts: DataFrame, least: float =
     pairs = texts_near(
         keys.select(F.col(needles).alias("text")).where("text <> ''"), texts.select("text").where("text <> ''"), least=least
     ).where(F.length("needle") <= F.length("haystack"))
-    scored = pairs.withColumn("score", partial_ratio_udf("needle", "haystack"))
-    return scored
+    return pairs.withColumn("score", partial_ratio_udf("needle", "haystack", least))
 
 
 def match_handles(mentions: DataFrame, keys: DataFrame) -> DataFrame:
@@ -124,18 +123,19 @@ def match_mentions(
 def match_guesses(mentions: DataFrame, keys: DataFrame, n: int = 3) -> DataFrame:
     """(key, venue_id, score, rank): the n best venues for each mention, scores of 60 and more.
 
-    At 60 no trigram need survive, so every distinct name is scored against every distinct text."""
+    At 60 no trigram need survive, so names are searched in blocks with upper bounds, see :func:`best_windows`.  Handles count
+    by their whole ratio."""
     texts = mentions.select(
         "key", name_key(F.coalesce("caption", F.lit("")), keep_noise=True).alias("text"),
         handle_key(F.coalesce("creator_handle", F.lit(""))).alias("h"),
     )
-    by_text = texts.join(
-        _score_pairs(keys, "name_key", texts, GUESS_THRESHOLD).where(F.col("score") >= GUESS_THRESHOLD).withColumnRenamed("haystack", "text"), "text"
-    ).select("key", F.col("needle").alias("name_key"), "score").join(keys, "name_key").select("key", "venue_id", "score")
-    pairs = texts_near(
-        keys.select(F.col("handle_key").alias("text")).where("text <> ''"),
-        texts.select(F.col("h").alias("text")).where("text <> ''"), least=GUESS_THRESHOLD,
-    ).withColumn("score", ratio_udf("haystack", "needle"))
+    named = best_windows(keys.select(F.col("name_key").alias("text")).where("text <> ''"), texts.select("text").where("text <> ''"), GUESS_THRESHOLD, n)
+    by_text = texts.join(named.withColumnRenamed("haystack", "text"), "text").select("key", F.col("needle").alias("name_key"), "score").join(
+        keys, "name_key"
+    ).select("key", "venue_id", "score")
+    pairs = best_windows(
+        keys.select(F.col("handle_key").alias("text")).where("text <> ''"), texts.select(F.col("h").alias("text")).where("text <> ''"), GUESS_THRESHOLD, n, whole=True
+    )
     by_handle = texts.join(pairs.withColumnRenamed("haystack", "h"), "h").select(
         "key", F.col("needle").alias("handle_key"), "score"
     ).join(keys, "handle_key").select("key", "venue_id", "score")

@@ -16,10 +16,10 @@ from placerank.operators.ordered import top_k
 from placerank.plans import serve
 from placerank.plans.ranking_queries import BAYES, DUCK_BEST, DUCK_RATINGS, ratings
 from placerank.plans.duck_match import FUZZY_PAIRS, NAME_KEY, resolution
-from placerank.plans.standins import ENGLISH, PLACES, STATIONS, VENUES, duck, venues, view
+from placerank.plans.standins import LOWERED, PLACES, STATIONS, VENUES, duck, venues, view
 from placerank.sources import pages, payloads, threads
 
-T, V, G, ST = duck(ENGLISH), duck(VENUES), duck(PLACES), duck(STATIONS)
+T, V, G, ST = duck(LOWERED), duck(VENUES), duck(PLACES), duck(STATIONS)
 # lexicons made of words the corpus has
 KEYWORDS = ["the", "of", "and", "to", "is", "that", "of the"]
 LEXICON = {"food": {"pos": ["the", "of"], "neg": ["and"]}, "service": {"pos": ["is", "in"], "neg": ["to", "that"]}}
@@ -35,7 +35,7 @@ def _hits(words: list[str], tokens: str = "toks") -> str:
 
 # --- texts -----------------------------------------------------------------------------------------
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, ENGLISH)
+    return view(spark, sf_dir, LOWERED)
 
 
 def keyword_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,7 +243,7 @@ def extract_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("**"), F.initcap("name"), F.lit("** is fine\n- Old "), F.initcap("type_label"), F.lit(": ok\nWe ate at "), brand,
         F.lit(" and tried "), F.lit("Bukit Timah"), F.lit(" but from Singapore"),
     )
-    rows = venues(spark, sf_dir).where("name not like '%(%'").select(F.col("part_no").alias("thread_id"), F.lit(1).alias("position"), body.alias("body"))
+    rows = venues(spark, sf_dir).select(F.col("part_no").alias("thread_id"), F.lit(1).alias("position"), body.alias("body"))
     return threads.extract_names(rows).select("thread_id", F.lower("name").alias("name"), "confidence")
 
 
@@ -350,7 +350,7 @@ def clean_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 1, F.concat(F.lit("New restaurant: "), "name")).when(kind == 2, F.concat("name", F.lit(" is opening at Long Mall")))
         .otherwise(F.concat(F.lit("  #"), F.col("part_no") % 30, F.lit(") "), "name", F.lit(" [Closed]")))
     )
-    v = venues(spark, sf_dir).where("name not like '%(%'")
+    v = venues(spark, sf_dir)
     return v.select("venue_id", texts.clean_heading(heading).alias("heading"))
 
 
@@ -609,11 +609,11 @@ def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def handle_caption_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mentions written from suppliers, venues from parts: by handle, by caption, or unmatched."""
+    """Mentions and venues written from parts: by handle, by caption, or unmatched."""
     v = view(spark, sf_dir, "SELECT 'v' || lpad(CAST(p_partkey AS STRING), 8, '0') AS venue_id, p_name || ' ' || p_brand AS name FROM {part}")
     v = v.withColumns({"name_zh": F.lit(None).cast("string"), "brand": F.lit(None).cast("string")})
     keys = social.matcher_keys(v, v.select("venue_id", F.col("name").alias("alias")))
-    m = view(spark, sf_dir, "SELECT s_suppkey, p_name || ' ' || p_brand AS n FROM {supplier} JOIN {part} ON p_partkey = s_suppkey * 7 % 200")
+    m = view(spark, sf_dir, "SELECT p_partkey AS s_suppkey, p_name || ' ' || p_brand AS n FROM {part}")
     mentions = m.select(
         F.lit("serp").alias("source"), F.concat(F.lit("u"), "s_suppkey").alias("url"),
         F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("Dinner at "), F.initcap("n"), F.lit(" tonight, so nice"))).alias("caption"),
@@ -626,7 +626,7 @@ def handle_caption_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DUCK_MATCH = f"""WITH v AS (SELECT 'v' || lpad(CAST(p_partkey AS STRING), 8, '0') AS venue_id, regexp_replace(lower(p_name || p_brand), '[^a-z0-9]', '', 'g') AS h, trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', ' ', 'g')) AS k FROM part),
-m AS (SELECT s_suppkey AS n, p_name || ' ' || p_brand AS name FROM supplier JOIN part ON p_partkey = s_suppkey * 7 % 200),
+m AS (SELECT p_partkey AS n, p_name || ' ' || p_brand AS name FROM part),
 c AS (SELECT n, min(venue_id) AS venue_id FROM m JOIN v ON contains('dinner at ' || trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) || ' tonight so nice', k) WHERE n % 3 = 0 GROUP BY 1),
 h AS (SELECT n, arg_min(venue_id, {{'a': -s, 'b': venue_id}}) AS venue_id, max(s) AS s FROM (SELECT n, venue_id, CASE WHEN contains(x, h) THEN 95.0 END AS s FROM (SELECT *, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') || 'sg' AS x FROM m WHERE n % 3 = 1) JOIN v ON contains(x, h)) GROUP BY 1)
 SELECT 'u' || n AS url, CASE WHEN n % 10 = 2 THEN 'v00000001' ELSE coalesce(h.venue_id, c.venue_id) END AS venue_id, CASE WHEN n % 10 = 2 THEN 'manual' WHEN h.n IS NOT NULL THEN 'handle' WHEN c.n IS NOT NULL THEN 'caption' ELSE 'unmatched' END AS matched_by,
@@ -639,7 +639,7 @@ def top_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = view(spark, sf_dir, "SELECT 'v' || lpad(CAST(p_partkey AS STRING), 8, '0') AS venue_id, p_name || ' ' || p_brand AS name FROM {part}")
     v = v.withColumns({"name_zh": F.lit(None).cast("string"), "brand": F.lit(None).cast("string")})
     keys = social.matcher_keys(v, v.select("venue_id", F.col("name").alias("alias")))
-    m = view(spark, sf_dir, "SELECT 's' || CAST(s_suppkey AS STRING) AS key, p_name || ' brand' AS caption, CAST(NULL AS STRING) AS creator_handle FROM {supplier} JOIN {part} ON p_partkey = s_suppkey * 7 % 200")
+    m = view(spark, sf_dir, "SELECT 's' || CAST(p_partkey AS STRING) AS key, p_name || ' brand' AS caption, CAST(NULL AS STRING) AS creator_handle FROM {part}")
     return social.match_guesses(m, keys).select("key", "venue_id", "score", "rank")
 
 
@@ -675,7 +675,7 @@ QUERIES = {
     "guide_awards": (guide_awards, f"SELECT part_no AS page_id, CASE WHEN michelin IN ('Bib Gourmand', '1 Star', '2 Stars', '3 Stars') THEN michelin ELSE 'Selected' END AS michelin FROM ({V})"),
     "prune_evidence": (article_relevance, DUCK_PRUNED),
     "flatten_threads": (flatten_threads, """SELECT conv_id, position, chars FROM (SELECT conv_id, length(text) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM conversations WHERE trim(text) <> '') WHERE position <= 4"""),
-    "extract_names": (extract_names, f"""SELECT part_no AS thread_id, unnest([lower(name), 'old ' || type_label, 'house b' || size]) AS name, unnest([0.6, 0.5, 0.35]) AS confidence FROM ({V}) WHERE name NOT LIKE '%(%'"""),
+    "extract_names": (extract_names, f"""SELECT part_no AS thread_id, unnest([lower(name), 'old ' || type_label, 'house b' || size]) AS name, unnest([0.6, 0.5, 0.35]) AS confidence FROM ({V})"""),
     "normalise_price": (normalise_price, DUCK_PRICE),
     "name_key": (name_keys, "SELECT p_partkey AS part_no, lower(p_name) || ' ' || p_size AS name_key, 'Outlet ' || p_size AS outlet FROM part"),
     "normalise_cuisines": (cuisine_labels, f"""SELECT venue_id, CASE part_no % 4 WHEN 0 THEN 'Zi Char,Seafood' WHEN 1 THEN 'Hawker,Bar' WHEN 2 THEN 'Restaurant' ELSE '' END AS cuisines,
@@ -685,7 +685,7 @@ QUERIES = {
     "award_from_text": (award_from_text, f"""SELECT venue_id, a AS award, CASE a WHEN 'Star' THEN 1 WHEN '2 Stars' THEN 2 WHEN '3 Stars' THEN 3 ELSE 0 END AS stars, CASE a WHEN 'Bib Gourmand' THEN 0.5 WHEN 'Star' THEN 0.7 WHEN '2 Stars' THEN 0.85 WHEN '3 Stars' THEN 1.0 END AS level,
         CASE WHEN a = 'Bib Gourmand' THEN a WHEN a IS NOT NULL THEN 'Michelin ' || a END AS label FROM (SELECT venue_id, CASE part_no % 7 WHEN 0 THEN 'Bib Gourmand' WHEN 1 THEN '2 Stars' WHEN 3 THEN '3 Stars' WHEN 6 THEN 'Star' END AS a FROM ({V}))"""),
     "verdict": (verdicts, DUCK_VERDICT),
-    "clean_heading": (clean_heading, f"SELECT venue_id, name AS heading FROM ({V}) WHERE name NOT LIKE '%(%'"),
+    "clean_heading": (clean_heading, f"SELECT venue_id, CASE WHEN part_no % 4 = 3 THEN name ELSE regexp_replace(name, ' \\(closed\\)$', '') END AS heading FROM ({V})"),
     "validate_sightings": (validated, DUCK_VALID),
     "refresh_venues": (refreshed, DUCK_REFRESH),
     "register_catalogue": (register_catalogue, """SELECT CAST(s_suppkey AS STRING) AS source_ref, 'Supplier#' || regexp_extract(s_name, '([0-9]+)', 1) || ' O''Neil' AS name, lpad(CAST(s_suppkey * 997 % 100000 AS STRING), 6, '0') AS postal_code,

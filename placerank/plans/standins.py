@@ -86,7 +86,7 @@ SELECT n_name AS name, 1.2E0 + (n_nationkey * 7919 % 1000) / CAST(4000 AS DOUBLE
 FROM {nation}
 """
 
-ENGLISH = "SELECT doc_id, lower(text) AS text, source, n_chars FROM {documents} WHERE lang = 'en'"
+LOWERED = "SELECT doc_id, lower(coalesce(text, '')) AS text, source, n_chars FROM {documents}"
 
 # Runs: event types are lists, users are venues, ranked by their total value in each half.
 RUN_SCORES = """

@@ -1,7 +1,7 @@
 import random
 
 from placerank.functions.similarity import lcs_length, lcs_lengths, partial_ratio, ratio, token_set_ratio, token_set_ratio_udf, token_set_ratios
-from placerank.operators.blocking import similar_texts, texts_near
+from placerank.operators.blocking import best_windows, similar_texts, texts_near
 from placerank.operators.social import match_guesses
 
 VOCAB = "golden dragon palace kopitiam zi char hua seng lee garden luna rooftop noodle king crab old town street".split()
@@ -98,15 +98,20 @@ def test_windows_are_found(spark):
     assert want and want <= got
 
 
-def test_windows_are_found_at_lower_thresholds(spark):
+def test_best_windows_equal_brute_force(spark):
     rnd = random.Random(11)
-    needles = {" ".join(rnd.sample(VOCAB, 2)) for _ in range(20)} | {"abcdefgh"}
+    needles = {" ".join(rnd.sample(VOCAB, 2)) for _ in range(30)} | {"abcdefgh", "x" * 40}
     hays = {"at " + mutate(rnd, mutate(rnd, s)) + " now" for s in needles} | {"abxdexgh and more", "nothing to see here"}
     df = lambda xs: spark.createDataFrame([(x,) for x in sorted(xs)], "text string")
-    for least in (60, 75, 86):
-        got = [(r.needle, r.haystack) for r in texts_near(df(needles), df(hays), least=least).collect()]
-        want = {(a, b) for a in needles for b in hays if len(a) <= len(b) and partial_ratio(a, b) >= least}
-        assert want and want <= set(got) and len(got) == len(set(got))
+    for whole, least in ((False, 60), (False, 75), (True, 40)):
+        score = ratio if whole else (lambda a, b: partial_ratio(a, b) if len(a) <= len(b) else 0.0)
+        got = {}
+        for r in best_windows(df(needles), df(hays), least, 3, whole, block=7).collect():
+            assert abs(score(r.needle, r.haystack) - r.score) < 1e-9
+            got.setdefault(r.haystack, []).append(r.score)
+        for h in hays:
+            want = sorted((s for s in (score(x, h) for x in needles) if s >= least), reverse=True)
+            assert sorted(got.get(h, []), reverse=True)[:3] == want[:3]
 
 
 def test_guesses_without_a_shared_trigram(spark):

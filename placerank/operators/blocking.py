@@ -195,17 +195,20 @@ def similar_texts(left: DataFrame, right: DataFrame) -> DataFrame:
             F.col("side").alias("side" + suffix), F.col("kind").alias("kind" + suffix), F.col("text").alias("text" + suffix), F.col("size").alias("size" + suffix), F.col("letters").alias("letters" + suffix), F.explode(at).alias("key")
         ).distinct()
 
-    met = keyed(offered.unionByName(held), "1").join(keyed(postings, "2").drop("kind2"), "key").where("side1 <> side2")
+    # the rows are few bytes but many meetings: adaptive execution would put them all into one task
+    parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), left.sparkSession.sparkContext.defaultParallelism)
+    offers, holders = keyed(offered.unionByName(held), "1").repartition(parts, "key"), keyed(postings, "2").drop("kind2").repartition(parts, "key")
+    met = offers.join(holders, "key").where("side1 <> side2")
     edits = F.floor(F.lit(_EDITS) * (F.col("size1") + F.col("size2")) + F.lit(1e-9))
     near = F.col("size1").between(F.col("size2"), F.col("size2") + edits) & (F.col("size1") + F.col("size2") - 2 * _common_letters("letters1", "letters2") <= edits)
     met = met.where((F.col("kind1") == "word") | near)
     from_left = F.col("side1") == "l"
-    met = met.select(
+    # materialised, or the check of words would move below the distinct, and a caller's filter on the score below it too, and
+    # run on every repeated meeting of the same pair
+    met = materialise(met.select(
         "kind1", F.when(from_left, F.col("text1")).otherwise(F.col("text2")).alias("left_text"), F.when(from_left, F.col("text2")).otherwise(F.col("text1")).alias("right_text")
-    ).distinct()
+    ).repartition(parts, "left_text", "right_text").distinct())
     reach = (F.col("kind1") == "segment") | _words_outweigh(F.col("left_text"), F.col("right_text"))
-    # materialised, or a caller's filter on the score would move below the distinct and run on
-    # every repeated meeting of the same pair
     return materialise(met.where(reach).select("left_text", "right_text").distinct())
 
 

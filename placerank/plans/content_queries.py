@@ -584,14 +584,14 @@ def _resolvable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolve_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All tiers on every order line: stable ids in creation order, size of every venue."""
-    done = resolve.resolve(_resolvable(spark, sf_dir))
+    """Exact tiers on every order line: stable ids in creation order, size of every venue; `match_stats` runs all tiers."""
+    done = resolve.resolve(_resolvable(spark, sf_dir), fuzzy=False)
     return done.assignments.groupBy("venue_id").agg(F.count(F.lit(1)).alias("sightings"), F.min("kept_name").alias("name"))
 
 
-_RESOLUTION = resolution("SELECT name, c, p, t, b, order_no * 1000000000 + line_no * 100000000 + part_no AS seq FROM (" + duck(RESOLVABLE) + ")")
-DUCK_RESOLVE = f"WITH {_RESOLUTION} SELECT venue_id, count(*) AS sightings, min(kept_name) AS name FROM done GROUP BY 1"
-DUCK_STATS = f"WITH {_RESOLUTION} SELECT method, count(*) AS sightings FROM done GROUP BY 1"
+_NUMBERED = "SELECT name, c, p, t, b, order_no * 1000000000 + line_no * 100000000 + part_no AS seq FROM (" + duck(RESOLVABLE) + ")"
+DUCK_RESOLVE = f"WITH {resolution(_NUMBERED, fuzzy=False)} SELECT venue_id, count(*) AS sightings, min(kept_name) AS name FROM done GROUP BY 1"
+DUCK_STATS = f"WITH {resolution(_NUMBERED)} SELECT method, count(*) AS sightings FROM done GROUP BY 1"
 
 
 def match_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,8 +42,8 @@ src{i + 1} AS (SELECT entity, k, t, b, vp, id AS since FROM got{i} JOIN wait{i}
 wait{i + 1} AS (SELECT * FROM wait{i} ANTI JOIN got{i} USING (id))"""
 
 
-def resolution(sightings: str, rounds: int = 4) -> str:
-    """CTEs of the whole resolution.  `sightings`: name, c (confidence), p, t, b (postal code, phone, booking link or null), seq.
+def resolution(sightings: str, rounds: int = 4, fuzzy: bool = True) -> str:
+    """CTEs of the whole resolution, without its last tier if not `fuzzy`.  `sightings`: name, c (confidence), p, t, b (postal code, phone, booking link or null), seq.
 
     `done` has one row per sighting: venue_id, kept_name, method."""
     held = " UNION ALL ".join(
@@ -64,7 +64,7 @@ sector AS (SELECT root, arg_min(p, id) FILTER (p IS NOT NULL) AS vp FROM member
 known AS (SELECT root AS entity, k, vp, min(id) AS since FROM member JOIN sector USING (root) GROUP BY ALL),
 names AS (SELECT DISTINCT k FROM nodes),
 pairs AS (SELECT x.k AS a, y.k AS b FROM names x, names y),
-{ratio_steps("pairs", "close")},
+{ratio_steps("pairs", "close") if fuzzy else "close AS (SELECT a, b, 0.0 AS score FROM pairs WHERE false)"},
 link AS (SELECT q.id, arg_min(entity, {{'a': -score, 'b': entity}}) AS f FROM member q JOIN close ON q.k = close.a JOIN known ON known.k = close.b
   WHERE q.id = q.root AND since < q.id AND (q.p IS NULL OR vp IS NULL OR q.p = vp) GROUP BY q.id),
 top(id, here) AS (SELECT root, root FROM sector UNION ALL SELECT top.id, f FROM top JOIN link ON top.here = link.id),

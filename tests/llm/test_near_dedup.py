@@ -96,14 +96,6 @@ def test_components_of_stars_and_paths(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_a_long_path_in_order_takes_few_rounds(spark):
-    """One path of 10,000 nodes in order of ids, and a short one whose ids go up and down."""
-    n, up_down = 10_000, [20_000 + (i // 2 if i % 2 == 0 else 100 - i // 2) for i in range(100)]
-    edges = [(i, i + 1) for i in range(n - 1)] + [(a, b) for a, b in zip(up_down, up_down[1:])]
-    got = components(spark.createDataFrame(edges, "a long, b long")).groupBy("label").count().collect()
-    assert sorted((r.label, r["count"]) for r in got) == [(0, n), (20_000, 100)]
-
-
 def test_odd_rows_and_empty_tables(odd_documents, no_documents):
     rows = near_duplicates(odd_documents).collect()
     got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows)

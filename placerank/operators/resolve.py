@@ -30,7 +30,7 @@ from placerank.operators.blocking import similar_texts
 from placerank.operators.joins import lookup
 from placerank.operators.ordered import row_numbers
 from placerank.params import ScoringParams
-from placerank.session import materialise
+from placerank.session import materialise, settle
 
 GOOGLE = ("google_places", "google_reserve")
 METHODS = ("place_id", "name_postal", "phone", "booking_link", "name_exact", "fuzzy_name")
@@ -153,13 +153,13 @@ def follow_pointers(pointers: DataFrame) -> DataFrame:
     """(node, parent) -> (node, root) by pointer doubling: the depth halves every round.
 
     A parent always precedes its child, so there are no cycles."""
-    state = materialise(pointers.select("node", F.coalesce("parent", "node").alias("root")))
+    state = settle(pointers.select("node", F.coalesce("parent", "node").alias("root")))
     while True:
         up = state.select(F.col("node").alias("root"), F.col("root").alias("_next"))
         moved = state.join(up, "root", "left").select(
             "node", F.coalesce("_next", "root").alias("root"), (F.col("_next") != F.col("root")).alias("_m")
         )
-        moved = materialise(moved)
+        moved = settle(moved)
         if moved.where("_m").isEmpty():
             return moved.select("node", "root")
         state = moved.select("node", "root")
@@ -197,7 +197,7 @@ def fuzzy_matches(
         q.where("left_text <> ''").select(F.col("left_text").alias("text"), F.col("qp").alias("zone")),
         e.where("right_text <> ''").select(F.col("right_text").alias("text"), F.col("ep").alias("zone")),
     )
-    scored = materialise(
+    scored = settle(
         pairs.withColumn("score", token_set_ratio_udf("left_text", "right_text")).where(
             F.col("score") >= threshold
         )
@@ -246,7 +246,7 @@ def _resolve_creators(nodes: DataFrame, params: ScoringParams, fuzzy: bool) -> D
     state = exact.join(roots, "node").withColumn("score", F.lit(None).cast("double"))
     if not fuzzy:
         return state.drop("parent")
-    members = materialise(state)
+    members = settle(state)
     venue = members.groupBy("root").agg(
         F.min_by("postal", F.when(F.col("postal").isNotNull(), F.col("ord"))).alias("postal"),
         F.min("ord").alias("entity_ord"),
@@ -264,7 +264,7 @@ def _resolve_creators(nodes: DataFrame, params: ScoringParams, fuzzy: bool) -> D
         params.fuzzy_threshold,
         params.catalogue_threshold,
     )
-    links = materialise(
+    links = settle(
         found.select(F.col("query_id").alias("node"), F.col("entity").alias("parent"), "score")
     )
     tops = members.where(F.col("node") == F.col("root")).select("node")
@@ -322,7 +322,7 @@ def _attach_only(
 ) -> DataFrame:
     """Rows that must not create venues look for one, repeatedly: a row that attaches brings its
     own keys along, which may help a later one."""
-    venues = materialise(
+    venues = settle(
         settled.groupBy("root").agg(
             F.min_by("postal", F.when(F.col("postal").isNotNull(), F.col("ord"))).alias("venue_postal"),
             F.min("ord").alias("entity_ord"),
@@ -337,8 +337,8 @@ def _attach_only(
         )
         hits = match_exact(pending, index).withColumn("score", F.lit(None).cast("double"))
         if fuzzy:
-            hits = materialise(hits)
-            rest = materialise(pending.join(hits, "node", "left_anti"))
+            hits = settle(hits)
+            rest = settle(pending.join(hits, "node", "left_anti"))
             if not rest.isEmpty():
                 near = fuzzy_matches(
                     rest.select(F.col("node").alias("query_id"), "name_key", "postal", "ord", "catalogue"),
@@ -349,17 +349,17 @@ def _attach_only(
                 hits = hits.union(
                     near.select(F.col("query_id").alias("node"), "entity", F.lit("fuzzy_name"), "score")
                 )
-        hits = materialise(hits)
+        hits = settle(hits)
         if hits.isEmpty():
             return done
         new = pending.join(hits, "node").select(
             "node", *_KEYS, "creator", "catalogue", "ord", "name", F.lit(None).cast("string").alias("venue_id"),
             F.col("entity").alias("root"), "method", "score",
         )
-        new = materialise(new)
+        new = settle(new)
         done = new if done is None else done.unionByName(new)
         sources = new  # the rest has already been compared with everything older
-        pending = materialise(pending.join(hits, "node", "left_anti"))
+        pending = settle(pending.join(hits, "node", "left_anti"))
         if pending.isEmpty():
             return done
 
@@ -383,7 +383,7 @@ def resolve(
     creators = nodes.where("creator")
     if known is not None:
         creators = creators.unionByName(_known_nodes(known))
-    settled = materialise(_resolve_creators(materialise(creators), params, fuzzy))
+    settled = settle(_resolve_creators(materialise(creators), params, fuzzy))
     waiting = materialise(nodes.where("not creator"))
     members = settled
     if not waiting.isEmpty():
@@ -397,7 +397,7 @@ def resolve(
         "venue_id", F.format_string(id_format, F.col("n") + F.lit(next_id - 1))
     )
     stored = starts.where("venue_id is not null").select("root", "venue_id", "name")
-    ids = materialise(
+    ids = settle(
         fresh.select("root", "venue_id", F.col("name").alias("kept_name"), F.lit(True).alias("is_new"))
         .union(stored.select("root", "venue_id", "name", F.lit(False)))
     )

@@ -47,3 +47,14 @@ def materialise(df: DataFrame) -> DataFrame:
     when an executor is lost in between."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """`materialise` for tables that a loop carries on: the estimated size is forgotten as well.
+
+    A checkpoint keeps the estimate of the plan before it, and a join's estimate is the product of both sides.  A table
+    joined with itself each round squares it: after thirty rounds the planner multiplies numbers of a billion digits."""
+    kept = materialise(df)
+    spark, plan = df.sparkSession, kept._jdf
+    rows = spark._jsparkSession.internalCreateDataFrame(plan.queryExecution().toRdd(), plan.schema(), False)
+    return DataFrame(rows, spark)

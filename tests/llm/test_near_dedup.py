@@ -96,6 +96,18 @@ def test_components_of_stars_and_paths(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_long_path_takes_logarithmic_rounds_in_any_order(spark, monkeypatch):
+    import placerank.llm.graph as graph
+
+    cuts, settle = [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df: cuts.append(1) or settle(df))
+    for ids in (list(range(10_000)), random.Random(1).sample(range(10_000), 10_000)):
+        cuts.clear()
+        path = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long")
+        assert [tuple(r) for r in components(path).groupBy("label").count().collect()] == [(0, 10_000)]
+        assert len(cuts) <= 60
+
+
 def test_odd_rows_and_empty_tables(odd_documents, no_documents):
     rows = near_duplicates(odd_documents).collect()
     got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows)

@@ -197,6 +197,23 @@ def jsonld_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "name", "url", "address", "rating", "review_count", F.array_join("cuisine", ",").alias("cuisine"))
 
 
+def jsonld_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part as a business inside up to eight item lists, every third block in a graph; each seventh list has an owner
+    without a name, which hides it."""
+    leaf = F.to_json(F.struct(F.lit("BarOrPub").alias("@type"), "name"))
+    nested = F.aggregate(
+        F.sequence(F.lit(1), (F.col("part_no") % 9).cast("int")), leaf,
+        lambda inner, _: F.concat(F.lit('{"@type":"ItemList","itemListElement":[{"position":1},{"item":'), inner, F.lit("}]}")),
+    )
+    nested = F.when(F.col("part_no") % 9 == 0, leaf).otherwise(nested)
+    owned = F.concat(F.lit('{"@type":"Restaurant","name":" ","itemListElement":['), nested, F.lit("]}"))
+    block = F.when(F.col("part_no") % 7 == 0, owned).otherwise(nested)
+    block = F.when(F.col("part_no") % 3 == 0, F.concat(F.lit('{"@graph":['), block, F.lit("]}"))).otherwise(block)
+    body = F.concat(F.lit('<script type="application/ld+json">'), block, F.lit("</script>"))
+    rows = pages.extract_jsonld(_part_pages(spark, sf_dir, body))
+    return rows.select("page_id", "name", (F.size("at") - 2).alias("depth"))
+
+
 def guide_awards(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.coalesce(F.lower("michelin"), F.lit(""))
     body = F.concat(F.lit("<article class='restaurant-card'><h3>"), "name", F.lit("</h3><span class='award'>"), label, F.lit("</span></article>"))
@@ -236,6 +253,30 @@ def flatten_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("conv_id", "position", F.length("body").alias("chars"))
 
 
+def comment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a thread in which every turn answers the one before and has a short second answer beside it."""
+    c = view(spark, sf_dir, "SELECT conv_id, turn, coalesce(text, '') AS text FROM {conversations}")
+    # the test table's conversations are short; a thread is one document as the API returns it
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: F.to_json(F.struct(t["text"].alias("body"))))
+    children = F.aggregate(
+        F.reverse(turns), F.lit("[]"),
+        lambda below, t: F.concat(
+            F.lit('[{"data":'), F.substring(t, F.lit(1), F.length(t) - 1), F.lit(',"replies":{"data":{"children":'), below,
+            F.lit('}}}},{"data":{"body":"beside","replies":""}}]'),
+        ),
+    )
+    raw = c.groupBy("conv_id").agg(children.alias("children")).select(F.col("conv_id").alias("thread_id"), F.lit("own").alias("selftext"), "children")
+    tree = threads.comment_tree(raw)
+    flat = threads.flatten_threads(tree)
+    return flat.select(F.col("thread_id").alias("conv_id"), "position", F.length("body").alias("chars"))
+
+
+DUCK_TREE = """WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(text, '')) AS i, coalesce(text, '') AS text FROM conversations),
+b AS (SELECT DISTINCT conv_id, 0 AS part, 0 AS i, 'own' AS body FROM t UNION ALL SELECT conv_id, 1, i, text FROM t UNION ALL SELECT conv_id, 2, -i, 'beside' FROM t),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, i) AS position, length(trim(body)) AS chars FROM b WHERE trim(body) NOT IN ('', '[deleted]', '[removed]'))
+SELECT * FROM o WHERE position <= 100"""
+
+
 def extract_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bold, listed and spoken names in comments written from the parts."""
     brand = F.concat(F.lit("House B"), F.col("size"))
@@ -671,6 +712,8 @@ QUERIES = {
     "listicle_entries": (listicle_entries, f"""SELECT part_no AS page_id, lower(regexp_replace(name, ' \\(closed\\)$', '')) AS name, postal_code, '+65 6' || lpad(CAST(part_no % 1000 AS STRING), 3, '0') || ' 4321' AS phone, size || ' Long Road, Singapore ' || postal_code AS address FROM ({V})"""),
     "result_cards": (result_cards, f"""SELECT part_no AS page_id, lower(name) || ' ' || n AS name, 'https://host' || (part_no % 7) || '.test/r/' || (part_no + n) AS url, round(size / 10::DOUBLE, 1) AS rating, 1000 + size AS review_count, 'Thai,Bar' AS cuisine
         FROM ({V}), (VALUES (1), (2)) x(n)"""),
+    "jsonld_nested": (jsonld_nested, f"SELECT part_no AS page_id, name, part_no % 9 AS depth FROM ({V}) WHERE part_no % 7 <> 0"),
+    "comment_tree": (comment_tree, DUCK_TREE),
     "jsonld_listings": (jsonld_listings, f"""SELECT part_no AS page_id, name, 'https://host' || (part_no % 7) || '.test/v/' || part_no AS url, size || ' Road, ' || postal_code AS address, size / 10::DOUBLE AS rating, size AS review_count, 'Thai' AS cuisine FROM ({V})"""),
     "guide_awards": (guide_awards, f"SELECT part_no AS page_id, CASE WHEN michelin IN ('Bib Gourmand', '1 Star', '2 Stars', '3 Stars') THEN michelin ELSE 'Selected' END AS michelin FROM ({V})"),
     "prune_evidence": (article_relevance, DUCK_PRUNED),

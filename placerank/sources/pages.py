@@ -46,6 +46,7 @@ from placerank.functions.text import (
     without_fragment,
 )
 from placerank.operators.ordered import top_k
+from placerank.sources.walk import all_levels
 
 # Business types read from JSON-LD
 BUSINESS_TYPES = ["Restaurant", "FoodEstablishment", "LocalBusiness", "CafeOrCoffeeShop", "BarOrPub"]
@@ -172,7 +173,9 @@ def _as_list(path: str) -> Column:
 
 
 def extract_jsonld(pages: DataFrame) -> DataFrame:
-    """Business entries of ld+json blocks, from graphs, lists and (nested) item lists."""
+    """Business entries of ld+json blocks, from graphs, lists and item lists nested to any depth.
+
+    ``at`` is the way to an entry: block, element of its list or graph, then the position in every item list."""
     scripts = F.regexp_extract_all("html", F.lit(LD_SCRIPT), F.lit(1))
     docs = pages.select("page_id", "url", F.posexplode(scripts).alias("block_no", "s")).select(
         "page_id", "url", "block_no", F.expr("try_parse_json(s)").alias("b")
@@ -182,16 +185,22 @@ def extract_jsonld(pages: DataFrame) -> DataFrame:
         "page_id", "url", "block_no",
         F.posexplode(F.when(is_list, _as_list("$")).otherwise(F.concat(_as_list("$.@graph"), F.array("b")))).alias("i", "b"),
     ).select("page_id", "url", F.array("block_no", "i").alias("at"), "b")
-    level, found = blocks, blocks
-    for _ in range(2):  # an item list, and a list inside an item
-        items = level.select("page_id", "url", "at", F.posexplode(_as_list("$.itemListElement")).alias("k", "b"))
-        level = items.select(
+    kinds = F.coalesce(_field("@type", "array<string>"), F.array(_field("@type")))
+    business = F.coalesce(F.arrays_overlap(kinds, strings(BUSINESS_TYPES)), F.lit(False))
+    named = F.coalesce(F.trim(_field("name")) != "", F.lit(False))
+    is_object = "try_variant_get(b, '{}', 'map<string,variant>') is not null"
+
+    def items(level: DataFrame) -> DataFrame:
+        inner = level.where(~business | named).select(  # a business without a name hides what it lists
+            "page_id", "url", "at", F.posexplode(_as_list("$.itemListElement")).alias("k", "b")
+        )
+        inner = inner.where(F.expr(is_object.format("$"))).select(
             "page_id", "url", F.concat("at", F.array("k")).alias("at"),
-            F.coalesce(F.expr("try_variant_get(b, '$.item', 'variant')"), F.col("b")).alias("b"),
+            F.when(F.expr(is_object.format("$.item")), F.expr("try_variant_get(b, '$.item', 'variant')")).otherwise(F.col("b")).alias("b"),
         )
-        found = found.union(level)
-    kinds = F.coalesce(_field("@type", "array<string>"), F.array(_field("@type")))
-    rows = found.where(F.arrays_overlap(kinds, strings(BUSINESS_TYPES)) & (F.trim(_field("name")) != ""))
+        return inner
+
+    rows = all_levels(blocks, items).where(business & named)
     parts = F.concat_ws(
         ", ", *[truthy(_field(f"address.{p}")) for p in ("streetAddress", "addressLocality", "postalCode")]
     )

@@ -9,10 +9,9 @@ from placerank.functions.base import strings
 from placerank.functions.lexicons import AREA_NAMES, GENERIC_STARTS
 from placerank.functions.text import clean_snippet, strip_chars
 from placerank.operators.ordered import first_rows, top_k
+from placerank.sources.walk import all_levels
 
 REMOVED = ["[deleted]", "[removed]"]
-_REPLY = "struct<data:struct<body:string,replies:struct<data:struct<children:array<struct<data:struct<body:string>>>>>>>"
-COMMENTS = f"array<{_REPLY}>"
 
 # Patterns that decide which words of a comment count as a name
 BOLD = r"\*\*([^*\n]{3,60})\*\*"
@@ -31,17 +30,23 @@ def flatten_threads(comments: DataFrame, limit: int = 100, by: str = "thread_id"
     return kept.select(by, "position", "body")
 
 
+def _children(path: str) -> Column:
+    return F.expr(f"try_variant_get(c, '{path}', 'array<variant>')")
+
+
 def comment_tree(threads: DataFrame) -> DataFrame:
-    """API threads (thread_id, selftext, children ``COMMENTS``) -> rows with paths, two levels deep.
+    """API threads (thread_id, selftext, children: JSON text of the list of comments) -> rows (thread_id, path, body), any depth.
 
-    The thread's own text comes first; the API itself stops at depth two."""
+    The thread's own text comes first.  Children that are missing, empty or no JSON have no comments."""
     own = threads.select("thread_id", F.array(F.lit(-1)).alias("path"), F.col("selftext").alias("body"))
-    top = threads.select("thread_id", F.posexplode("children").alias("i", "c"))
-    first = top.select("thread_id", F.array("i").alias("path"), F.col("c.data.body").alias("body"))
-    second = top.select(
-        "thread_id", "i", F.posexplode("c.data.replies.data.children").alias("j", "r")
-    ).select("thread_id", F.array("i", "j").alias("path"), F.col("r.data.body").alias("body"))
-    return own.union(first).union(second)
+
+    def below(level: DataFrame, replies: str = "$.data.replies.data.children") -> DataFrame:
+        rows = level.select("thread_id", "path", F.posexplode(_children(replies)).alias("i", "c"))
+        return rows.select("thread_id", F.concat("path", F.array("i")).alias("path"), "c")
+
+    top = threads.select("thread_id", F.array().cast("array<int>").alias("path"), F.try_parse_json("children").alias("c"))
+    comments = all_levels(below(top, "$"), below)
+    return own.union(comments.select("thread_id", "path", F.expr("try_variant_get(c, '$.data.body', 'string')").alias("body")))
 
 
 def names_in(body: Column, areas: list[str] | None = None) -> Column:

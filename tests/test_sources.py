@@ -69,6 +69,21 @@ def test_jsonld(spark):
     assert rows["B"].address == "2 Road" and rows["B"].cuisine == ["X", "Y"]
 
 
+def test_jsonld_of_any_depth(spark):
+    def listed(inner, depth):
+        for _ in range(depth):
+            inner = {"@type": "ItemList", "itemListElement": [{"item": inner}, "no object", {"item": "no object", "@type": "BarOrPub", "name": ""}]}
+        return inner
+
+    hidden = {"@type": "Restaurant", "name": " ", "itemListElement": [{"@type": "Restaurant", "name": "never seen"}]}
+    shown = {"@type": "Restaurant", "name": "outer", "itemListElement": [{"@type": "Restaurant", "name": "inner"}]}
+    docs = [listed({"@type": "Restaurant", "name": f"deep{d}"}, d) for d in (1, 5, 40)] + [hidden, shown, {"@graph": [shown, listed(hidden, 3)]}, "text", 7, []]
+    html = "".join(f'<script type="application/ld+json">{json.dumps(d)}</script>' for d in docs)
+    got = sorted((r.name, len(r.at) - 2) for r in pages.extract_jsonld(page_df(spark, html)).collect())
+    assert got == [("deep1", 1), ("deep40", 40), ("deep5", 5), ("inner", 1), ("inner", 1), ("outer", 0), ("outer", 0)]
+    assert pages.extract_jsonld(page_df(spark, "<p>none</p>")).count() == 0
+
+
 def test_links_and_relevance(spark, column_of):
     html = '<a href="/best-zi-char-singapore/">1</a><a href="zi-char-guide-family#x">2</a><a href="https://other.test/zi-char-food-best">3</a><a href="/best-zi-char-singapore/#c">again</a><a href="/top-cruises">4</a>'
     rows = pages.discover_links(
@@ -115,7 +130,7 @@ def test_threads(spark):
     kids = [{"data": {"body": "first", "replies": {"data": {"children": [{"data": {"body": "reply"}}, {"data": {"body": "[deleted]"}}]}}}},
             {"data": {"body": "second"}}]
     raw = spark.createDataFrame([("t", "self", json.dumps(kids))], "thread_id string, selftext string, c string")
-    tree = threads.comment_tree(raw.withColumn("children", F.from_json("c", threads.COMMENTS)))
+    tree = threads.comment_tree(raw.withColumnRenamed("c", "children"))
     flat = threads.flatten_threads(tree, 3).orderBy("position").collect()
     assert [r.body for r in flat] == ["self", "first", "reply"]
     body = "I love **Keng Eng Kee**!\n- Two Chefs: great\n1. Bukit Timah\nWe ate at Keng Eng Kee and tried Ah Hua's Place. Try Best Food"
@@ -151,3 +166,30 @@ def test_page_titles_decode_every_reference(spark):
     ]
     got = {r.page_id: r.title for r in page_metadata(spark.createDataFrame(rows, "page_id long, html string")).collect()}
     assert got == {1: "Café Olé – best &lt; ©", 2: "A B &unknown;", 3: None, 4: "plain"}
+
+
+def test_comment_trees_of_any_depth(spark):
+    import random
+
+    rng, raw, want = random.Random(3), [], {}
+
+    def comment(depth):
+        kids = [comment(depth - 1) for _ in range(rng.randrange(1, 3))] if depth else []
+        replies = {"data": {"children": kids}} if kids else ""
+        return {"data": {"body": rng.choice(["[deleted]", " ", f"c{rng.random()}", f"c{rng.random()}"]), "replies": replies}}
+
+    def walk(items):
+        for c in items:
+            yield c["data"]["body"]
+            yield from walk(c["data"]["replies"]["data"]["children"] if c["data"]["replies"] else [])
+
+    for t in range(4):
+        kids = [comment(10 if t == 0 else t) for _ in range(2)]
+        raw.append((f"t{t}", f"self{t}", json.dumps(kids)))
+        want[f"t{t}"] = [b for b in [f"self{t}", *walk(kids)] if b not in (" ", "[deleted]")]
+    raw += [("odd", None, "{bad"), ("none", None, None), ("empty", "", "[]")]
+    tree = threads.comment_tree(spark.createDataFrame(raw, "thread_id string, selftext string, children string"))
+    got = {}
+    for r in threads.flatten_threads(tree, 10**6).orderBy("thread_id", "position").collect():
+        got.setdefault(r.thread_id, []).append(r.body)
+    assert got == want

@@ -13,16 +13,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from placerank.operators.merge import build_registry
 from placerank.operators.resolve import known_keys, resolve
-from placerank.operators.social import upsert_mentions
 from placerank.params import BuzzParams, ScoringParams
 from placerank.plans.store import read_registry, write_registry
 from placerank.session import materialise
 from placerank.streaming.caps import decide
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+from placerank.streaming.mention_store import exists
 
 
 def resolve_batch(
@@ -33,7 +28,7 @@ def resolve_batch(
     Running the same version twice changes nothing: its pointer row is the last thing written."""
     spark = batch.sparkSession
     known, next_id, past = None, 1, None
-    if _exists(spark, f"{root}/versions"):
+    if exists(spark, f"{root}/versions"):
         published = spark.read.parquet(f"{root}/versions").where(F.col("version") == version)
         if not published.isEmpty():
             return
@@ -112,20 +107,6 @@ def buzz_from_daily(daily: DataFrame, today: str, params: BuzzParams | None = No
     )
 
 
-def stream_upsert(mentions: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Mention store as versions: every batch is merged into the version before it.
-
-    ``mentions``: key, venue_id, matched_by, caption and payload, one row per key and batch."""
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = f"{root}/v{batch_id - 1:010d}"
-        old = spark.read.parquet(before) if batch_id > 0 else spark.createDataFrame([], batch.schema)
-        upsert_mentions(old, batch).drop("change").write.mode("overwrite").parquet(f"{root}/v{batch_id:010d}")
-
-    return mentions.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def rolling_cap_stream(requests: DataFrame, cap: int = 25, days: int = 7, by: str = "account", watermark: str = "1 hour") -> DataFrame:
     """Rolling distinct cap on a stream; the state of an account is at most ``cap`` tags.
 

@@ -103,3 +103,54 @@ def test_checkpoint_dir_comes_from_the_session(spark):
 
     ensure_checkpoint_dir(spark)
     assert os.path.basename(spark.sparkContext.getCheckpointDir() or "")
+
+
+def test_upsert_store_equals_a_fold_of_the_batches(spark, tmp_path):
+    """Seven batches over a base every third, replays of an old and of the last batch, a batch without keys."""
+    import random
+    import shutil
+
+    from placerank.streaming import mention_store as store
+
+    rng, root, want, batches = random.Random(4), str(tmp_path / "store"), {}, []
+    schema = "key string, venue_id string, matched_by string, caption string"
+    for n in range(7):
+        rows = [(f"k{k}", rng.choice([None, "v1", "v2"]), rng.choice(["handle", "caption"]), rng.choice([None, "", f"c{n}"])) for k in rng.sample(range(30), 8)]
+        batches.append([(None, "v1", "handle", "lost")] if n == 5 else rows)
+    for rows in batches:
+        for key, venue, how, caption in rows:
+            if key is None:
+                continue
+            old = want.get(key)
+            if old is None or (venue and (old[0], old[1]) != (venue, how)) or (not old[2] and caption):
+                want[key] = (venue, how, caption)
+    for n, rows in enumerate(batches):
+        store.upsert_batch(spark.createDataFrame(rows, schema), root, n, buckets=4, compact_every=3)
+    read = lambda: {r.key: tuple(r)[1:] for r in store.read_mentions(spark, root, spark.createDataFrame([], schema).schema).collect()}
+    assert read() == want and len(want) > 20
+    for n in (6, 2, 4):
+        store.upsert_batch(spark.createDataFrame(batches[n], schema), root, n, buckets=4, compact_every=3)
+    assert read() == want
+    # a batch touches the buckets of its keys only
+    files = lambda: {os.path.join(d, f) for d, _, fs in os.walk(root) for f in fs if f.endswith(".parquet")}
+    before = files()
+    store.upsert_batch(spark.createDataFrame([("fresh", "v1", "handle", "c")], schema), root, 7, buckets=4, compact_every=3)
+    made = files() - before
+    assert len({f for f in made if "/deltas/batch=7/bucket=" in f}) == 1 and len(made) == 2
+    # deltas that a base has taken in are no longer read
+    shutil.rmtree(os.path.join(root, "deltas", "batch=0"))
+    assert read() == want | {"fresh": ("v1", "handle", "c")}
+
+
+def test_stream_upsert_drains_into_the_store(spark, tmp_path):
+    from placerank.streaming import mention_store as store
+
+    schema = "key string, venue_id string, matched_by string, caption string"
+    landing, root = str(tmp_path / "in"), str(tmp_path / "store")
+    for rows in ([("a", None, "unmatched", ""), ("b", "v1", "handle", "x")], [("a", "v2", "caption", "now"), ("b", None, "unmatched", "y")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landing)
+        query = store.stream_upsert(spark.readStream.schema(schema).parquet(landing), root, str(tmp_path / "ck"))
+        query.awaitTermination()
+        assert query.exception() is None
+    got = store.read_mentions(spark, root, spark.createDataFrame([], schema).schema)
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "v2", "caption", "now"), ("b", "v1", "handle", "x")]

@@ -37,11 +37,29 @@ def matcher_keys(venues: DataFrame, names: DataFrame) -> DataFrame:
     return keyed.where((F.length("name_key") >= MIN_KEY) | F.col("name_key").rlike(CJK)).distinct()
 
 
-def _best(scored: DataFrame) -> DataFrame:
-    """Highest score per mention, first venue id on ties."""
-    return scored.groupBy("key").agg(
+def _best(scored: DataFrame, by: str = "key") -> DataFrame:
+    """Highest score per mention or text, first venue id on ties."""
+    return scored.groupBy(by).agg(
         F.min_by(F.struct("venue_id", "score"), F.struct((-F.col("score")).alias("s"), "venue_id")).alias("b")
-    ).select("key", F.col("b.venue_id").alias("venue_id"), F.col("b.score").alias("score"))
+    ).select(by, F.col("b.venue_id").alias("venue_id"), F.col("b.score").alias("score"))
+
+
+def _best_of_texts(scored: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """(haystack, venue_id, score): the best venue of every text, decided once however many mentions say it.
+
+    ``scored``: needle, haystack, score.  Of the venues that share a needle only the first can win, so neither side's
+    copies are multiplied."""
+    first = keys.where(F.col(column) != "").groupBy(F.col(column).alias("needle")).agg(F.min("venue_id").alias("venue_id"))
+    return materialise(_best(scored.join(first, "needle").select("haystack", "venue_id", "score"), "haystack"))
+
+
+def _guesses_of_texts(scored: DataFrame, keys: DataFrame, column: str, n: int) -> DataFrame:
+    """The n best venues of every text; of the venues that share a needle only the first n can be among them."""
+    named = keys.where(F.col(column) != "").select(F.col(column).alias("needle"), "venue_id").distinct()
+    first = top_k(named, ["needle"], [F.col("venue_id").asc()], n, "_n").drop("_n")
+    best = scored.join(first, "needle").groupBy("haystack", "venue_id").agg(F.max("score").alias("score"))
+    order = [F.col("score").desc(), F.col("venue_id").asc()]
+    return materialise(top_k(best, ["haystack"], order, n, "_n").drop("_n"))
 
 
 def _score_pairs(keys: DataFrame, needles: str, texts: DataFrame, least: float = CAPTION_THRESHOLD) -> DataFrame:
@@ -55,7 +73,7 @@ def _score_pairs(keys: DataFrame, needles: str, texts: DataFrame, least: float =
 def match_handles(mentions: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, venue_id, score): creator handles equal, close to or containing a venue's handle."""
     handles = mentions.select("key", handle_key(F.col("creator_handle")).alias("h")).where(F.length("h") >= MIN_KEY)
-    vk = keys.where("handle_key <> ''").select("venue_id", "handle_key").distinct()
+    vk = keys.where("handle_key <> ''")
     pairs = texts_near(
         vk.select(F.col("handle_key").alias("text")), handles.select(F.col("h").alias("text"))
     ).union(
@@ -64,10 +82,11 @@ def match_handles(mentions: DataFrame, keys: DataFrame) -> DataFrame:
     ).distinct()
     inside = F.contains("haystack", "needle") & (F.length("needle") >= MIN_KEY)
     scored = pairs.withColumn("r", ratio_udf("haystack", "needle")).select(
-        F.col("needle").alias("handle_key"), F.col("haystack").alias("h"),
+        "needle", "haystack",
         F.when(inside, F.greatest("r", F.lit(95.0))).otherwise(F.col("r")).alias("score"),
     ).where(F.col("score") >= HANDLE_THRESHOLD)
-    return _best(handles.join(materialise(scored), "h").join(vk, "handle_key").select("key", "venue_id", "score"))
+    best = _best_of_texts(materialise(scored), vk, "handle_key")
+    return _best(handles.join(best.withColumnRenamed("haystack", "h"), "h"))
 
 
 def match_captions(mentions: DataFrame, keys: DataFrame) -> DataFrame:
@@ -77,16 +96,12 @@ def match_captions(mentions: DataFrame, keys: DataFrame) -> DataFrame:
         "key", name_key(F.col("caption"), keep_noise=True).alias("text"), F.array_join(tags, " ").alias("tags")
     )
     names = _score_pairs(keys, "name_key", texts).where(F.col("score") >= CAPTION_THRESHOLD)
-    by_name = texts.join(names, texts["text"] == names["haystack"]).select(
-        "key", F.col("needle").alias("name_key"), "score"
-    ).join(keys.select("venue_id", "name_key").distinct(), "name_key")
-    vk = keys.where(F.length("handle_key") >= MIN_KEY).select("venue_id", "handle_key").distinct()
+    by_name = texts.join(_best_of_texts(names, keys, "name_key").withColumnRenamed("haystack", "text"), "text")
+    vk = keys.where(F.length("handle_key") >= MIN_KEY)
     tagged = texts.where("tags <> ''")
     near = texts_near(vk.select(F.col("handle_key").alias("text")), tagged.select(F.col("tags").alias("text")), exact=True)
-    hit = near.where(F.contains("haystack", "needle"))
-    by_tag = tagged.join(hit, tagged["tags"] == hit["haystack"]).select(
-        "key", F.col("needle").alias("handle_key"), F.lit(96.0).alias("score")
-    ).join(vk, "handle_key")
+    hit = near.where(F.contains("haystack", "needle")).withColumn("score", F.lit(96.0))
+    by_tag = tagged.join(_best_of_texts(hit, vk, "handle_key").withColumnRenamed("haystack", "tags"), "tags")
     cols = ["key", "venue_id", "score"]
     return _best(by_name.select(*cols).union(by_tag.select(*cols)))
 
@@ -130,15 +145,13 @@ def match_guesses(mentions: DataFrame, keys: DataFrame, n: int = 3) -> DataFrame
         handle_key(F.coalesce("creator_handle", F.lit(""))).alias("h"),
     )
     named = best_windows(keys.select(F.col("name_key").alias("text")).where("text <> ''"), texts.select("text").where("text <> ''"), GUESS_THRESHOLD, n)
-    by_text = texts.join(named.withColumnRenamed("haystack", "text"), "text").select("key", F.col("needle").alias("name_key"), "score").join(
-        keys, "name_key"
-    ).select("key", "venue_id", "score")
     pairs = best_windows(
         keys.select(F.col("handle_key").alias("text")).where("text <> ''"), texts.select(F.col("h").alias("text")).where("text <> ''"), GUESS_THRESHOLD, n, whole=True
     )
-    by_handle = texts.join(pairs.withColumnRenamed("haystack", "h"), "h").select(
-        "key", F.col("needle").alias("handle_key"), "score"
-    ).join(keys, "handle_key").select("key", "venue_id", "score")
+    cols = ["key", "venue_id", "score"]
+    # what is among the n best by either score is among the n best of its own text
+    by_text = texts.join(_guesses_of_texts(named, keys, "name_key", n).withColumnRenamed("haystack", "text"), "text").select(*cols)
+    by_handle = texts.join(_guesses_of_texts(pairs, keys, "handle_key", n).withColumnRenamed("haystack", "h"), "h").select(*cols)
     best = by_text.union(by_handle).groupBy("key", "venue_id").agg(F.max("score").alias("score"))
     good = best.where(F.col("score") >= GUESS_THRESHOLD)
     return top_k(good, ["key"], [F.col("score").desc(), F.col("venue_id").asc()], n).withColumn("score", F.round("score", 1))

@@ -2,7 +2,7 @@ import random
 
 from placerank.functions.similarity import lcs_length, lcs_lengths, partial_ratio, ratio, token_set_ratio, token_set_ratio_udf, token_set_ratios
 from placerank.operators.blocking import best_windows, similar_texts, texts_near
-from placerank.operators.social import match_guesses
+from placerank.operators.social import _best_of_texts, _guesses_of_texts, match_captions, match_guesses, match_handles
 
 VOCAB = "golden dragon palace kopitiam zi char hua seng lee garden luna rooftop noodle king crab old town street".split()
 
@@ -118,3 +118,15 @@ def test_guesses_without_a_shared_trigram(spark):
     mentions = spark.createDataFrame([("m1", "abxdexgh and more", None), ("m2", None, "pqxstxvw")], "key string, caption string, creator_handle string")
     keys = spark.createDataFrame([("v1", "abcdefgh", "abcdefgh"), ("v2", "pqrstuvw", "pqrstuvw")], "venue_id string, name_key string, handle_key string")
     assert {(r.key, r.venue_id, r.score) for r in match_guesses(mentions, keys).collect()} == {("m1", "v1", 75.0), ("m2", "v2", 75.0)}
+
+
+def test_copies_of_texts_and_names_are_not_multiplied(spark):
+    keys = spark.createDataFrame([(f"v{i:03d}", "golden dragon", "goldendragon") for i in range(200)], "venue_id string, name_key string, handle_key string")
+    rows = [(f"m{i:03d}", "dinner at golden dragon tonight", "golden_dragon_sg") for i in range(150)]
+    mentions = spark.createDataFrame(rows, "key string, caption string, creator_handle string")
+    for match, score in ((match_handles, 95.0), (match_captions, 100.0)):
+        assert {(r.key, r.venue_id, r.score) for r in match(mentions, keys).collect()} == {(k, "v000", score) for k, _, _ in rows}
+    got = match_guesses(mentions, keys).collect()
+    assert {(r.key, r.venue_id, r["rank"]) for r in got} == {(k, f"v00{i}", i + 1) for k, _, _ in rows for i in range(3)}
+    scored = spark.createDataFrame([("golden dragon", "at golden dragon", 100.0)], "needle string, haystack string, score double")
+    assert _best_of_texts(scored, keys, "name_key").count() == 1 and _guesses_of_texts(scored, keys, "name_key", 3).count() == 3

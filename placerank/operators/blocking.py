@@ -169,6 +169,11 @@ def _common_letters(a: str, b: str) -> Column:
     return levels[0] + levels[1] + levels[2] + levels[3] + F.least(F.col(a)["over"], F.col(b)["over"])
 
 
+def _parts(df: DataFrame) -> int:
+    """Partitions for rows that are few bytes but many meetings: adaptive execution would put them all into one task."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+
+
 def similar_texts(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct (left_text, right_text) that may reach a token-set ratio of 88.
 
@@ -195,8 +200,7 @@ def similar_texts(left: DataFrame, right: DataFrame) -> DataFrame:
             F.col("side").alias("side" + suffix), F.col("kind").alias("kind" + suffix), F.col("text").alias("text" + suffix), F.col("size").alias("size" + suffix), F.col("letters").alias("letters" + suffix), F.explode(at).alias("key")
         ).distinct()
 
-    # the rows are few bytes but many meetings: adaptive execution would put them all into one task
-    parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), left.sparkSession.sparkContext.defaultParallelism)
+    parts = _parts(left)
     offers, holders = keyed(offered.unionByName(held), "1").repartition(parts, "key"), keyed(postings, "2").drop("kind2").repartition(parts, "key")
     met = offers.join(holders, "key").where("side1 <> side2")
     edits = F.floor(F.lit(_EDITS) * (F.col("size1") + F.col("size2")) + F.lit(1e-9))
@@ -231,8 +235,10 @@ def texts_near(needles: DataFrame, haystacks: DataFrame, exact: bool = False, le
     keep = F.lit(1) if exact else _broken_in_window(t, least) + 1
     offered = _rarest(pins, _document_frequency(hay), F.col("_pos") <= keep)
     full = hay.select("kind", F.col("text").alias("haystack"), "feature")
-    met = offered.withColumnRenamed("text", "needle").join(full, ["kind", "feature"])
-    pairs = materialise(met.select("needle", "haystack").distinct())  # see similar_texts
+    parts = _parts(needles)
+    at = ["kind", "feature"]
+    met = offered.withColumnRenamed("text", "needle").repartition(parts, *at).join(full.repartition(parts, *at), at)
+    pairs = materialise(met.select("needle", "haystack").repartition(parts, "needle", "haystack").distinct())  # see similar_texts
     return pairs.where(_enough_shared(F.col("needle"), F.col("haystack"), exact, least))
 
 

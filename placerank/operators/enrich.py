@@ -11,6 +11,8 @@ from placerank.functions.geo import EARTH_RADIUS_M, haversine_m
 from placerank.session import materialise
 
 METRES_PER_DEGREE = 2 * math.pi * EARTH_RADIUS_M / 360.0
+#: Stations that may share a first cell, and the narrowest cell in degrees.
+CROWD, LEAST_CELL = 32, 1e-6
 
 
 def geocode(venues: DataFrame, gazetteer: DataFrame) -> DataFrame:
@@ -50,6 +52,17 @@ def _cells(degrees: float) -> tuple[Column, Column]:
     return F.floor(F.col("lat") / degrees), F.floor(F.col("lng") / degrees)
 
 
+def _uncrowded(spots: DataFrame, width: float) -> float:
+    """The widest of the cells ``width``, a quarter of it and so on in which at most ``CROWD`` spots share a cell."""
+    while width > LEAST_CELL:
+        y, x = _cells(width)
+        most = spots.groupBy(y.alias("y"), x.alias("x")).count().agg(F.max("count")).first()[0]
+        if (most or 0) <= CROWD:
+            break
+        width /= 4
+    return width
+
+
 def nearest_by_grid(
     places: DataFrame, stations: DataFrame, id_col: str = "venue_id", first_cell: float = 0.01
 ) -> DataFrame:
@@ -57,7 +70,8 @@ def nearest_by_grid(
 
     Stations are written into their cell and its eight neighbours; a place meets those of its own
     cell.  A hit closer than one cell width is final (anything nearer would share a neighbouring
-    cell); the rest try again with cells four times as wide.  Stations at the same spot count once,
+    cell); the rest try again with cells four times as wide.  Places at the same spot search once, and the first
+    cells are so narrow that few stations share one.  Stations at the same spot count once,
     those without coordinates never; near the date line a station also stands on the other side of it."""
     here = places.where("lat is not null and lng is not null").select(id_col, "lat", "lng")
     spots = materialise(
@@ -65,7 +79,8 @@ def nearest_by_grid(
         .groupBy("lat", "lng")
         .agg(F.min_by(F.struct("name", "lines"), "name").alias("s"))
     )
-    pending, done, width = materialise(here), None, first_cell
+    spot = ["lat", "lng"]
+    pending, done, width = materialise(here.select(*spot).distinct()), None, _uncrowded(spots, first_cell)
     while True:
         whole_earth = width > 360
         y, x = _cells(width)
@@ -76,20 +91,19 @@ def nearest_by_grid(
             F.col("lat").alias("slat"), F.col("lng").alias("slng"), "s", y.alias("y"), x.alias("x"), F.explode(ring).alias("d")
         ).select("slat", "slng", "s", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"))
         metres = haversine_m(F.col("lat"), F.col("lng"), F.col("slat"), F.col("slng"))
-        near = pending.withColumns({"y": y, "x": x}).join(spread, ["y", "x"]).groupBy(id_col).agg(
+        near = pending.withColumns({"y": y, "x": x}).join(spread, ["y", "x"]).groupBy(*spot).agg(
             F.min(F.struct(metres.alias("metres"), F.col("s.name").alias("name"), F.col("s.lines").alias("lines"))).alias("b"),
-            F.max(F.abs("lat")).alias("_lat"),
-        )
+        ).withColumn("_lat", F.abs("lat"))
         # a degree of longitude shrinks towards the poles
         sure = F.col("b.metres") <= F.lit(width * METRES_PER_DEGREE) * F.cos(F.radians(F.least(F.col("_lat") + width, F.lit(90.0))))
-        hits = materialise((near if whole_earth else near.where(sure)).select(
-            id_col, F.col("b.name").alias("station"), F.col("b.metres").alias("metres"), F.col("b.lines").alias("lines")
-        ))
+        hits = materialise((near if whole_earth else near.where(sure)).select(*spot, "b"))
         done = hits if done is None else done.union(hits)
-        pending = materialise(pending.join(hits, id_col, "left_anti"))
+        pending = materialise(pending.join(hits, spot, "left_anti"))
         if whole_earth or pending.isEmpty():
-            return done
+            break
         width *= 4
+    found = here.join(done, spot).groupBy(id_col).agg(F.min("b").alias("b"))
+    return found.select(id_col, F.col("b.name").alias("station"), F.col("b.metres").alias("metres"), F.col("b.lines").alias("lines"))
 
 
 def near_me(places: DataFrame, lat: float, lng: float, radius_km: float | None) -> DataFrame:

@@ -113,7 +113,7 @@ CARD_FIELDS = ["name", "address", "rating", "review_count", "price", "cuisine",
 def _split_cards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from placerank.sources.html_tree import parse, select, select_one
 
-    columns = ["page_id", "card_no", "href", "stars", "text", *CARD_FIELDS]
+    columns = ["page_id", "source_key", "url", "card_no", "href", "stars", "text", *CARD_FIELDS]
     for batch in batches:
         rows = []
         for r in batch.itertuples(index=False):
@@ -122,7 +122,7 @@ def _split_cards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 link = select_one(card, sel.get("link") or "a[href]")
                 parts = [select_one(card, sel.get(f)) for f in CARD_FIELDS]
                 rows.append((
-                    r.page_id, n, link.attrs.get("href") if link else None,
+                    r.page_id, r.source_key, r.url, n, link.attrs.get("href") if link else None,
                     len(select(card, sel["star"])) if sel.get("star") else 0, card.text(),
                     *[p.text() if p else None for p in parts],
                 ))
@@ -134,11 +134,10 @@ def extract_cards(pages: DataFrame, selectors: DataFrame) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
     fields = ", ".join(f"{f} string" for f in CARD_FIELDS)
     joined = pages.join(F.broadcast(selectors), "source_key")  # configuration: one row per source
-    raw = joined.select("page_id", "html", "selectors").mapInPandas(
-        _split_cards, f"page_id {kind}, card_no int, href string, stars int, text string, {fields}"
+    raw = joined.select("page_id", "source_key", "url", "html", "selectors").mapInPandas(
+        _split_cards, f"page_id {kind}, source_key string, url string, card_no int, href string, stars int, text string, {fields}"
     )
-    base = pages.select("page_id", "source_key", "url")
-    rows = raw.where(truthy(F.col("name")).isNotNull()).join(base, "page_id")
+    rows = raw.where(truthy(F.col("name")).isNotNull())
     pieces = F.transform(F.split("cuisine", r"[,/·•|]"), lambda c: F.trim(c))
     return rows.select(
         "page_id", "source_key", "card_no", clean_heading(F.col("name")).alias("name"),

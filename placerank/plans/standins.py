@@ -106,6 +106,16 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql, **used)
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows dealt to all tasks by ``key``.
+
+    Parts are few bytes, so their table is read in one or two splits, and everything written from a row and parsed again would
+    run in as many tasks, however many rows there are."""
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, key)
+
+
 def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, SIGHTINGS)
 
@@ -161,7 +171,7 @@ PARAMS = ScoringParams()
 
 def venues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Venue rows with the map and array columns the operators expect."""
-    v = view(spark, sf_dir, VENUES)
+    v = spread(view(spark, sf_dir, VENUES), "part_no")
     keys = ["halal", "private_room", "kid_friendly"]
     flags = F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*keys))
     return v.withColumns(

@@ -193,3 +193,32 @@ def test_comment_trees_of_any_depth(spark):
     for r in threads.flatten_threads(tree, 10**6).orderBy("thread_id", "position").collect():
         got.setdefault(r.thread_id, []).append(r.body)
     assert got == want
+
+
+def test_cards_of_pages_with_one_id_keep_their_own_page(spark):
+    rows = [("p", "s", f"https://h{i}.test/list", f"<div class='card'><h3><a href='/r'>Luna {i}</a></h3></div>") for i in range(2)]
+    landed = spark.createDataFrame(rows, "page_id string, source_key string, url string, html string")
+    dim = spark.createDataFrame([("s", {"card": "div.card", "name": "h3"})], "source_key string, selectors map<string,string>")
+    got = sorted((r.name, r.url) for r in pages.extract_cards(landed, dim).collect())
+    assert got == [("Luna 0", "https://h0.test/r"), ("Luna 1", "https://h1.test/r")]
+
+
+def test_rows_of_parts_are_dealt_to_all_tasks(spark, sf_dir):
+    from placerank.plans.standins import venues
+
+    v = venues(spark, sf_dir)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    assert v.rdd.getNumPartitions() == tasks
+
+
+def test_nearest_in_crowded_cells_and_places_at_one_spot(spark):
+    from placerank.operators.enrich import CROWD, _uncrowded, nearest_by_grid
+
+    stations = [(f"s{i:04d}", 1.3 + (i % 40) * 1e-4, 103.8 + (i // 40) * 1e-4, ["L"]) for i in range(1600)] + [("far", -40.0, 170.0, ["F"])]
+    s = spark.createDataFrame(stations, "name string, lat double, lng double, lines array<string>")
+    width = _uncrowded(s, 0.01)
+    assert width < 0.01 and s.groupBy((s.lat / width).cast("long"), (s.lng / width).cast("long")).count().where(f"count > {2 * CROWD}").isEmpty()
+    places = [(f"p{i}", 1.30203, 103.80198) for i in range(300)] + [("q", -41.0, 171.0)]
+    p = spark.createDataFrame(places, "venue_id string, lat double, lng double")
+    got = {r.venue_id: r.station for r in nearest_by_grid(p, s).collect()}
+    assert got == {f"p{i}": "s0820" for i in range(300)} | {"q": "far"}

@@ -15,7 +15,7 @@ from placerank.functions.base import iso_date, let, lookup
 from placerank.functions.lexicons import HOTEL, NOT_A_PLACE
 from placerank.operators.ordered import first_rows, row_numbers
 from placerank.params import COMPONENTS, ScoringParams
-from placerank.session import materialise
+from placerank.session import materialise, spread
 
 MAIN_SOURCE = "google_places"
 # Parking flag -> component
@@ -314,7 +314,8 @@ def score_categories(
         "earliest_evidence", "keyword_hits", "independent_count", "buzz", "rating_trend", "not_a_place", "hotel",
         "price_exempt", "award_kind",
     ]
-    once = with_traits(venues).select(*kept, *[v.alias(f"c_{k}") for k, v in fixed.items()])
+    # traits, reasons and sums are long expressions over few bytes: the join below keeps this number of partitions
+    once = with_traits(spread(venues, "venue_id")).select(*kept, *[v.alias(f"c_{k}") for k, v in fixed.items()])
     if personal is not None:
         mine = personal.select("venue_id", F.col("status").alias("my_status"), "my_rating")
         once = once.join(mine, "venue_id", "left")
@@ -333,7 +334,7 @@ def score_categories(
     rows = materialise(rows)  # the maxima need every row before any is scored
     ok = F.col("excluded_reason").isNull()
     tops = rows.where(ok).groupBy("category_key").agg(F.max("c_recommendations").alias("_max"))
-    rows = rows.join(tops, "category_key", "left")
+    rows = rows.join(F.broadcast(tops), "category_key", "left")  # configuration: or all rows would be dealt by a few categories
     relative = F.when(F.col("_max") > 0, F.col("c_recommendations") / F.col("_max")).otherwise(F.col("c_recommendations"))
     values = {k: (relative if k == "recommendations" else F.col(f"c_{k}")) for k in comps}
     scored = rows.withColumns(

@@ -58,3 +58,13 @@ def settle(df: DataFrame) -> DataFrame:
     spark, plan = df.sparkSession, kept._jdf
     rows = spark._jsparkSession.internalCreateDataFrame(plan.queryExecution().toRdd(), plan.schema(), False)
     return DataFrame(rows, spark)
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows dealt to all tasks by ``key``, for work that is heavy for every row.
+
+    Rows of few bytes are read in one or two splits, and adaptive execution puts them into few partitions after a shuffle; a
+    partition number given here is kept."""
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, key)

@@ -222,3 +222,10 @@ def test_nearest_in_crowded_cells_and_places_at_one_spot(spark):
     p = spark.createDataFrame(places, "venue_id string, lat double, lng double")
     got = {r.venue_id: r.station for r in nearest_by_grid(p, s).collect()}
     assert got == {f"p{i}": "s0820" for i in range(300)} | {"q": "far"}
+
+
+def test_scores_are_made_in_all_tasks(spark, sf_dir):
+    from placerank.plans.ranking_queries import scores
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    assert scores(spark, sf_dir).rdd.getNumPartitions() >= tasks

@@ -16,13 +16,14 @@ order (kept as bits, so this is a few machine words a pair).  What is left goes
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placerank.functions.similarity import best_needles, letter_counts
-from placerank.session import materialise
+from placerank.session import materialise, store
 
 # An indel ratio of 88 allows an edit distance of 0.12 * (|a| + |b|).
 _EDITS = 0.12
@@ -34,6 +35,8 @@ _WORD_TAIL = 0.22
 _GRAINS = (1, 2, 3, 4)
 # Longer segments are looked up by their first characters.
 _LONGEST_KEY = 6
+# A zone with at most so many texts on one side is compared whole.
+_WHOLE_ZONE = 32
 
 
 def trigrams(text: Column) -> Column:
@@ -79,17 +82,11 @@ def _document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("kind", "feature").agg(F.count(F.lit(1)).alias("df"))
 
 
-def _meeting_keys(side: Column, zone: Column, feature: Column) -> Column:
-    """Keys on which postings meet: the same zone, or one side without any.
-
-    A left row with a zone meets its zone and the zoneless right rows; one without meets every right
-    row.  So most rows compare inside their zone only."""
-    tag = lambda t: F.concat(F.lit(t), feature)
-    inside = F.concat(F.lit("="), zone, F.lit("|"), feature)
-    left = F.when(zone.isNotNull(), F.array(inside, tag("right|"))).otherwise(F.array(tag("left|")))
-    right = F.when(zone.isNotNull(), F.array(inside, tag("left|"))).otherwise(
-        F.array(tag("right|"), tag("left|"))
-    )
+def _meeting_places(side: Column, zone: Column) -> Column:
+    """Where texts meet when a side has no zone: a left text with a zone meets the zoneless right texts, one without meets
+    every right text.  Texts of one zone meet in the zone."""
+    left = F.when(zone.isNotNull(), F.array(F.lit("right|"))).otherwise(F.array(F.lit("left|")))
+    right = F.when(zone.isNotNull(), F.array(F.lit("left|"))).otherwise(F.array(F.lit("right|"), F.lit("left|")))
     return F.when(side == "l", left).otherwise(right)
 
 
@@ -174,19 +171,47 @@ def _parts(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
 
 
+@dataclass(frozen=True)
+class Candidates:
+    """pairs: distinct (left_text, right_text) that may reach the score, whatever their zones; inside: (left_text, right_text,
+    zone) for texts of one zone, which holds every such pair of ``pairs`` and others beside them."""
+
+    pairs: DataFrame
+    inside: DataFrame
+
+
 def similar_texts(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct (left_text, right_text) that may reach a token-set ratio of 88.
 
     ``left`` and ``right``: text (blanks separate words) and optionally zone; only pairs of one zone,
     or with a zone missing, are wanted.  See the module text for the two indexes."""
+    return candidates(left, right).pairs
+
+
+def candidates(left: DataFrame, right: DataFrame) -> Candidates:
+    """:func:`similar_texts` with the zones in which pairs meet.
+
+    A zone with at most ``_WHOLE_ZONE`` texts on one side is compared whole, at most so many pairs for every text.  Only the
+    texts of crowded zones, and once for all zones the texts that meet zoneless ones, are taken to the indexes."""
     t = F.col("text")
     sides = []
     for name, df in (("l", left), ("r", right)):
         zone = F.col("zone") if "zone" in df.columns else F.lit(None).cast("string")
         sides.append(df.select("text", zone.alias("zone")).distinct().withColumn("side", F.lit(name)))
-    both = sides[0].union(sides[1])
-    zones = materialise(both.withColumn("_t", F.array_join(words(t), " ")).select("side", "text", "zone", F.length("_t").alias("size"), _letters(F.col("_t")).alias("letters")))
-    texts = zones.select("side", "text", "size").distinct()
+    zones = store(sides[0].union(sides[1]), "zones")
+    letters = zones.select("side", "text").distinct().withColumn("_t", F.array_join(words(t), " "))
+    letters = materialise(letters.select("side", "text", F.length("_t").alias("size"), _letters(F.col("_t")).alias("letters")))
+    texts = letters.select("side", "text", "size")
+
+    sizes = zones.where("zone is not null").groupBy("zone").agg(F.count_if(F.col("side") == "l").alias("_l"), F.count_if(F.col("side") == "r").alias("_r"))
+    sizes = store(sizes.where("_l > 0 and _r > 0").select("zone", (F.least("_l", "_r") > _WHOLE_ZONE).alias("_crowded")), "zone_sizes")
+    in_zone = lambda side, column: zones.where(F.col("side") == side).select("zone", t.alias(column))
+    whole = in_zone("l", "left_text").join(sizes.where("not _crowded").select("zone"), "zone").join(in_zone("r", "right_text"), "zone")
+    whole = store(whole.select("left_text", "right_text", "zone"), "whole_zones")
+
+    places = zones.join(sizes.where("_crowded").select("zone"), "zone").select("side", "text", F.concat(F.lit("="), "zone").alias("place"))
+    places = places.union(zones.select("side", "text", F.explode(_meeting_places(F.col("side"), F.col("zone")))).distinct())
+
     postings = materialise(_postings(texts, word=words(t)))
     common = _document_frequency(postings)
     vocabulary = common.select(F.col("feature").alias("word"), "df")
@@ -195,25 +220,37 @@ def similar_texts(left: DataFrame, right: DataFrame) -> DataFrame:
     held = _rare_segments(texts, vocabulary).join(keys, "key").select("side", F.lit("segment").alias("kind"), "text", F.col("word").alias("feature")).distinct()
 
     def keyed(rows: DataFrame, suffix: str) -> DataFrame:
-        at = _meeting_keys(F.col("side"), F.col("zone"), F.col("feature"))
-        return rows.join(zones, ["side", "text"]).select(
-            F.col("side").alias("side" + suffix), F.col("kind").alias("kind" + suffix), F.col("text").alias("text" + suffix), F.col("size").alias("size" + suffix), F.col("letters").alias("letters" + suffix), F.explode(at).alias("key")
-        ).distinct()
-
-    parts = _parts(left)
-    offers, holders = keyed(offered.unionByName(held), "1").repartition(parts, "key"), keyed(postings, "2").drop("kind2").repartition(parts, "key")
-    met = offers.join(holders, "key").where("side1 <> side2")
-    edits = F.floor(F.lit(_EDITS) * (F.col("size1") + F.col("size2")) + F.lit(1e-9))
-    near = F.col("size1").between(F.col("size2"), F.col("size2") + edits) & (F.col("size1") + F.col("size2") - 2 * _common_letters("letters1", "letters2") <= edits)
-    met = met.where((F.col("kind1") == "word") | near)
+        return rows.join(letters, ["side", "text"]).join(places, ["side", "text"]).select(
+            F.col("side").alias("side" + suffix), F.col("kind").alias("kind" + suffix), F.col("text").alias("text" + suffix), F.col("size").alias("size" + suffix), F.col("letters").alias("letters" + suffix), "place", "feature"
+        )
+
+    parts, at = _parts(left), ["place", "feature"]
+    offers, holders = keyed(offered.unionByName(held), "1").repartition(parts, *at), keyed(postings, "2").drop("kind2").repartition(parts, *at)
+    met = offers.join(holders, at).where("side1 <> side2")
+    met = met.where((F.col("kind1") == "word") | _near("size1", "size2", "letters1", "letters2"))
     from_left = F.col("side1") == "l"
     # materialised, or the check of words would move below the distinct, and a caller's filter on the score below it too, and
     # run on every repeated meeting of the same pair
     met = materialise(met.select(
-        "kind1", F.when(from_left, F.col("text1")).otherwise(F.col("text2")).alias("left_text"), F.when(from_left, F.col("text2")).otherwise(F.col("text1")).alias("right_text")
+        "kind1", F.when(from_left, F.col("text1")).otherwise(F.col("text2")).alias("left_text"), F.when(from_left, F.col("text2")).otherwise(F.col("text1")).alias("right_text"),
+        F.when(F.col("place").startswith("="), F.substring("place", 2, 2**31 - 1)).alias("zone"),
     ).repartition(parts, "left_text", "right_text").distinct())
-    reach = (F.col("kind1") == "segment") | _words_outweigh(F.col("left_text"), F.col("right_text"))
-    return materialise(met.where(reach).select("left_text", "right_text").distinct())
+    outweigh = _words_outweigh(F.col("left_text"), F.col("right_text"))
+    near = met.where((F.col("kind1") == "segment") | outweigh).select("left_text", "right_text")
+    close = whole.select("left_text", "right_text").distinct()
+    for side in ("left", "right"):
+        mine = letters.where(F.col("side") == side[0]).select(F.col("text").alias(f"{side}_text"), F.col("size").alias(f"size_{side}"), F.col("letters").alias(f"letters_{side}"))
+        close = close.join(mine, f"{side}_text")
+    sizes_near = _near("size_left", "size_right", "letters_left", "letters_right") | _near("size_right", "size_left", "letters_left", "letters_right")
+    pairs = store(near.union(close.where(sizes_near | outweigh).select("left_text", "right_text")).distinct(), "pairs")
+    return Candidates(pairs, whole.union(met.where("zone is not null").select("left_text", "right_text", "zone").distinct()))
+
+
+def _near(longer: str, shorter: str, a: str, b: str) -> Column:
+    """Lengths and letters of two texts allow a pair of remainders few edits apart."""
+    size1, size2 = F.col(longer), F.col(shorter)
+    edits = F.floor(F.lit(_EDITS) * (size1 + size2) + F.lit(1e-9))
+    return size1.between(size2, size2 + edits) & (size1 + size2 - 2 * _common_letters(a, b) <= edits)
 
 
 def _broken_in_window(text: Column, least: float) -> Column:

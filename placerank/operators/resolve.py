@@ -26,11 +26,11 @@ from pyspark.sql.window import Window
 from placerank.functions.base import truthy
 from placerank.functions.names import name_key
 from placerank.functions.similarity import token_set_ratio_udf
-from placerank.operators.blocking import similar_texts
+from placerank.operators.blocking import candidates
 from placerank.operators.joins import lookup
 from placerank.operators.ordered import row_numbers
 from placerank.params import ScoringParams
-from placerank.session import materialise, settle
+from placerank.session import materialise, settle, store
 
 GOOGLE = ("google_places", "google_reserve")
 METHODS = ("place_id", "name_postal", "phone", "booking_link", "name_exact", "fuzzy_name")
@@ -53,12 +53,18 @@ def with_ingest_order(sightings: DataFrame) -> DataFrame:
 
 def match_keys(sightings: DataFrame) -> DataFrame:
     """Add the key columns the tiers compare and whether the row may create a venue."""
+    keyed = _plain_keys(sightings.withColumn("name_key", name_key(F.col("name"))))
+    flags = [F.col("creator").cast("string"), F.col("catalogue").cast("string")]
+    return keyed.withColumn("node", _digest(*_key_parts(), *flags))
+
+
+def _plain_keys(sightings: DataFrame) -> DataFrame:
+    """The keys that are read off a column; made again for every reader rather than stored."""
     strong = F.col("source_key").isin(*GOOGLE)
     enrich_only = F.coalesce(F.col("extra.enrich_only"), F.lit(False))
     low = F.coalesce("confidence", F.lit(1.0)) <= 0.5
-    keyed = sightings.withColumns(
+    return sightings.withColumns(
         {
-            "name_key": name_key(F.col("name")),
             "place_id": F.when(strong, truthy(F.col("source_ref"))),
             "postal": truthy(F.col("postal_code")),
             "booking": truthy(F.col("booking_url")),
@@ -66,9 +72,15 @@ def match_keys(sightings: DataFrame) -> DataFrame:
             "catalogue": enrich_only,
         }
     ).withColumn("phone", truthy(F.col("phone")))
-    flags = [F.col("creator").cast("string"), F.col("catalogue").cast("string")]
-    parts = [F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in _KEYS]
-    return keyed.withColumn("node", F.sha2(F.concat_ws("\u0001", *parts, *flags), 256))
+
+
+def _key_parts() -> list[Column]:
+    return [F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in _KEYS]
+
+
+def _digest(*parts: Column) -> Column:
+    """128 bits that stand for a node: nodes are carried through many shuffles."""
+    return F.unhex(F.substring(F.sha2(F.concat_ws("\u0001", *parts), 256), 1, 32))
 
 
 @dataclass(frozen=True)
@@ -99,9 +111,8 @@ def _known_nodes(known: DataFrame) -> DataFrame:
         F.col("created").cast("long").alias("seq"),
         F.xxhash64(*_KEYS).alias("tie"),
     )
-    parts = [F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in _KEYS]
     return known.select(
-        F.sha2(F.concat_ws("\u0001", F.lit("known"), F.col("venue_id"), *parts), 256).alias("node"),
+        _digest(F.lit("known"), F.col("venue_id"), *_key_parts()).alias("node"),
         *_KEYS,
         F.lit(True).alias("creator"),
         F.lit(False).alias("catalogue"),
@@ -171,18 +182,31 @@ def _claims(index: DataFrame, keys: list[str]) -> DataFrame:
     An entity counts from its ``since`` on, so an older entity that took the key late does not hide a younger one that
     had it before.  Only entities known before all older ones of the key can ever win: beside the oldest itself, those
     with a smaller ``since`` than it, thinned by a running minimum."""
-    one = index.groupBy(*keys, "entity_ord", "entity").agg(F.min("since").alias("since"))
-    oldest = one.groupBy(*keys).agg(F.min(F.struct("entity_ord", "since", "entity")).alias("f"))
-    rivals = one.join(oldest, keys).where(F.col("since") < F.col("f.since")).select(*keys, "entity_ord", "since", "entity")
-    # an entity beaten in a part of the rivals is beaten in all of them: a crowded key is thinned in many small parts first
-    rivals = rivals.withColumn("_part", F.pmod(F.xxhash64("entity"), F.lit(4096)))
-    for by in ([*keys, "_part"], keys):
-        before = Window.partitionBy(*by).orderBy("entity_ord", "since").rowsBetween(Window.unboundedPreceding, -1)
-        rivals = rivals.withColumn("_best", F.min("since").over(before)).where(F.col("_best").isNull() | (F.col("since") < F.col("_best")))
-    rivals = rivals.drop("_part", "_best")
+    oldest = index.groupBy(*keys).agg(F.min(F.struct("entity_ord", "since", "entity")).alias("f"))
+    rivals = index.join(oldest, keys).where(F.col("since") < F.col("f.since"))
+    rivals = rivals.groupBy(*keys, "entity_ord", "entity").agg(F.min("since").alias("since"))
+    rivals = _thinned(rivals, keys, ["entity_ord", "since"])
     return oldest.union(rivals.select(*keys, F.struct("entity_ord", "since", "entity").alias("f")))
 
 
+def _thinned(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The rows known before all that ``order`` puts before them; the others never win a lookup, whenever it is.
+
+    A row beaten in a part of its key is beaten in all of it: a crowded key is thinned in many small parts first."""
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("entity"), F.lit(4096)))
+    for by in ([*keys, "_part"], keys):
+        before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("_best", F.min("since").over(before)).where(F.col("_best").isNull() | (F.col("since") < F.col("_best")))
+    return rows.drop("_part", "_best")
+
+
+def _options(pairs: DataFrame, claims: DataFrame, at: list[str], by: list[str]) -> DataFrame:
+    """by, score and ``f``: the entities that can win for a text, before any query meets them."""
+    met = pairs.join(claims, at).select(*by, "score", "f.*", (-F.col("score")).alias("_worse"))
+    kept = _thinned(met, by, ["_worse", "entity_ord", "since"])
+    return kept.select(*by, "score", F.struct("entity_ord", "since", "entity").alias("f"))
+
+
 def fuzzy_matches(
     queries: DataFrame, index: DataFrame, threshold: float, catalogue_threshold: float
 ) -> DataFrame:
@@ -190,48 +214,40 @@ def fuzzy_matches(
 
     ``queries``: query_id, name_key, postal, ord, catalogue;  ``index``: entity, name_key, postal,
     since (the entity counts for later queries only), entity_ord (earliest entity wins ties).
-    Postal codes must be equal or missing on one side."""
-    q = queries.select("query_id", F.col("name_key").alias("left_text"), F.col("postal").alias("qp"), "ord", "catalogue")
-    e = index.select("entity", F.col("name_key").alias("right_text"), F.col("postal").alias("ep"), "since", "entity_ord")
-    pairs = similar_texts(
-        q.where("left_text <> ''").select(F.col("left_text").alias("text"), F.col("qp").alias("zone")),
-        e.where("right_text <> ''").select(F.col("right_text").alias("text"), F.col("ep").alias("zone")),
+    Postal codes must be equal or missing on one side.  What can win is decided once for every text, and for every text and
+    postal code, so the similar names do not multiply the queries."""
+    q = queries.select("query_id", F.col("name_key").alias("left_text"), F.col("postal").alias("zone"), "ord", "catalogue")
+    e = index.select("entity", F.col("name_key").alias("right_text"), F.col("postal").alias("zone"), "since", "entity_ord")
+    found = candidates(
+        q.where("left_text <> ''").select(F.col("left_text").alias("text"), "zone"),
+        e.where("right_text <> ''").select(F.col("right_text").alias("text"), "zone"),
     )
     scored = settle(
-        pairs.withColumn("score", token_set_ratio_udf("left_text", "right_text")).where(
+        found.pairs.withColumn("score", token_set_ratio_udf("left_text", "right_text")).where(
             F.col("score") >= threshold
         )
     )
     # names -> entities: reduce to those that can win for a (name, postal) before meeting the queries
-    placed = _claims(e.where("ep is not null"), ["right_text", "ep"])
-    homeless = _claims(e.where("ep is null"), ["right_text"])
+    placed = _claims(e.where("zone is not null"), ["right_text", "zone"])
+    homeless = _claims(e.where("zone is null"), ["right_text"])
     anywhere = _claims(e, ["right_text"])
-    named = q.join(scored, "left_text")
     options = [
         # same postal code
-        named.where("qp is not null").join(
-            placed.withColumnRenamed("ep", "qp"), ["right_text", "qp"]
-        ),
+        (q.where("zone is not null"), ["left_text", "zone"], _options(found.inside.join(scored, ["left_text", "right_text"]), placed, ["right_text", "zone"], ["left_text", "zone"])),
         # the venue has none
-        named.where("qp is not null").join(
-            homeless, ["right_text"]
-        ),
+        (q.where("zone is not null"), ["left_text"], _options(scored, homeless, ["right_text"], ["left_text"])),
         # the sighting has none
-        named.where("qp is null").join(anywhere, ["right_text"]),
+        (q.where("zone is null"), ["left_text"], _options(scored, anywhere, ["right_text"], ["left_text"])),
     ]
-    cols = ["query_id", "score", "f", "ord", "catalogue"]
-    found = options[0].select(*cols)
-    for o in options[1:]:
-        found = found.union(o.select(*cols))
-    best = (
-        found.where(F.col("f.since") < F.col("ord"))
-        .groupBy("query_id")
-        .agg(
-            F.min_by(
-                F.struct("score", F.col("f.entity").alias("entity"), "catalogue"),
-                F.struct((-F.col("score")).alias("s"), F.col("f.entity_ord").alias("o")),
-            ).alias("b")
-        )
+    met = None
+    for rows, at, option in options:
+        one = rows.join(option, at).where(F.col("f.since") < F.col("ord")).select("query_id", "score", "f", "catalogue")
+        met = one if met is None else met.union(one)
+    best = met.groupBy("query_id").agg(
+        F.min_by(
+            F.struct("score", F.col("f.entity").alias("entity"), "catalogue"),
+            F.struct((-F.col("score")).alias("s"), F.col("f.entity_ord").alias("o")),
+        ).alias("b")
     )
     close = F.col("b.score") >= F.when(F.col("b.catalogue"), catalogue_threshold).otherwise(threshold)
     return best.where(close).select(
@@ -377,8 +393,9 @@ def resolve(
     ``assignments`` carries all sighting columns plus venue_id, method, match_score, ``ord`` and
     the venue's kept name."""
     params = params or ScoringParams()
-    # rows are numbered after the checkpoint, so that of identical sightings always the same one leads its node
-    keyed = materialise(match_keys(with_ingest_order(sightings))).withColumn("_row", F.monotonically_increasing_id())
+    # rows are stored with a number, so that of identical sightings always the same one leads its node
+    rows = match_keys(sightings).select(*sightings.columns, "name_key", "node", F.monotonically_increasing_id().alias("_row"))
+    keyed = _plain_keys(with_ingest_order(store(rows, "sightings")))
     nodes = _nodes(keyed).withColumn("venue_id", F.lit(None).cast("string"))
     creators = nodes.where("creator")
     if known is not None:

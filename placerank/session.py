@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-
 def build_session(app: str = "placerank", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the plans rely on (adaptive execution, UTC dates)."""
     builder = (
@@ -60,6 +60,15 @@ def settle(df: DataFrame) -> DataFrame:
     return DataFrame(rows, spark)
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """`materialise` for wide tables: columns beside the checkpoints, so nulls and repeated values take no room and each
+    reader opens only what it needs.  Partitions and their order are not kept."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(rows: DataFrame, key: str) -> DataFrame:
     """The rows dealt to all tasks by ``key``, for work that is heavy for every row.
 

@@ -1,6 +1,7 @@
 import random
 
 from placerank.functions.similarity import lcs_length, lcs_lengths, partial_ratio, ratio, token_set_ratio, token_set_ratio_udf, token_set_ratios
+from placerank.operators import blocking
 from placerank.operators.blocking import best_windows, similar_texts, texts_near
 from placerank.operators.social import _best_of_texts, _guesses_of_texts, match_captions, match_guesses, match_handles
 
@@ -130,3 +131,21 @@ def test_copies_of_texts_and_names_are_not_multiplied(spark):
     assert {(r.key, r.venue_id, r["rank"]) for r in got} == {(k, f"v00{i}", i + 1) for k, _, _ in rows for i in range(3)}
     scored = spark.createDataFrame([("golden dragon", "at golden dragon", 100.0)], "needle string, haystack string, score double")
     assert _best_of_texts(scored, keys, "name_key").count() == 1 and _guesses_of_texts(scored, keys, "name_key", 3).count() == 3
+
+
+def test_texts_of_a_zone_meet_in_it_alone(spark, monkeypatch):
+    """Small zones are compared whole, crowded ones through the indexes; `inside` says in which zone a pair meets."""
+    monkeypatch.setattr(blocking, "_WHOLE_ZONE", 3)
+    rnd = random.Random(8)
+    left = {(" ".join(rnd.sample(VOCAB, rnd.randint(1, 4))), rnd.choice(["crowd", "crowd", *"abcdefgh", None])) for _ in range(60)}
+    right = {(mutate(rnd, s), rnd.choice([z, z, "crowd", "a", None])) for s, z in left for _ in range(2)}
+    right = {r for r in right if r[0]}
+    df = lambda xs: spark.createDataFrame(sorted(xs, key=str), "text string, zone string")
+    found = blocking.candidates(df(left), df(right))
+    like = {(a, b) for a, _ in left for b, _ in right if token_set_ratio(a, b) >= 88}
+    pairs = {tuple(r) for r in found.pairs.collect()}
+    assert {(a, b) for a, p in left for b, q in right if (p is None or q is None or p == q) and (a, b) in like} <= pairs
+    inside = {tuple(r) for r in found.inside.collect()}
+    want = {(a, b, p) for a, p in left for b, q in right if p is not None and p == q and (a, b) in like}
+    assert want and {t for t in inside if t[:2] in like} == want
+    assert {z for _, _, z in inside} <= {p for _, p in left} & {q for _, q in right}

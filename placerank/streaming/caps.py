@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,12 +31,36 @@ def decide(live: Live, tag: str, at: pd.Timestamp, cap: int, days: int) -> str:
     return outcome
 
 
-def pack_live(live: Live) -> str:
-    return json.dumps({t: s.value for t, s in sorted(live.items())})
+#: A missing time among the nanoseconds of a timeline; it never runs out.
+_NEVER = pd.NaT.value
 
 
-def unpack_live(text: str | None) -> Live:
-    return {t: pd.Timestamp(s) for t, s in json.loads(text or "{}").items()}
+def decide_all(live: dict[str, int], tags: Sequence[str], times: Sequence[int], cap: int, days: int) -> list[str]:
+    """`decide` for requests in time order, on nanoseconds.
+
+    The live tags are looked through only when the oldest use known of may have run out, not for every request."""
+    span, outcomes = days * 86_400_000_000_000, []
+
+    def oldest() -> int | None:
+        return min((seen for seen in live.values() if seen != _NEVER), default=None)
+
+    soonest = oldest()
+    for tag, at in zip(tags, times, strict=True):
+        if at != _NEVER and soonest is not None and soonest < at - span:
+            for old in [t for t, seen in live.items() if seen != _NEVER and seen < at - span]:
+                del live[old]
+            soonest = oldest()
+        if tag in live:
+            outcomes.append("repeat")
+        elif len(live) < cap:
+            outcomes.append("accepted")
+        else:
+            outcomes.append("rejected")
+            continue
+        live[tag] = at
+        if at != _NEVER and (soonest is None or at < soonest):
+            soonest = at
+    return outcomes
 
 
 def _fold(incoming: dict[int, str], cap: int, days: int, borders: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -47,19 +72,23 @@ def _fold(incoming: dict[int, str], cap: int, days: int, borders: bool) -> Calla
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, account, live, chunk = None, None, {}, None
         for rows in batches:
-            outcomes = []
-            for who, part, tag, at in zip(rows["_who"], rows["_chunk"], rows["tag"], rows["at"], strict=True):
-                if chunk is None:
-                    first = account = who
-                    chunk = part
-                    live = unpack_live(incoming.get(part))
-                if who != account:
-                    account, live = who, {}
-                outcomes.append(decide(live, tag, at, cap, days))
+            if not len(rows):
+                continue
+            outcomes: list[str] = []
+            who, tags = rows["_who"].to_numpy(), rows["tag"].tolist()
+            times = rows["at"].astype("datetime64[ns]").astype("int64").tolist()
+            if chunk is None:
+                chunk, first = int(rows["_chunk"].iloc[0]), who[0]
+                account, live = first, json.loads(incoming.get(chunk) or "{}")
+            starts = [0, *(np.flatnonzero(who[1:] != who[:-1]) + 1).tolist(), len(who)]
+            for start, end in zip(starts, starts[1:], strict=False):
+                if who[start] != account:
+                    account, live = who[start], {}
+                outcomes += decide_all(live, tags[start:end], times[start:end], cap, days)
             if not borders:
                 yield rows.assign(outcome=outcomes)
         if borders and chunk is not None:
-            yield pd.DataFrame([(chunk, first, account, pack_live(live))], columns=["chunk", "first", "last", "live"])
+            yield pd.DataFrame([(chunk, first, account, json.dumps(live, sort_keys=True))], columns=["chunk", "first", "last", "live"])
 
     return fold
 

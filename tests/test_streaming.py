@@ -154,3 +154,22 @@ def test_stream_upsert_drains_into_the_store(spark, tmp_path):
         assert query.exception() is None
     got = store.read_mentions(spark, root, spark.createDataFrame([], schema).schema)
     assert sorted(tuple(r) for r in got.collect()) == [("a", "v2", "caption", "now"), ("b", "v1", "handle", "x")]
+
+
+def test_requests_decided_at_once_equal_those_decided_one_by_one():
+    """The live tags are looked through when one may have run out, not for every request; a missing time never runs out."""
+    import random
+
+    import pandas as pd
+
+    from placerank.streaming.caps import decide, decide_all
+
+    rng = random.Random(4)
+    for days, step in ((1, 3), (3, 1), (3, 40), (0, 0)):
+        times = [pd.NaT] * 2 + sorted(pd.Timestamp("2024-01-01") + pd.Timedelta(hours=rng.randrange(1 + 400 * step // 10)) for _ in range(400))
+        tags = [f"t{rng.randrange(12)}" for _ in times]
+        for cap in (0, 1, 5, 20):
+            slow, quick = {}, {}
+            want = [decide(slow, tag, at, cap, days) for tag, at in zip(tags, times, strict=True)]
+            assert decide_all(quick, tags[:150], [t.value for t in times[:150]], cap, days) + decide_all(quick, tags[150:], [t.value for t in times[150:]], cap, days) == want
+            assert quick == {t: s.value for t, s in slow.items()}

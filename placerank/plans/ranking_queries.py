@@ -22,7 +22,7 @@ from placerank.plans.standins import (
     sightings,
     venues,
 )
-from placerank.session import materialise
+from placerank.session import materialise, spread
 
 S, V, E = duck(SIGHTINGS), duck(VENUES), duck_evidence()
 RECENCY = f"""CASE WHEN published_at IS NULL THEN CAST(0.5 AS DOUBLE)
@@ -267,10 +267,16 @@ def evidence_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def field_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First-value, last-value and preferred-source policies on the sighting order."""
-    s = sightings(spark, sf_dir).withColumn(
-        "ord", F.struct("run_id", (-F.col("confidence")).alias("c"), "order_no", "line_no", "price", "quantity")
+    # every policy keeps an order of its own, and a task sees a few sightings of a venue: the sightings are dealt once, as numbers
+    # and days where they can be, not the larger states of partial aggregates
+    s = sightings(spark, sf_dir).select(
+        "venue_id", F.col("published_at").cast("date").alias("published_at"), "rating", (F.col("source_key") == "src0").alias("main"),
+        "run_id", (-F.col("confidence")).alias("c"), "order_no", "line_no", "price", "quantity",
+    )
+    s = spread(s, "venue_id").withColumns(
+        {"published_at": F.col("published_at").cast("string"), "ord": F.struct("run_id", "c", "order_no", "line_no", "price", "quantity")}
     )
-    main = F.col("source_key") == "src0"
+    main = F.col("main")
     return s.groupBy("venue_id").agg(
         merge.first_of(F.col("published_at")).alias("first_published"),
         merge.last_of(F.col("published_at")).alias("last_published"),

@@ -72,3 +72,11 @@ def test_ordered_scans_with_a_hot_group(spark):
     assert sums["hot", 399] == sum(i % 7 for i in range(400)) and sums["hot", 10] == sum(i % 7 for i in range(11))
     filled = {(r.g, r.i): r.f for r in fill_forward(df, ["g"], ["i"], "r", "f").collect()}
     assert all(filled["hot", i] == i - i % 5 for i in range(400)) and filled["cold", 3] is None
+
+
+def test_field_merge_deals_sightings_not_states(spark, sf_dir):
+    """One exchange by venue, and it comes before any aggregate."""
+    plan = queries()["field_merge"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    lines = [line for line in plan.splitlines() if "hashpartitioning(venue_id" in line or "Aggregate" in line]
+    dealt = [i for i, line in enumerate(lines) if "hashpartitioning(venue_id" in line]
+    assert dealt == [len(lines) - 1] and len(lines) > 1

@@ -5,13 +5,14 @@ Venue features are computed once per venue; categories (a configuration table) j
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placerank.functions.awards import award_level, is_buffet, star_count
-from placerank.functions.base import iso_date, let, lookup
+from placerank.functions.base import iso_date, lookup
 from placerank.functions.lexicons import HOTEL, NOT_A_PLACE
 from placerank.operators.ordered import first_rows, row_numbers
 from placerank.params import COMPONENTS, ScoringParams
@@ -134,36 +135,34 @@ def venue_components(
 
 
 # --- weights -------------------------------------------------------------------------------------
-def weighted_sum(components: Mapping[str, Column], weights: Mapping[str, Column]) -> Column:
-    """STRUCT(score, components): weights of components without data go to the others."""
-    keys = [k for k in components if k in weights]
-    values = F.array(*[components[k].cast("double") for k in keys])
-    live = F.zip_with(
-        values, F.array(*[weights[k] for k in keys]), lambda v, w: F.when(v.isNotNull() & (w > 0), w)
-    )
-    add = lambda a, x: a + F.coalesce(x, F.lit(0.0))
-
-    def share(live: Column) -> Column:
-        return let(
-            F.aggregate(live, F.lit(0.0), add),
-            lambda total: F.zip_with(values, live, lambda v, w: F.when(total > 0, v * (w / total))),
-        )
-
-    names = F.array(*[F.lit(k) for k in keys])
-    return let(
-        let(live, share),
-        lambda parts: F.struct(
-            F.aggregate(parts, F.lit(0.0), add).alias("score"),
-            F.map_filter(F.map_from_arrays(names, parts), lambda _, v: v.isNotNull()).alias("components"),
-        ),
-    )
+def total_of(values: Iterable[Column]) -> Column:
+    """Sum of the known values, in order."""
+    return reduce(lambda a, v: a + F.coalesce(v, F.lit(0.0)), values, F.lit(0.0))
+
+
+def known_of(values: Mapping[str, Column]) -> Column:
+    """MAP of the known values."""
+    whole = F.map_from_arrays(F.array(*[F.lit(k) for k in values]), F.array(*values.values()))
+    return F.map_filter(whole, lambda _, v: v.isNotNull())
+
+
+def live_weights(components: Mapping[str, Column], weights: Mapping[str, Column]) -> dict[str, Column]:
+    """Weights in force: those above zero of components with data."""
+    return {k: F.when(v.isNotNull() & (weights[k] > 0), weights[k]) for k, v in components.items() if k in weights}
+
+
+def weighted_parts(components: Mapping[str, Column], live: Mapping[str, Column], total: Column) -> dict[str, Column]:
+    """Share of every component in the score: weights of components without data go to the others.
+
+    ``total`` is the sum of ``live`` as a column of its own, since every share mentions it."""
+    return {k: F.when(total > 0, components[k].cast("double") * (w / total)) for k, w in live.items()}
 
 
 def adjustments(
     award: Column, independent: Column, buzz: Column, trend: Column, hygiene: Column, status: Column, p: ScoringParams
-) -> Column:
-    """MAP of bonuses and penalties that apply."""
-    entries = {
+) -> dict[str, Column]:
+    """Bonuses and penalties; null where one does not apply."""
+    return {
         "michelin": F.when(F.coalesce(award, F.lit("")) != "", F.lit(p.award_bonus)),
         "multi_source": F.when(independent >= p.multi_source_threshold, F.lit(p.multi_source_bonus)),
         "buzz": F.when(buzz > 0, F.least(F.lit(p.buzz_bonus_max), buzz)),
@@ -171,12 +170,6 @@ def adjustments(
         "poor_hygiene": F.when(F.upper(hygiene).isin("C", "D"), F.lit(-p.hygiene_penalty)),
         "temporarily_closed": F.when(status == "CLOSED_TEMPORARILY", F.lit(-p.closed_penalty)),
     }
-    whole = F.map_from_arrays(F.array(*[F.lit(k) for k in entries]), F.array(*entries.values()))
-    return F.map_filter(whole, lambda _, v: v.isNotNull())
-
-
-def map_total(values: Column) -> Column:
-    return F.aggregate(F.map_values(values), F.lit(0.0), lambda a, v: a + v)
 
 
 def personal_blend(score: Column, my_rating: Column, p: ScoringParams) -> Column:
@@ -306,7 +299,7 @@ def score_categories(
     p = params or ScoringParams()
     dims = weights.groupBy("category_key").pivot("component", list(COMPONENTS)).agg(F.first("weight"))
     dims = dims.select("category_key", *[F.coalesce(F.col(c), F.lit(0.0)).alias(f"w_{c}") for c in COMPONENTS])
-    config = categories.drop("queries", "keywords", "pool").join(dims, "category_key")
+    config = categories.drop("queries", "keywords", "pool").join(dims.select("category_key"), "category_key")
     comps = venue_components(F.col("aspects"), F.lit(None).cast("int"), F.col("quiet_hits"), F.col("loud_hits"), p)
     fixed = {k: v for k, v in comps.items() if k != "keyword_match"}
     kept = [
@@ -328,25 +321,23 @@ def score_categories(
     rows = rows.select(
         "category_key", "venue_id", "name", reason.alias("excluded_reason"), "my_status", "my_rating",
         "business_status", "hygiene_grade", F.col("michelin").alias("award"), "independent_count", "buzz",
-        "rating_trend", *[F.col(f"w_{c}") for c in COMPONENTS], *[F.col(f"c_{k}") for k in fixed],
+        "rating_trend", *[F.col(f"c_{k}") for k in fixed],
         keyword_match(F.try_element_at("keyword_hits", F.col("category_key"))).alias("c_keyword_match"),
     )
     rows = materialise(rows)  # the maxima need every row before any is scored
     ok = F.col("excluded_reason").isNull()
     tops = rows.where(ok).groupBy("category_key").agg(F.max("c_recommendations").alias("_max"))
     rows = rows.join(F.broadcast(tops), "category_key", "left")  # configuration: or all rows would be dealt by a few categories
+    rows = rows.join(F.broadcast(dims), "category_key")  # configuration
     relative = F.when(F.col("_max") > 0, F.col("c_recommendations") / F.col("_max")).otherwise(F.col("c_recommendations"))
     values = {k: (relative if k == "recommendations" else F.col(f"c_{k}")) for k in comps}
-    scored = rows.withColumns(
-        {
-            "_w": weighted_sum(values, {c: F.col(f"w_{c}") for c in COMPONENTS}),
-            "_adj": adjustments(
-                F.col("award"), F.col("independent_count"), F.col("buzz"), F.col("rating_trend"),
-                F.col("hygiene_grade"), F.col("business_status"), p,
-            ),
-        }
-    )
-    raw = F.col("_w.score") + map_total(F.col("_adj"))
+    live = live_weights(values, {c: F.col(f"w_{c}") for c in COMPONENTS})
+    scored = rows.withColumn("_total", total_of(live.values()))
+    parts = weighted_parts(values, live, F.col("_total"))
+    extra = adjustments(
+        F.col("award"), F.col("independent_count"), F.col("buzz"), F.col("rating_trend"), F.col("hygiene_grade"), F.col("business_status"), p
+    )
+    raw = total_of(parts.values()) + total_of(extra.values())
     mine = F.when(F.col("my_rating").isNotNull(), F.create_map(F.lit("personal"), F.lit(p.personal_weight))).otherwise(
         F.create_map().cast("map<string,double>")
     )
@@ -355,7 +346,7 @@ def score_categories(
     return scored.select(
         "category_key", "venue_id", "name",
         F.when(ok, personal_blend(raw, F.col("my_rating"), p)).otherwise(F.lit(0.0)).alias("score"),
-        F.when(ok, F.col("_w.components")).otherwise(empty).alias("components"),
-        F.when(ok, F.map_concat(F.col("_adj"), mine)).otherwise(empty).alias("adjustments"),
+        F.when(ok, known_of(parts)).otherwise(empty).alias("components"),
+        F.when(ok, F.map_concat(known_of(extra), mine)).otherwise(empty).alias("adjustments"),
         "excluded_reason", hidden.alias("hidden"),
     )

@@ -89,27 +89,53 @@ FROM ({DUCK_POOL}) JOIN ({DUCK_REC}) USING (venue_id)"""
 
 
 # --- the whole score ---------------------------------------------------------------------------------
-def features(
-    spark: SparkSession, sf_dir: str, ev: DataFrame | None = None, seen: DataFrame | None = None
-) -> DataFrame:
-    """Stand-in venue features: everything ``score_categories`` reads, one row per venue."""
-    seen = sightings(spark, sf_dir) if seen is None else seen
-    ev = evidence(spark, sf_dir, seen) if ev is None else ev
-    rates = ratings(spark, sf_dir, seen)
-    maps = rates.groupBy("venue_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("source_key", F.struct("rating", "review_count").alias("r"))))).alias("ratings")
+def venue_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What scores need of the sightings, one row per venue: recommendations, independent_sources, ratings (MAP source ->
+    rating), keyword_hits (MAP category -> hits) and category_keys.
+
+    The sightings are dealt once, by venue and slim; evidence, sources and venues are groups within groups, so every
+    further step finds its rows in the same task and in the same order."""
+    keys = sorted({k for c in CATEGORIES for k in (c.key, *c.pool_from)})  # configuration: a handful
+    day = F.col("published_at").cast("date")
+    seen = sightings(spark, sf_dir).select(
+        "venue_id", "source_key", "url", day.alias("day"), "confidence", "independent", "rating", "review_count", "price", "quantity",
+        F.array_position(F.array(*[F.lit(k) for k in keys]), F.col("category_key")).cast("int").alias("list"), (F.col("query") == "P").alias("hit"),
+    )
+    seen = spread(seen, "venue_id")
+    found, hits = [f"_found{i}" for i, _ in enumerate(keys)], [f"_hits{i}" for i, _ in enumerate(keys)]
+    add = [F.sum(c).alias(c) for c in found + hits]
+    # evidence: the surest sighting of a (venue, source, url), then the earliest; rating: the newest, then the dearest, then the largest
+    surest = F.min(F.struct((-F.col("confidence")).alias("c"), F.coalesce("day", F.lit("9999-12-31").cast("date")).alias("day")))
+    newest = F.struct(F.coalesce("day", F.lit("0001-01-01").cast("date")).alias("day"), "price", "quantity", "review_count", "rating")
+    ev = seen.groupBy("venue_id", "source_key", "url").agg(
+        surest.alias("s"), F.bool_or("independent").alias("independent"), F.max(newest).alias("r"),
+        *[F.count_if(F.col("list") == i + 1).alias(c) for i, c in enumerate(found)],
+        *[F.count_if((F.col("list") == i + 1) & F.col("hit")).alias(c) for i, c in enumerate(hits)],
+    )
+    dated = F.when(F.col("s.day") != F.lit("9999-12-31").cast("date"), F.col("s.day"))
+    good = F.col("independent") & (-F.col("s.c") >= PARAMS.min_confidence)
+    weight = F.when(good, scoring.recency(dated, TODAY, PARAMS) * -F.col("s.c"))
+    by_source = ev.groupBy("venue_id", "source_key").agg(
+        F.sum(weight).alias("w"), F.bool_or(good).alias("good"), F.max("r").alias("r"), *add
     )
-    hits = (
-        seen.where("query = 'P'").groupBy("venue_id", "category_key").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("venue_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category_key", "n")))).alias("keyword_hits"))
+    rate = F.struct("source_key", F.struct("r.rating", "r.review_count").alias("r"))
+    facts = by_source.groupBy("venue_id").agg(
+        F.sum("w").alias("recommendations"),
+        F.array_sort(F.collect_list(F.when(F.col("good"), F.col("source_key")))).alias("independent_sources"),
+        F.map_from_entries(F.array_sort(F.collect_list(rate))).alias("ratings"), *add,
     )
-    summary = merge.evidence_summary(ev).select("venue_id", "source_keys", "independent_sources")
-    rec = scoring.recommendations(ev, TODAY, PARAMS)
-    out = venues(spark, sf_dir)
-    for part in (maps, hits, summary, rec):
-        out = out.join(part, "venue_id", "left")
+    names = F.array(*[F.lit(k) for k in keys])
+    return facts.select(
+        "venue_id", "recommendations", "independent_sources", "ratings",
+        F.map_filter(F.map_from_arrays(names, F.array(*hits)), lambda _, n: n > 0).alias("keyword_hits"),
+        F.array_compact(F.array(*[F.when(F.col(c) > 0, k) for c, k in zip(found, keys, strict=True)])).alias("category_keys"),
+    )
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in venue features: everything ``score_categories`` reads, one row per venue."""
     zero = F.lit(0).cast("long")
-    return out.withColumns(
+    return venues(spark, sf_dir).join(venue_facts(spark, sf_dir), "venue_id", "left").withColumns(
         {
             "quiet_hits": zero, "loud_hits": zero,
             "independent_count": F.size(F.coalesce("independent_sources", F.array())),
@@ -119,13 +145,11 @@ def features(
 
 
 def scores(spark: SparkSession, sf_dir: str, hide_visited: bool = False) -> DataFrame:
-    # stored sightings and evidence, as a real run has them: each is read several times below
-    seen = materialise(sightings(spark, sf_dir).drop("name", "run_id", "order_no", "line_no"))
-    ev = materialise(evidence(spark, sf_dir, seen))
+    found = materialise(features(spark, sf_dir))
     table = category_table(spark, CATEGORIES)
     return scoring.score_categories(
-        materialise(features(spark, sf_dir, ev, seen)), scoring.category_pool(ev, table), table, weight_table(spark, CATEGORIES), TODAY,
-        PARAMS, personal(spark, sf_dir), hide_visited,
+        found, scoring.category_pool(found, table), table, weight_table(spark, CATEGORIES), TODAY, PARAMS, personal(spark, sf_dir),
+        hide_visited,
     )
 
 
@@ -223,10 +247,14 @@ def rank_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("category_key", "rank", "venue_id", "name", F.round("score", 6).alias("score"))
 
 
+def ranked_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of every list; the maps of components and adjustments are not made where no report shows them."""
+    rows = scores(spark, sf_dir, hide_visited=True)
+    return scoring.rank_scores(rows.select("category_key", "venue_id", "name", F.round("score", 6).alias("score"), "excluded_reason", "hidden"))
+
+
 def ranks_with_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scores(spark, sf_dir, hide_visited=True).withColumn("score", F.round("score", 6))
-    ranked = scoring.rank_scores(rows)
-    return ranked.select("category_key", "venue_id", "rank", "hidden", "score")
+    return ranked_scores(spark, sf_dir).select("category_key", "venue_id", "rank", "hidden", "score")
 
 
 def score_map_per_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,7 +348,7 @@ def bill_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def category_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = scoring.rank_scores(scores(spark, sf_dir, True).withColumn("score", F.round("score", 6)))
+    ranked = ranked_scores(spark, sf_dir)
     rows = serve.category_report(ranked, venues(spark, sf_dir), category_table(spark, CATEGORIES), PARAMS)
     return rows.select("category_key", "section", "rank", "venue_id", "bill", "excluded_reason")
 
@@ -342,7 +370,7 @@ def wishlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dashboard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = scoring.rank_scores(scores(spark, sf_dir, True).withColumn("score", F.round("score", 6)))
+    ranked = ranked_scores(spark, sf_dir)
     feats = features(spark, sf_dir).withColumn("district", F.lit(None).cast("string"))
     rows = serve.dashboard_table(feats, ranked, "2-HIGH", PARAMS)
     kept = rows.where(serve.dashboard_filter(["Central", "East"], budget=3, halal=True))

@@ -80,3 +80,30 @@ def test_field_merge_deals_sightings_not_states(spark, sf_dir):
     lines = [line for line in plan.splitlines() if "hashpartitioning(venue_id" in line or "Aggregate" in line]
     dealt = [i for i, line in enumerate(lines) if "hashpartitioning(venue_id" in line]
     assert dealt == [len(lines) - 1] and len(lines) > 1
+
+
+def test_venue_facts_deal_sightings_once_and_equal_the_operators(spark, sf_dir):
+    from placerank.operators import merge, scoring
+    from placerank.plans.ranking_queries import features, ratings
+    from placerank.plans.standins import PARAMS, TODAY, evidence, sightings
+
+    rows = features(spark, sf_dir)
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("hashpartitioning(venue_id") == 2  # sightings and venues, each dealt once
+    got = {r.venue_id: r for r in rows.collect()}
+    ev = evidence(spark, sf_dir)
+    recommended = {r.venue_id: r.recommendations for r in scoring.recommendations(ev, TODAY, PARAMS).collect()}
+    assert {v for v, r in got.items() if r.recommendations is not None} == set(recommended)
+    assert all(math.isclose(got[v].recommendations, x, rel_tol=1e-12) for v, x in recommended.items())
+    for r in merge.evidence_summary(ev).collect():
+        assert got[r.venue_id].independent_sources == r.independent_sources and sorted(got[r.venue_id].category_keys) == r.category_keys
+    rated = {(v, s, *x) for v, r in got.items() for s, x in (r.ratings or {}).items()}
+    assert rated == {tuple(r) for r in ratings(spark, sf_dir).select("venue_id", "source_key", "rating", "review_count").collect()}
+    hits = sightings(spark, sf_dir).where("query = 'P'").groupBy("venue_id", "category_key").count().collect()
+    assert {(v, k, n) for v, r in got.items() for k, n in (r.keyword_hits or {}).items()} == {tuple(r) for r in hits}
+
+
+def test_reports_rank_without_maps(spark, sf_dir):
+    from placerank.plans.ranking_queries import ranked_scores
+
+    assert not {"components", "adjustments"} & set(ranked_scores(spark, sf_dir).columns)

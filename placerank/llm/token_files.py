@@ -58,6 +58,24 @@ def without_marks(words: pa.Array) -> tuple[pa.Array, pa.Array]:
 _WORKER: dict[str, WordIds] = {}
 
 
+class Numbers(dict):
+    """Numbers words in the order in which they are first looked up."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self._new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self._new.append(word)
+        n = self[word] = len(self)
+        return n
+
+    def taken(self) -> list[str]:
+        """The words numbered since this was last asked."""
+        new, self._new = self._new, []
+        return new
+
+
 class WordIds:
     """Ids of ASCII-space separated words by a tokenizer that drops white space: a worker encodes a word, without the
     marks at its end, once while it remembers it.
@@ -70,36 +88,60 @@ class WordIds:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; each thread would hold memory of its own
         self.tokenizer = Tokenizer.from_file(file)
+        #: Which ids close a piece, if the model marks the end of pieces and no letters alone are a special token.
+        self.closing = None
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if suffix and not any(t.content.strip().isalpha() for t in self.tokenizer.get_added_tokens_decoder().values()):
+            size = self.tokenizer.get_vocab_size()
+            self.closing = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(size)])
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.known = Numbers()
+        self.ids, self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words and their counts; a few thousand encodings exist at once."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(got), np.int32), np.fromiter(map(len, got), np.int64, len(got))
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of ASCII letters, as one text: each is one piece, so the ids that close pieces part them."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.flatnonzero(self.closing[ids])
+        if len(ends) != len(words) or ends[-1] != len(ids) - 1:
+            return self._one_by_one(words)
+        return ids, np.diff(ends, prepend=-1)
 
     def _learn(self, new: list[str]) -> None:
-        """Append the ids of new words; a few thousand encodings exist at once."""
+        """Append the ids of new words, numbered in this order."""
+        plain = np.array([w.isascii() and w.isalpha() for w in new]) & (self.closing is not None)
+        order = np.argsort(~plain, kind="stable")
+        sorted_words, cut = [new[i] for i in order.tolist()], int(plain.sum())
         ids, counts = [self.ids], []
-        for at in range(0, len(new), 2_000):
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(new[at : at + 2_000], add_special_tokens=False)]
-            counts += map(len, got)
-            ids.append(np.fromiter(itertools.chain.from_iterable(got), np.int32))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.ids = np.concatenate(ids)
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.array(counts, np.int64))])
+        for low, high, encode in ((0, cut, self._together), (cut, len(new), self._one_by_one)):
+            for at in range(low, high, 2_000):
+                got, n = encode(sorted_words[at : min(at + 2_000, high)])
+                ids.append(got)
+                counts.append(n)
+        count, first = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
+        count[order] = done = np.concatenate(counts)
+        first[order] = len(self.ids) + np.cumsum(done) - done
+        self.ids, self.first, self.count = np.concatenate(ids), np.append(self.first, first), np.append(self.count, count)
 
     def _pool(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words, concatenated, and where each begins: those of its head, then of its marks."""
         head, marks = without_marks(distinct)
         if len(self.known) > KNOWN:
             self._forget()
-        coded = [x.dictionary_encode() for x in (head, marks)]
-        pieces = [x.dictionary.to_pylist() for x in coded]
-        if new := [w for w in dict.fromkeys(itertools.chain(*pieces)) if w not in self.known]:
-            self._learn(new)
         at = np.empty(2 * len(distinct), np.int64)
-        for k in (0, 1):
-            at[k::2] = np.fromiter(map(self.known.__getitem__, pieces[k]), np.int64, len(pieces[k]))[np.asarray(coded[k].indices)] if len(distinct) else 0
-        start, count = self.starts[at], np.diff(self.starts)[at]
+        for k, pieces in enumerate((head, marks)):
+            coded = pieces.dictionary_encode()
+            numbers = np.fromiter(map(self.known.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+            at[k::2] = numbers[np.asarray(coded.indices)]
+        if new := self.known.taken():
+            self._learn(new)
+        start, count = self.first[at], self.count[at]
         done = np.concatenate([[0], np.cumsum(count)])
         return self.ids[np.repeat(start - done[:-1], count) + np.arange(done[-1])], done[::2]
 

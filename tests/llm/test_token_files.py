@@ -64,3 +64,20 @@ def test_odd_rows_and_empty_tables(odd_documents, no_documents, tokenizer):
     assert [r.start for r in rows[1:]] == np.cumsum([r.n_tokens for r in rows])[:-1].tolist()
     assert token_table(no_documents, tokenizer_file()).count() == 0
     assert encode_texts(no_documents, tokenizer_file()).count() == 0
+
+
+def test_new_words_of_letters_are_encoded_together(tokenizer):
+    class Counting:
+        texts = 0
+
+        def encode_batch_fast(self, batch, **how):
+            self.texts += len(batch)
+            return tokenizer.encode_batch_fast(batch, **how)
+
+    words = WordIds(tokenizer_file())
+    words.tokenizer = counting = Counting()
+    made = ["".join(chr(97 + (i // 26**k + 7 * k) % 26) for k in range(2 + i % 9)) for i in range(5_000)]
+    text = " ".join([*made, "naïve", "don't", "a1b2", "Ünder.", *made[:9]])
+    got, n = words.encode(pa.array([text, "", " "], pa.large_string()))
+    assert got[: n[0]].tolist() == ids_of(tokenizer, text) and n[1:].tolist() == [1, 1]
+    assert counting.texts < 10

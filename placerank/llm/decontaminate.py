@@ -10,12 +10,10 @@ join on (length, block, value) misses none of them.  What is within the radius i
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placerank.llm.common import materialise, small, words
+from placerank.llm.common import materialise, small
 
 SIZE, SIMILARITY, RADIUS = 5, 0.8, 20
 #: Rows up to which the table of benchmark shingles is broadcast (a hash and lengths: tens of bytes each).
@@ -23,14 +21,19 @@ SHINGLES = 1_000_000
 
 
 def plain_words(text: Column) -> Column:
-    """Words in lower case without ASCII punctuation."""
-    return words(F.translate(F.lower(text), string.punctuation, ""))
+    """Words in lower case without ASCII punctuation; null and blank texts have none.
+
+    One scan takes the marks out, one cuts at ASCII white space; `translate` looks up every character of a text."""
+    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\p{Punct}+", "")
+    return F.array_remove(F.split(plain, r"[ \t\n\x0B\f\r]+"), "")
 
 
 def shingles(tokens: Column, size: int) -> Column:
-    """Hashes of the `size`-word shingles in order; none if there are fewer words."""
+    """Hashes of the `size`-word shingles in order; none if there are fewer words.
+
+    The words are hashed where they stand; no array is cut out for each shingle."""
     last = F.size(tokens) - size
-    made = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.slice(tokens, i + 1, size), F.lit(size)))
+    made = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(size)], F.lit(size)))
     return F.when(last >= 0, made).otherwise(F.array().cast("array<bigint>"))
 
 

@@ -90,3 +90,23 @@ def test_rows_without_id_and_ids_with_two_texts_keep_their_own_verdict(spark):
     docs = spark.createDataFrame([*clean, (None, "x " + item), (2, item), (3, item + " y")], "doc_id long, text string")
     left = drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert Counter(tuple(r) for r in left.collect()) == Counter(clean)
+
+
+def test_words_and_shingles_are_made_in_single_scans(spark):
+    import string
+
+    from pyspark.sql import functions as F
+
+    from placerank.llm.decontaminate import plain_words, shingles
+
+    texts = ["", None, " \t ", "--- !!", "A-b c\x0bd\x1ce\x85f\xa0g ¿q?", " x\n\n y. ", "İ ǅ ﬁ `~^| one, two (three) four's"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", plain_words(F.col("text")).alias("tokens"))
+    got = {r.i: r for r in rows.select("i", "tokens", shingles(F.col("tokens"), 2).alias("h")).collect()}
+    for i, text in enumerate(texts):
+        bare = (text or "").lower().translate({ord(c): None for c in string.punctuation})
+        want = [w for w in bare.translate({ord(c): " " for c in "\t\n\x0b\x0c\r"}).split(" ") if w]
+        assert got[i].tokens == want and len(got[i].h) == max(0, len(want) - 1)
+    cut = F.transform(F.sequence(F.lit(0), F.size("tokens") - 2), lambda i: F.xxhash64(F.slice("tokens", i + 1, 2), F.lit(2)))
+    assert {r.i: r.h for r in rows.where(F.size("tokens") > 1).select("i", cut.alias("h")).collect()} == {i: r.h for i, r in got.items() if r.h}
+    plan = rows.select(shingles(F.col("tokens"), 2))._jdf.queryExecution().analyzed().toString()
+    assert "translate(" not in plan and "slice(" not in plan

@@ -9,6 +9,7 @@ from __future__ import annotations
 import itertools
 import os
 import string
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -38,12 +39,18 @@ WRITER = {
 }
 
 
+#: Letters that end in a combining mark once they are normalised and lowered; it shares a piece with what follows.
+MARKED = "".join(c for c in map(chr, range(0x80, 0x10000)) if c.isalpha() and not unicodedata.normalize("NFC", c).lower()[-1].isalnum())
+
+
 def without_marks(words: pa.Array) -> tuple[pa.Array, pa.Array]:
     """Words without the ASCII marks at their end, and these marks, if a letter or number stands before them: there the
     tokenizer's pieces part, so both can be looked up alone."""
     head = pc.ascii_rtrim(words, string.punctuation)
     whole, kept = np.asarray(pc.binary_length(words)).astype(np.int64), np.asarray(pc.binary_length(head)).astype(np.int64)
-    parts = (kept < whole) & np.asarray(pc.match_substring_regex(head, r"[\p{L}\p{N}]$"))
+    parts = kept < whole
+    ended = head.filter(pa.array(parts))
+    parts[parts] = np.asarray(pc.match_substring_regex(ended, r"[\p{L}\p{N}]$")) & ~np.asarray(pc.match_substring_regex(ended, f"[{MARKED}]$"))
     parts &= ~np.asarray(pc.match_substring(words, "<|"))  # may be a special token, which is one piece
     head = pc.if_else(pa.array(parts), head, words)
     count = np.where(parts, whole - kept, 0)

@@ -81,3 +81,9 @@ def test_new_words_of_letters_are_encoded_together(tokenizer):
     got, n = words.encode(pa.array([text, "", " "], pa.large_string()))
     assert got[: n[0]].tolist() == ids_of(tokenizer, text) and n[1:].tolist() == [1, 1]
     assert counting.texts < 10
+
+
+def test_letters_that_turn_into_a_letter_and_a_mark_keep_what_follows(tokenizer):
+    texts = ["Bİ. bİ, İ", "ड़. क़! x", "שׁ, וֹ..", "é. ж!"]
+    got, n = WordIds(tokenizer_file()).encode(pa.array(texts, pa.large_string()))
+    assert got.tolist() == [i for text in texts for i in ids_of(tokenizer, text)] and n.sum() == len(got)

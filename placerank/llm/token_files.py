@@ -13,6 +13,7 @@ import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -65,22 +66,25 @@ def without_marks(words: pa.Array) -> tuple[pa.Array, pa.Array]:
 _WORKER: dict[str, WordIds] = {}
 
 
-class Numbers(dict):
-    """Numbers words in the order in which they are first looked up."""
+#: Random factors of a word's bytes by their place, for `hashes`.
+FACTORS = np.random.default_rng(6).integers(1, 1 << 63, 4_096, np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def __init__(self) -> None:
-        super().__init__()
-        self._new: list[str] = []
 
-    def __missing__(self, word: str) -> int:
-        self._new.append(word)
-        n = self[word] = len(self)
-        return n
-
-    def taken(self) -> list[str]:
-        """The words numbered since this was last asked."""
-        new, self._new = self._new, []
-        return new
+def hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words by their lengths and first 4,096 bytes; the empty word's is 0."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    out = np.diff(ends).astype(np.uint64) * FACTORS[-1]
+    for low in range(0, len(words), 100_000):  # sums of so many words exist at once
+        start, end = ends[low : low + 100_001][:-1], ends[low : low + 100_001][1:]
+        size = np.minimum(end - start, len(FACTORS))
+        done = np.concatenate([[0], np.cumsum(size)])
+        place = np.arange(done[-1]) - np.repeat(done[:-1], size)
+        sums = np.zeros(len(place) + 1, np.uint64)
+        np.cumsum((raw[np.repeat(start, size) + place] + np.uint64(1)) * FACTORS[place], out=sums[1:])
+        out[low : low + 100_000] += sums[done[1:]] - sums[done[:-1]]
+    return out
 
 
 class WordIds:
@@ -92,62 +96,87 @@ class WordIds:
 
     def __init__(self, file: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; each thread would hold memory of its own
         self.tokenizer = Tokenizer.from_file(file)
         #: Which ids close a piece, if the model marks the end of pieces and no letters alone are a special token.
         self.closing = None
+        #: Encodes words of a-z by the model alone, if the tokenizer leaves these letters as they are, in one piece.
+        self.plain = None
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         if suffix and not any(t.content.strip().isalpha() for t in self.tokenizer.get_added_tokens_decoder().values()):
             size = self.tokenizer.get_vocab_size()
             self.closing = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(size)])
+            letters, normal, parted = string.ascii_lowercase, self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+            if parted and (not normal or normal.normalize_str(letters) == letters) and [w for w, _ in parted.pre_tokenize_str(letters)] == [letters]:
+                self.plain = Tokenizer(self.tokenizer.model)
+                self.plain.pre_tokenizer = WhitespaceSplit()
         self._forget()
 
     def _forget(self) -> None:
-        self.known = Numbers()
-        self.ids, self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Know the empty word alone: the words by number, and their numbers by ascending hash."""
+        self.known = pa.array([""], pa.large_string())
+        self.hashed, self.number = np.zeros(1, np.uint64), np.zeros(1, np.int64)
+        self.ids, self.first, self.count = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _one_by_one(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words and their counts; a few thousand encodings exist at once."""
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
         return np.fromiter(itertools.chain.from_iterable(got), np.int32), np.fromiter(map(len, got), np.int64, len(got))
 
-    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for words of ASCII letters, as one text: each is one piece, so the ids that close pieces part them."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int32)
+    def _together(self, words: pa.Array, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters, as one text: each is one piece, so the ids that close pieces part them."""
+        tokenizer = self.plain if plain and self.plain else self.tokenizer
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), pa.scalar(" ", words.type))[0].as_py()
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
         ends = np.flatnonzero(self.closing[ids])
         if len(ends) != len(words) or ends[-1] != len(ids) - 1:
             return self._one_by_one(words)
         return ids, np.diff(ends, prepend=-1)
 
-    def _learn(self, new: list[str]) -> None:
-        """Append the ids of new words, numbered in this order."""
-        plain = np.array([w.isascii() and w.isalpha() for w in new]) & (self.closing is not None)
-        order = np.argsort(~plain, kind="stable")
-        sorted_words, cut = [new[i] for i in order.tolist()], int(plain.sum())
+    def _learn(self, new: pa.Array) -> None:
+        """Append the new words, numbered in this order, and their ids."""
+        letters = np.asarray(pc.utf8_is_alpha(new)) & (self.closing is not None)
+        plain = letters & np.asarray(pc.ascii_is_alpha(new)) & np.asarray(pc.ascii_is_lower(new))
+        order = np.argsort(2 - letters.astype(np.int8) - plain, kind="stable")
+        ordered, cuts = new.take(pa.array(order)), [0, int(plain.sum()), int(letters.sum()), len(new)]
         ids, counts = [self.ids], []
-        for low, high, encode in ((0, cut, self._together), (cut, len(new), self._one_by_one)):
+        for (low, high), encode in zip(itertools.pairwise(cuts), (partial(self._together, plain=True), self._together, self._one_by_one), strict=True):
             for at in range(low, high, 2_000):
-                got, n = encode(sorted_words[at : min(at + 2_000, high)])
+                got, n = encode(ordered.slice(at, min(2_000, high - at)))
                 ids.append(got)
                 counts.append(n)
         count, first = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
         count[order] = done = np.concatenate(counts)
         first[order] = len(self.ids) + np.cumsum(done) - done
         self.ids, self.first, self.count = np.concatenate(ids), np.append(self.first, first), np.append(self.count, count)
+        self.known = pa.concat_arrays([self.known, new])
 
-    def _pool(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct words, concatenated, and where each begins: those of its head, then of its marks."""
-        head, marks = without_marks(distinct)
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """The numbers of distinct words.  A word is known if it equals the one found by its hash; of two with one hash
+        the other is learned anew each time."""
         if len(self.known) > KNOWN:
             self._forget()
-        at = np.empty(2 * len(distinct), np.int64)
-        for k, pieces in enumerate((head, marks)):
-            coded = pieces.dictionary_encode()
-            numbers = np.fromiter(map(self.known.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-            at[k::2] = numbers[np.asarray(coded.indices)]
-        if new := self.known.taken():
-            self._learn(new)
+        hashed = hashes(words)
+        order = np.argsort(hashed)
+        hashed = hashed[order]
+        at = np.searchsorted(self.hashed, hashed)
+        numbers = np.empty(len(words), np.int64)
+        numbers[order] = self.number[np.minimum(at, len(self.number) - 1)]
+        new = ~np.asarray(pc.equal(self.known.take(pa.array(numbers)), words))
+        if new.any():
+            numbers[new] = len(self.known) + np.arange(np.count_nonzero(new))
+            self._learn(words.filter(pa.array(new)))
+            late = new[order]
+            self.hashed = np.insert(self.hashed, at[late], hashed[late])
+            self.number = np.insert(self.number, at[late], numbers[order][late])
+        return numbers
+
+    def _pool(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, concatenated, and where each begins: those of its head, then of its marks."""
+        coded = pa.concat_arrays(without_marks(distinct)).dictionary_encode()
+        at = self._numbers(coded.dictionary)[np.asarray(coded.indices)].reshape(2, -1).T.ravel()
         start, count = self.first[at], self.count[at]
         done = np.concatenate([[0], np.cumsum(count)])
         return self.ids[np.repeat(start - done[:-1], count) + np.arange(done[-1])], done[::2]

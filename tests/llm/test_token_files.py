@@ -5,6 +5,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from placerank.llm import token_files
 from placerank.llm.queries import tokenizer_file
 from placerank.llm.token_files import END, WordIds, encode_texts, read_metadata, read_tokens, shared_folder, token_table, write_tokens
 
@@ -87,3 +88,28 @@ def test_letters_that_turn_into_a_letter_and_a_mark_keep_what_follows(tokenizer)
     texts = ["Bİ. bİ, İ", "ड़. क़! x", "שׁ, וֹ..", "é. ж!"]
     got, n = WordIds(tokenizer_file()).encode(pa.array(texts, pa.large_string()))
     assert got.tolist() == [i for text in texts for i in ids_of(tokenizer, text)] and n.sum() == len(got)
+
+
+def test_new_words_of_any_letters_are_encoded_together(tokenizer):
+    words, batches = WordIds(tokenizer_file()), []
+    encode = words._one_by_one
+    words._one_by_one = lambda some: (batches.append(len(some)), encode(some))[1]
+    made = ["".join("éüñßабвж"[(i // 8**k) % 8] for k in range(4)) + "x" * (i % 3) for i in range(4_000)]
+    text = " ".join([*made, "Éü", "日本", "a1", *made[:9]])
+    for _ in range(2):  # the second time every word is known
+        got, n = words.encode(pa.array([text], pa.large_string()))
+        assert got.tolist() == ids_of(tokenizer, text)
+    assert sum(batches) == 1
+
+
+def test_words_with_one_hash_are_told_apart(tokenizer, monkeypatch):
+    long = "x" * 5_000
+    texts = [f"{long}a {long}b. one two, {long}c", "", "two one. three", f"{long}b"]
+    want = [i for text in texts for i in ids_of(tokenizer, text)]
+    words = WordIds(tokenizer_file())
+    for _ in range(2):
+        assert words.encode(pa.array(texts, pa.large_string()))[0].tolist() == want
+    monkeypatch.setattr(token_files, "hashes", lambda some: np.full(len(some), 7, np.uint64))
+    words = WordIds(tokenizer_file())
+    for _ in range(3):
+        assert words.encode(pa.array(texts, pa.large_string()))[0].tolist() == want

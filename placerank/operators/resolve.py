@@ -53,9 +53,7 @@ def with_ingest_order(sightings: DataFrame) -> DataFrame:
 
 def match_keys(sightings: DataFrame) -> DataFrame:
     """Add the key columns the tiers compare and whether the row may create a venue."""
-    keyed = _plain_keys(sightings.withColumn("name_key", name_key(F.col("name"))))
-    flags = [F.col("creator").cast("string"), F.col("catalogue").cast("string")]
-    return keyed.withColumn("node", _digest(*_key_parts(), *flags))
+    return _plain_keys(sightings.withColumn("name_key", name_key(F.col("name"))))
 
 
 def _plain_keys(sightings: DataFrame) -> DataFrame:
@@ -74,12 +72,10 @@ def _plain_keys(sightings: DataFrame) -> DataFrame:
     ).withColumn("phone", truthy(F.col("phone")))
 
 
-def _key_parts() -> list[Column]:
-    return [F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in _KEYS]
-
-
-def _digest(*parts: Column) -> Column:
-    """128 bits that stand for a node: nodes are carried through many shuffles."""
+def _digest() -> Column:
+    """128 bits that stand for a node's keys where sightings meet it; made where it is needed, stored nowhere."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in _KEYS]
+    parts += [F.col("creator").cast("string"), F.col("catalogue").cast("string")]
     return F.unhex(F.substring(F.sha2(F.concat_ws("\u0001", *parts), 256), 1, 32))
 
 
@@ -94,9 +90,10 @@ class Resolution:
 
 # --- nodes: sightings with the same keys always share their fate ----------------------------------
 def _nodes(keyed: DataFrame) -> DataFrame:
-    return keyed.groupBy("node", *_KEYS, "creator", "catalogue").agg(
-        F.min("ord").alias("ord"), F.min_by("name", "ord").alias("name")
-    )
+    """One row for equal keys, with its first sighting's ord, row number and name."""
+    lead = F.min(F.struct("ord", F.col("_row").alias("lead"), "name")).alias("_lead")
+    nodes = keyed.groupBy(*_KEYS, "creator", "catalogue").agg(lead)
+    return nodes.select(*_KEYS, "creator", "catalogue", "_lead.*", F.lit(None).cast("string").alias("venue_id"))
 
 
 def _known_nodes(known: DataFrame) -> DataFrame:
@@ -112,68 +109,85 @@ def _known_nodes(known: DataFrame) -> DataFrame:
         F.xxhash64(*_KEYS).alias("tie"),
     )
     return known.select(
-        _digest(F.lit("known"), F.col("venue_id"), *_key_parts()).alias("node"),
         *_KEYS,
         F.lit(True).alias("creator"),
         F.lit(False).alias("catalogue"),
         zero.alias("ord"),
+        F.lit(None).cast("long").alias("lead"),
         F.col("name_key").alias("name"),
         "venue_id",
     )
 
 
-#: Tiers of exact keys, strongest first.
-_TIERS = (("place_id",), ("name_key", "postal"), ("phone",), ("booking",), ("name_key", "place"))
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """The nodes with a number ``node`` that ascends in ingest order, in place of ``ord``.
 
+    Eight bytes stand for a node and its place in the order in all that follows.  Nodes of one ord are put in order by their keys."""
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(c).asc() for c in ("ord", "venue_id", *_KEYS, "creator", "catalogue")]
+    rows = nodes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return settle(rows.withColumn("node", F.monotonically_increasing_id()).drop("ord"))
 
-def _keys_held(nodes: DataFrame) -> DataFrame:
-    """(node, ord, tier, key): one row for every key a node has; missing keys make no rows."""
-    held = [
-        F.when(F.forall(F.array(*keys), lambda k: k.isNotNull()), F.struct(F.lit(tier).alias("tier"), F.concat_ws("\u0001", *keys).alias("key")))
-        for tier, keys in enumerate(_TIERS, 1)
-    ]
-    return nodes.select("node", "ord", F.explode(F.array_compact(F.array(*held))).alias("k")).select("node", "ord", "k.tier", "k.key")
+
+#: Kinds of exact keys; a name with the node's own postal code is a stronger key than one with the postal code of its home.
+_PLACE, _NAME, _PHONE, _BOOKING = 1, 2, 3, 4
+_NAME_EXACT = 5
+
+
+def _held(nodes: DataFrame, *kinds: tuple[int, Column]) -> DataFrame:
+    """(the other columns, kind, key): one row for every key that is there; missing keys make no rows."""
+    held = [F.when(key.isNotNull(), F.struct(F.lit(kind).alias("kind"), key.alias("key"))) for kind, key in kinds]
+    rest = [c for c in nodes.columns if c not in _KEYS]
+    return nodes.select(*rest, F.explode(F.array_compact(F.array(*held))).alias("k")).select(*rest, "k.kind", "k.key")
 
 
 def _exact_parents(nodes: DataFrame) -> DataFrame:
-    """Each node's earliest predecessor through its best exact tier: one aggregate finds the first holder of every key, one
-    lookup brings it back to the holders, one aggregate keeps the best tier."""
-    home = (
-        nodes.where("name_key is not null")
-        .groupBy("name_key")
-        .agg(F.min_by("postal", F.when(F.col("postal").isNotNull(), F.struct("ord", "postal"))).alias("_home"), F.count(F.lit(1)).alias("_n"))
-    )
-    homes = lookup(nodes.where("name_key is not null and postal is null").select("node", "name_key"), materialise(home), ["name_key"], "_n")
-    placed = nodes.join(homes.select("node", "_home"), "node", "left").withColumn(
-        # the separator keeps "no postal anywhere" apart from a postal code
-        "place", F.coalesce("postal", "_home", F.lit("none"))
+    """(node, parent, tier) of each node that has one: its earliest predecessor through its best exact tier.
+
+    One aggregate finds the first holder of every key, one lookup brings it back to the holders, one aggregate keeps the best
+    tier.  The first holder with a postal code of its own is kept beside the first one: one row per name serves both tiers."""
+    named = nodes.where("name_key is not null")
+    homeless = F.col("postal").isNull()
+    home = named.groupBy("name_key").agg(
+        F.min(F.when(~homeless, F.struct("node", "postal"))).alias("_f"), F.count(F.when(homeless, 1)).alias("_n")
     )
-    held = materialise(_keys_held(placed))
-    firsts = held.groupBy("tier", "key").agg(F.min(F.struct("ord", "node")).alias("_f"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    hits = lookup(held, materialise(firsts), ["tier", "key"], "_n").where(F.col("_f.ord") < F.col("ord"))
-    best = hits.groupBy("node").agg(F.min(F.struct("tier", F.col("_f.node").alias("parent"))).alias("_b"))
-    fresh = F.col("venue_id").isNull()
-    return nodes.join(best, "node", "left").select(
-        "node", *_KEYS, "creator", "catalogue", "ord", "name", "venue_id",
-        F.when(fresh, F.col("_b.parent")).alias("parent"),
-        F.when(fresh, F.element_at(F.array(*map(F.lit, METHODS)), F.col("_b.tier"))).alias("method"),
-    )
+    home = materialise(home.where("_n > 0").select("name_key", F.col("_f.postal").alias("_home"), "_n"))
+    fresh = F.col("venue_id").isNull().alias("fresh")
+    homes = lookup(named.where(homeless).select("node", fresh, "name_key"), home, ["name_key"], "_n")
+    # the separator keeps "no postal anywhere" apart from a postal code
+    place = F.concat_ws("\u0001", "name_key", F.coalesce("_home", F.lit("none")))
+    homes = materialise(homes.select("node", "fresh", F.lit(False).alias("own"), F.lit(_NAME).alias("kind"), place.alias("key")))
+    own = F.when(F.col("name_key").isNotNull() & F.col("postal").isNotNull(), F.concat_ws("\u0001", "name_key", "postal"))
+    held = _held(
+        nodes.select("node", fresh, F.lit(True).alias("own"), *_KEYS),
+        (_PLACE, F.col("place_id")), (_NAME, own), (_PHONE, F.col("phone")), (_BOOKING, F.col("booking")),
+    ).union(homes)
+    firsts = held.groupBy("kind", "key").agg(
+        F.min("node").alias("_first"), F.min(F.when(F.col("own"), F.col("node"))).alias("_own"), F.count(F.lit(1)).alias("_n")
+    ).where("_n > 1")
+    met = lookup(held.where("fresh"), materialise(firsts), ["kind", "key"], "_n")
+    weak = F.when((F.col("kind") == _NAME), F.lit(_NAME_EXACT)).otherwise(F.col("kind"))
+    link = F.when(F.col("own") & (F.col("_own") < F.col("node")), F.struct(F.col("kind").alias("tier"), F.col("_own").alias("parent")))
+    link = link.when(F.col("_first") < F.col("node"), F.struct(weak.alias("tier"), F.col("_first").alias("parent")))
+    best = met.select("node", link.alias("_l")).where("_l is not null").groupBy("node").agg(F.min("_l").alias("_b"))
+    return best.select("node", "_b.parent", "_b.tier")
 
 
 def follow_pointers(pointers: DataFrame) -> DataFrame:
-    """(node, parent) -> (node, root) by pointer doubling: the depth halves every round.
+    """(node, parent, ...) of nodes that have a parent -> (node, root, ...) by pointer doubling: the depth halves every round.
 
-    A parent always precedes its child, so there are no cycles."""
-    state = settle(pointers.select("node", F.coalesce("parent", "node").alias("root")))
+    A parent always precedes its child, so there are no cycles; a parent that is no node here is a root."""
+    rest = [c for c in pointers.columns if c not in ("node", "parent")]
+    state = settle(pointers.select("node", F.col("parent").alias("root"), *rest))
     while True:
         up = state.select(F.col("node").alias("root"), F.col("root").alias("_next"))
         moved = state.join(up, "root", "left").select(
-            "node", F.coalesce("_next", "root").alias("root"), (F.col("_next") != F.col("root")).alias("_m")
+            "node", F.coalesce("_next", "root").alias("root"), *rest, F.col("_next").isNotNull().alias("_m")
         )
         moved = settle(moved)
         if moved.where("_m").isEmpty():
-            return moved.select("node", "root")
-        state = moved.select("node", "root")
+            return moved.select("node", "root", *rest)
+        state = moved.select("node", "root", *rest)
 
 
 def _claims(index: DataFrame, keys: list[str]) -> DataFrame:
@@ -257,25 +271,24 @@ def fuzzy_matches(
 
 def _resolve_creators(nodes: DataFrame, params: ScoringParams, fuzzy: bool) -> DataFrame:
     """(node columns, root, method, score) for rows that may create venues and stored venues."""
-    exact = materialise(_exact_parents(nodes))
-    roots = follow_pointers(exact)
-    state = exact.join(roots, "node").withColumn("score", F.lit(None).cast("double"))
+    method = F.element_at(F.array(*map(F.lit, METHODS)), F.col("tier")).alias("method")
+    links = follow_pointers(_exact_parents(nodes)).select("node", "root", method, F.lit(None).cast("double").alias("score"))
+    members = settle(nodes.join(links, "node", "left").withColumn("root", F.coalesce("root", "node")))
     if not fuzzy:
-        return state.drop("parent")
-    members = settle(state)
+        return members
     venue = members.groupBy("root").agg(
-        F.min_by("postal", F.when(F.col("postal").isNotNull(), F.col("ord"))).alias("postal"),
-        F.min("ord").alias("entity_ord"),
+        F.min_by("postal", F.when(F.col("postal").isNotNull(), F.col("node"))).alias("postal"),
+        F.min("node").alias("entity_ord"),
     )
     index = (
         members.groupBy("root", "name_key")
-        .agg(F.min("ord").alias("since"))
+        .agg(F.min("node").alias("since"))
         .join(venue, "root")
         .select(F.col("root").alias("entity"), "name_key", "postal", "since", "entity_ord")
     )
     starts = members.where((F.col("node") == F.col("root")) & F.col("venue_id").isNull())
     found = fuzzy_matches(
-        starts.select(F.col("node").alias("query_id"), "name_key", "postal", "ord", "catalogue"),
+        starts.select(F.col("node").alias("query_id"), "name_key", "postal", F.col("node").alias("ord"), "catalogue"),
         index,
         params.fuzzy_threshold,
         params.catalogue_threshold,
@@ -283,54 +296,40 @@ def _resolve_creators(nodes: DataFrame, params: ScoringParams, fuzzy: bool) -> D
     links = settle(
         found.select(F.col("query_id").alias("node"), F.col("entity").alias("parent"), "score")
     )
-    tops = members.where(F.col("node") == F.col("root")).select("node")
-    chains = follow_pointers(tops.join(links.select("node", "parent"), "node", "left"))
+    chains = follow_pointers(links.select("node", "parent"))
     chains = chains.select(F.col("node").alias("root"), F.col("root").alias("_top"))
     joined = members.drop("score").join(chains, "root", "left").join(
         links.select("node", "score", F.lit("fuzzy_name").alias("_fuzzy")), "node", "left"
     )
-    return joined.select(
-        "node", *_KEYS, "creator", "catalogue", "ord", "name", "venue_id",
+    return settle(joined.select(
+        *[c for c in nodes.columns],
         F.coalesce("_top", "root").alias("root"),
         F.coalesce("_fuzzy", "method").alias("method"), "score",
-    )
+    ))
+
+
+#: Kinds of keys by which a known entity is looked up, and the tiers they stand for.
+_ANYWHERE, _HOMELESS = 5, 6
+_LOOKUPS = {_PLACE: "place_id", _NAME: "name_postal", _PHONE: "phone", _BOOKING: "booking_link", _ANYWHERE: "name_exact", _HOMELESS: "name_exact"}
 
 
 def match_exact(rows: DataFrame, index: DataFrame) -> DataFrame:
     """Tiers 1 to 5 of ``rows`` (node, keys, ord) against known entities.
 
     ``index``: entity, keys, since, entity_ord.  A key held by several entities belongs to the first
-    one.  Returns (node, entity, method) for the rows that match."""
-    tiers = []
-    for tier, (label, keys) in enumerate(
-        (
-            ("place_id", ["place_id"]),
-            ("name_postal", ["name_key", "postal"]),
-            ("phone", ["phone"]),
-            ("booking_link", ["booking"]),
-        ),
-        start=1,
-    ):
-        first = _claims(index.where(F.forall(F.array(*keys), lambda k: k.isNotNull())), keys)
-        tiers.append(rows.join(first, keys).select("node", "ord", "f", F.lit(tier).alias("tier"), F.lit(label).alias("method")))
-    named = index.where("name_key is not null")
-    anywhere = _claims(named, ["name_key"])
-    homeless = _claims(named.where("postal is null"), ["name_key"])
-    for side, first in ((F.col("postal").isNull(), anywhere), (F.col("postal").isNotNull(), homeless)):
-        tiers.append(
-            rows.where(side).join(first, "name_key")
-            .select("node", "ord", "f", F.lit(5).alias("tier"), F.lit("name_exact").alias("method"))
-        )
-    every = tiers[0]
-    for t in tiers[1:]:
-        every = every.union(t)
-    best = F.min_by(F.struct("f.entity", "method"), F.struct("tier", "f.entity_ord")).alias("b")
-    return (
-        every.where(F.col("f.since") < F.col("ord"))
-        .groupBy("node")
-        .agg(best)
-        .select("node", F.col("b.entity").alias("entity"), F.col("b.method").alias("method"))
-    )
+    one.  Returns (node, entity, method) for the rows that match.
+
+    All tiers share one table of keys, in which an entity has one row for every key of its own."""
+    name, posted = F.col("name_key"), F.col("postal").isNotNull()
+    plain = (_PLACE, F.col("place_id")), (_NAME, F.when(posted & name.isNotNull(), F.concat_ws("\u0001", name, "postal"))), (_PHONE, F.col("phone")), (_BOOKING, F.col("booking"))
+    at = ["kind", "key"]
+    keys = _held(index.select("entity", "entity_ord", "since", *_KEYS), *plain, (_ANYWHERE, name), (_HOMELESS, F.when(~posted, name)))
+    keys = keys.groupBy(*at, "entity", "entity_ord").agg(F.min("since").alias("since"))
+    asked = _held(rows.select("node", "ord", *_KEYS), *plain, (_ANYWHERE, F.when(~posted, name)), (_HOMELESS, F.when(posted, name)))
+    met = asked.join(_claims(materialise(keys), at), at).where(F.col("f.since") < F.col("ord"))
+    best = F.min_by(F.struct("f.entity", "kind"), F.struct(F.least("kind", F.lit(_ANYWHERE)).alias("tier"), "f.entity_ord")).alias("b")
+    label = F.element_at(F.create_map(*[F.lit(x) for kind in _LOOKUPS.items() for x in kind]), F.col("b.kind"))
+    return met.groupBy("node").agg(best).select("node", F.col("b.entity").alias("entity"), label.alias("method"))
 
 
 def _attach_only(
@@ -338,26 +337,25 @@ def _attach_only(
 ) -> DataFrame:
     """Rows that must not create venues look for one, repeatedly: a row that attaches brings its
     own keys along, which may help a later one."""
-    venues = settle(
-        settled.groupBy("root").agg(
-            F.min_by("postal", F.when(F.col("postal").isNotNull(), F.col("ord"))).alias("venue_postal"),
-            F.min("ord").alias("entity_ord"),
-        )
+    venues = settled.groupBy("root").agg(
+        F.min_by("postal", F.when(F.col("postal").isNotNull(), F.col("node"))).alias("venue_postal"),
+        F.min("node").alias("entity_ord"),
     )
+    venues = settle(venues)
     done, sources = None, settled
     while True:
         index = sources.join(venues, "root").select(
             F.col("root").alias("entity"), "place_id", "name_key",
-            F.col("venue_postal").alias("postal"), "phone", "booking", F.col("ord").alias("since"),
+            F.col("venue_postal").alias("postal"), "phone", "booking", F.col("node").alias("since"),
             "entity_ord",
         )
-        hits = match_exact(pending, index).withColumn("score", F.lit(None).cast("double"))
+        hits = match_exact(pending.withColumn("ord", F.col("node")), index).withColumn("score", F.lit(None).cast("double"))
         if fuzzy:
             hits = settle(hits)
             rest = settle(pending.join(hits, "node", "left_anti"))
             if not rest.isEmpty():
                 near = fuzzy_matches(
-                    rest.select(F.col("node").alias("query_id"), "name_key", "postal", "ord", "catalogue"),
+                    rest.select(F.col("node").alias("query_id"), "name_key", "postal", F.col("node").alias("ord"), "catalogue"),
                     index.groupBy("entity", "name_key", "postal", "entity_ord").agg(F.min("since").alias("since")),
                     params.fuzzy_threshold,
                     params.catalogue_threshold,
@@ -368,11 +366,7 @@ def _attach_only(
         hits = settle(hits)
         if hits.isEmpty():
             return done
-        new = pending.join(hits, "node").select(
-            "node", *_KEYS, "creator", "catalogue", "ord", "name", F.lit(None).cast("string").alias("venue_id"),
-            F.col("entity").alias("root"), "method", "score",
-        )
-        new = settle(new)
+        new = settle(pending.join(hits.withColumnRenamed("entity", "root"), "node"))
         done = new if done is None else done.unionByName(new)
         sources = new  # the rest has already been compared with everything older
         pending = settle(pending.join(hits, "node", "left_anti"))
@@ -394,22 +388,22 @@ def resolve(
     the venue's kept name."""
     params = params or ScoringParams()
     # rows are stored with a number, so that of identical sightings always the same one leads its node
-    rows = match_keys(sightings).select(*sightings.columns, "name_key", "node", F.monotonically_increasing_id().alias("_row"))
+    rows = match_keys(sightings).select(*sightings.columns, "name_key", F.monotonically_increasing_id().alias("_row"))
     keyed = _plain_keys(with_ingest_order(store(rows, "sightings")))
-    nodes = _nodes(keyed).withColumn("venue_id", F.lit(None).cast("string"))
-    creators = nodes.where("creator")
+    nodes = _nodes(keyed)
     if known is not None:
-        creators = creators.unionByName(_known_nodes(known))
-    settled = settle(_resolve_creators(materialise(creators), params, fuzzy))
-    waiting = materialise(nodes.where("not creator"))
+        nodes = nodes.unionByName(_known_nodes(known))
+    nodes = _numbered(nodes)
+    settled = _resolve_creators(nodes.where("creator"), params, fuzzy)
+    waiting = nodes.where("not creator")
     members = settled
     if not waiting.isEmpty():
-        attached = _attach_only(waiting.drop("venue_id"), settled, params, fuzzy)
+        attached = _attach_only(waiting, settled, params, fuzzy)
         if attached is not None:
             members = settled.unionByName(attached)
 
-    starts = settled.where(F.col("node") == F.col("root")).select("root", "ord", "venue_id", "name")
-    fresh = row_numbers(starts.where("venue_id is null").drop("venue_id"), [], [F.col("ord").asc(), F.col("root").asc()], "n")
+    starts = settled.where(F.col("node") == F.col("root")).select("root", "venue_id", "name")
+    fresh = row_numbers(starts.where("venue_id is null").drop("venue_id"), [], [F.col("root").asc()], "n")
     fresh = fresh.withColumn(
         "venue_id", F.format_string(id_format, F.col("n") + F.lit(next_id - 1))
     )
@@ -418,11 +412,9 @@ def resolve(
         fresh.select("root", "venue_id", F.col("name").alias("kept_name"), F.lit(True).alias("is_new"))
         .union(stored.select("root", "venue_id", "name", F.lit(False)))
     )
-    by_node = members.drop("venue_id").join(ids, "root").select(
-        "node", "venue_id", "method", "score", "kept_name", "is_new",
-        (F.col("node") == F.col("root")).alias("is_start"),
-        F.col("ord").alias("node_ord"),
-    )
+    by_node = members.where("lead is not null").select(
+        _digest().alias("node"), "root", "method", "score", (F.col("node") == F.col("root")).alias("is_start"), "lead"
+    ).join(ids, "root").drop("root")
     own_tier = (
         F.when(F.col("place_id").isNotNull(), "place_id")
         .when(F.col("postal").isNotNull(), "name_postal")
@@ -430,9 +422,8 @@ def resolve(
         .when(F.col("booking").isNotNull(), "booking_link")
         .otherwise("name_exact")
     )
-    leader = keyed.groupBy("node").agg(F.min(F.struct("ord", "_row")).alias("_lead")).select("node", F.col("_lead._row").alias("_lead"))
-    leads = (F.col("ord") == F.col("node_ord")) & (F.col("_row") == F.col("_lead"))
-    assigned = keyed.join(by_node, "node", "left").join(leader, "node", "left").select(
+    leads = F.col("_row") == F.col("lead")
+    assigned = keyed.withColumn("node", _digest()).join(by_node, "node", "left").select(
         *sightings.columns, "ord", "name_key", "venue_id",
         F.when(F.col("venue_id").isNull(), "none")
         .when(F.col("is_start") & F.col("is_new") & leads, "created")

@@ -27,6 +27,12 @@ def words(text: Column) -> Column:
     return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " +"))
 
 
+def word_count(text: Column) -> Column:
+    """How many words a text has: each is drawn together to one letter where it stands, and no array is made of them."""
+    marks = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x20\x09-\x0D]++", "x")
+    return F.length(marks) - F.length(F.replace(marks, F.lit("x"), F.lit("")))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The table with a broadcast hint if a count shows at most `rows` rows; else unchanged, so that it is shuffled.
 
@@ -88,4 +94,4 @@ def spread_sums(
     return done.withColumn(out, F.col("_ahead") + F.col("_inside")).drop("_ahead", "_inside", "_hash", "_chunk", "n_rows")
 
 
-__all__ = ["BROADCAST_ROWS", "attach", "attach_counted", "materialise", "read", "small", "spread_sums", "words"]
+__all__ = ["BROADCAST_ROWS", "attach", "attach_counted", "materialise", "read", "small", "spread_sums", "word_count", "words"]

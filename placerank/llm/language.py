@@ -31,6 +31,10 @@ KNOWN, SLICE = 500_000, 8_000_000
 UNKNOWN = "und"
 
 
+def hashed(part: str) -> int:
+    return zlib.crc32(part.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) + 1
+
+
 def word_features(word: str) -> list[int]:
     """Hashed features of a lower-case word: itself, prefixes and suffixes up to 4, and all inner n-grams up to 3."""
     found = ["=" + word]
@@ -38,13 +42,73 @@ def word_features(word: str) -> list[int]:
         found += ["^" + word[:k], "$" + word[-k:]]
     for k in (1, 2, 3):
         found += [word[i : i + k] for i in range(len(word) - k + 1)]
-    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) + 1 for f in dict.fromkeys(found)]
+    return [hashed(f) for f in dict.fromkeys(found)]
+
+
+#: Steps of crc32 by byte, its states after the marks of prefixes and suffixes and at the start of an n-gram.
+CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    CRC = np.where(CRC & 1, (CRC >> 1) ^ np.uint32(0xEDB88320), CRC >> 1)
+#: The first letter of three bytes in UTF-8.
+WIDE = "\u0800"
+MARKS = {mark: np.uint32(zlib.crc32(mark) ^ 0xFFFFFFFF) for mark in (b"^", b"$", b"")}
+
+
+def crc_buckets(mark: bytes, columns: list[np.ndarray]) -> np.ndarray:
+    """Hash buckets of the mark and the letters in each row of the columns, which are one or two bytes in UTF-8."""
+    state = np.full(len(columns[0]), MARKS[mark], np.uint32)
+    for column in columns:
+        wide = column >= 0x80
+        first = np.where(wide, 0xC0 | column >> 6, column)
+        state = CRC[(state ^ first) & 0xFF] ^ (state >> 8)
+        state[wide] = CRC[(state[wide] ^ (0x80 | column[wide] & 0x3F)) & 0xFF] ^ (state[wide] >> 8)
+    return (state ^ 0xFFFFFFFF) % (BUCKETS - 1) + 1
+
+
+def short_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """`word_features` of words of letters below WIDE: the same ids in the same order, made of all words at once."""
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    data = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    ends = np.cumsum(n)
+    start = ends - n
+    affixes = np.minimum(n, 4)
+    size = [1 + 2 * affixes, n, np.maximum(n - 1, 0), np.maximum(n - 2, 0)]
+    many = sum(size)
+    first = np.cumsum(many) - many
+    out, keep = np.empty(int(many.sum()), np.int32), np.ones(int(many.sum()), bool)
+    out[first] = np.fromiter((hashed("=" + w) for w in words), np.int32, len(words))
+    for k in range(1, 5):
+        long = np.flatnonzero(n >= k)
+        out[first[long] + 2 * k - 1] = crc_buckets(b"^", [data[start[long] + i] for i in range(k)])
+        out[first[long] + 2 * k] = crc_buckets(b"$", [data[ends[long] - k + i] for i in range(k)])
+    word, at = np.repeat(np.arange(len(words)), n), first.copy()
+    place = np.arange(len(data)) - np.repeat(start, n)
+    for k in (1, 2, 3):
+        at = at + size[k - 1]
+        here = np.flatnonzero(place + k <= n[word])
+        grams = [data[here + i] for i in range(k)]
+        slot = at[word[here]] + place[here]
+        out[slot] = crc_buckets(b"", grams)
+        code = word[here] << 33
+        for i, column in enumerate(grams):
+            code |= column.astype(np.int64) << 11 * i
+        order = np.argsort(code, kind="stable")
+        again = order[1:][code[order[1:]] == code[order[:-1]]]  # an n-gram counts once in a word
+        keep[slot[again]] = False
+    counts = np.add.reduceat(keep.astype(np.int64), first) if len(words) else n
+    return out[keep], counts
 
 
 def feature_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Feature ids of all words one after the other, and how many each word has (one at least)."""
-    got = [word_features(w) for w in words]
-    return np.fromiter(itertools.chain.from_iterable(got), np.int32), np.fromiter(map(len, got), np.int64, len(got))
+    plain = np.fromiter((w.isascii() or max(w) < WIDE for w in words), bool, len(words))
+    flat, few = short_features([w for w, p in zip(words, plain, strict=True) if p])
+    got = [word_features(w) for w, p in zip(words, plain, strict=True) if not p]
+    counts = np.empty(len(words), np.int64)
+    counts[plain], counts[~plain] = few, np.fromiter(map(len, got), np.int64, len(got))
+    out, owner = np.empty(int(counts.sum()), np.int32), np.repeat(plain, counts)
+    out[owner], out[~owner] = flat, np.fromiter(itertools.chain.from_iterable(got), np.int32)
+    return out, counts
 
 
 def summed(weights: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:

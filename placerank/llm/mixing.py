@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from placerank.llm.common import attach, materialise, small, spread_sums, words
+from placerank.llm.common import attach, materialise, small, spread_sums, word_count
 
 WEIGHTS, SLOPES, REPEATS = (1, 2, 3), (-1.0, 0.0, 1.0), 3
 
@@ -68,7 +68,7 @@ def mix(
     are rows of their own, ordered by a hash of their text."""
     rows = docs.select(
         F.struct(*[docs[c] for c in keep or docs.columns]).alias("row"), docs["doc_id"].alias("doc_id"), docs["source"].cast("string").alias("source"),
-        F.size(words(docs["text"])).cast("long").alias("size"), F.xxhash64(docs["text"]).alias("mark"),
+        word_count(docs["text"]).cast("long").alias("size"), F.xxhash64(docs["text"]).alias("mark"),
     )
     if keep and "text" not in keep:
         rows = materialise(rows)  # narrow: read texts once

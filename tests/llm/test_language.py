@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
+from placerank.llm import language
 from placerank.llm.language import BUCKETS, UNKNOWN, fit, keep_known_languages, posteriors, predict_languages, train, word_features
 
 
@@ -85,3 +86,14 @@ def test_odd_rows_and_empty_tables(odd_documents, no_documents):
     assert predict_languages(no_documents).count() == 0 and fit(no_documents) is None
     left = keep_known_languages(odd_documents)
     assert left.columns == odd_documents.columns and {r.doc_id for r in left.collect()} <= {1, 5, 6, None}
+
+
+def test_features_of_many_words_are_those_of_each(monkeypatch):
+    words = ["", "a", "banana", "aaaa", "anannanan", "schöön", "éé", "ñandú", "ßß", "日本語", "x日", "\u07ff\u0800", "z" * 300, "abcd", "\ud800x"]
+    want = [language.word_features(w) for w in words]
+    flat, counts = language.feature_rows(words)
+    assert flat.tolist() == [f for w in want for f in w] and counts.tolist() == [len(w) for w in want]
+    assert [len(x) for x in language.feature_rows([])] == [0, 0]
+    # letters of one or two bytes are not gone through word by word
+    monkeypatch.delattr(language, "word_features")
+    assert language.feature_rows(words[:9])[1].tolist() == counts[:9].tolist()

@@ -77,3 +77,15 @@ def test_odd_rows_and_empty_tables(odd_documents, no_documents):
     assert len(rows) == 9 and all(r.taken == 0 for r in rows if r.size == 0)
     assert mix_report(no_documents).count() == 0 and mixed_documents(no_documents).count() == 0
     assert mixed_documents(odd_documents).columns == odd_documents.columns
+
+
+def test_words_are_counted_without_an_array_of_them(spark, documents):
+    """Sizes are counted twice over whole texts: no array is cut for them and no character is looked up in a map."""
+    from placerank.llm.common import word_count, words
+
+    odd = [None, "", " ", "x", " x", "x ", "a\u00a0b c", "\t\n\x0b\x0c\r ", "one\r\ntwo\x0bthree  four\t", "xx x\x1cx", "é\u2003日 本\x00y"]
+    rows = spark.createDataFrame([(t,) for t in odd], "text string").union(documents.select("text"))
+    got = rows.select(word_count(rows["text"]).alias("n"), F.size(words(rows["text"])).alias("want")).collect()
+    assert len(got) > len(odd) and [r.n for r in got] == [r.want for r in got] and [r.n for r in got[:9]] == [0, 0, 0, 1, 1, 1, 2, 0, 4]
+    plan = mix(documents)._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan and "split(" not in plan
